@@ -537,8 +537,8 @@ def _results():
     return f"""SELECT a.query_no, a.input_string, {format_query('a.input_string')} AS formatted_string,
         coalesce(n, 0) AS direct_count, coalesce(n, 0) AS fuzzy_count, direct_ids, fuzzy_ids,
         level1_decision, level1_rephrased_query, level2_decision, level2_rephrased_query,
-        match_status, match_confidence, round(best_score, 6) AS best_score,
-        given_name AS best_name
+        match_status, match_confidence, round(s.best_score, 6) AS best_score,
+        s.given_name AS best_name
       FROM answered AS a LEFT JOIN (SELECT query_no, count(*) AS n, {ids.format('text_rank', 'direct_ids')},
           {ids.format('fuzzy_rank', 'fuzzy_ids')} FROM final GROUP BY query_no) USING (query_no)
         JOIN ({status('answered', 'final')}) AS s USING (query_no)"""

@@ -24,8 +24,10 @@ def fuzzy_rerank(hits: DataFrame, queries: DataFrame, catalog: DataFrame) -> Dat
     """Score every hit on five fields and rank by the total; ties keep text order.
 
     The raw query is scored, not the formatted one. Rows are distributed by query
-    *before* scoring: no query has more than ``k`` hits, so the scoring work is
-    even however popular a document is, and the ranking reuses the distribution.
+    before scoring, which is the expensive step: no query has more than ``k`` hits,
+    so the work is even however popular a document is, and the pairs a query
+    shares among its hits meet in one batch. (Ranking shuffles once more, because
+    Spark does not carry a distribution through Python evaluation.)
     """
     documents = catalog.select(F.col("_id").alias("_doc"), *HIT_FIELDS)
     candidates = (
