@@ -39,19 +39,26 @@ def list_items(c) -> Column:
     return non_blank(F.split(_col(c), ","))
 
 
+# Positions where a word starts inside a run of letters and digits: before an
+# upper-case letter or a digit. The cheap Unicode classes come first because the
+# explicit letter sets are slow to rule out.
+_WORD_START = (
+    r"(?=[\p{{Lu}}\p{{Nd}}])(?<=\p{{L}})"
+    r"(?:(?<=[{lo}])(?=[{up}]|\p{{Nd}})|(?<=[{up}])(?=[{up}][{lo}]|\p{{Nd}}))"
+).format(lo=K.LOWER_LETTERS, up=K.UPPER_LETTERS)
+_DIGIT_THEN_LETTER = rf"\p{{Nd}}(?=[{K.LOWER_LETTERS}{K.UPPER_LETTERS}])"
+# Java's Unicode white space lacks four separators that Python counts.
+_SPACES = r"(?U)[\s\x1c-\x1f]+"
+
+
 def format_query(c) -> Column:
     """Normalise a receipt-style query into lower-case words and numbers."""
-    lo, up = K.LOWER_LETTERS, K.UPPER_LETTERS
-    letter = f"[{lo}{up}]"
-    out = F.translate(F.coalesce(_col(c), F.lit("")), ",;", "  ")
-    for pattern in (
-        f"([{lo}])([{up}])",
-        f"([{up}]+)([{up}][{lo}])",
-        f"({letter})(\\p{{Nd}})",
-        f"(\\p{{Nd}})({letter})",
-    ):
-        out = F.regexp_replace(out, pattern, "$1 $2")
-    return strip(F.regexp_replace(F.lower(out), f"[{K.WHITESPACE}]+", " "))
+    out = F.coalesce(_col(c), F.lit(""))
+    for mark in (",", ";"):
+        out = F.replace(out, F.lit(mark), F.lit(" "))
+    out = F.regexp_replace(out, _WORD_START, " ")
+    out = F.regexp_replace(out, _DIGIT_THEN_LETTER, "$0 ")
+    return strip(F.regexp_replace(F.lower(out), _SPACES, " "))
 
 
 def product_names(names) -> Column:
