@@ -20,21 +20,37 @@ HIT_FIELDS = [
 ]
 
 
+# Up to this many hits Spark broadcasts them by itself and streams the catalog.
+_FEW_HITS = 100_000
+# Up to this many their ids (some tens of bytes each) are broadcast to cut the
+# catalog down before it is shuffled. Beyond, the catalog is shuffled whole.
+_MAX_BROADCAST_IDS = 2_000_000
+
+
+def _hit_documents(hits: DataFrame, catalog: DataFrame) -> DataFrame:
+    documents = catalog.select(F.col("_id").alias("_doc"), *HIT_FIELDS)
+    if not _FEW_HITS < hits.count() <= _MAX_BROADCAST_IDS:
+        return documents
+    ids = F.broadcast(hits.select("_id").distinct())
+    return documents.join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+
+
 def fuzzy_rerank(hits: DataFrame, queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Score every hit on five fields and rank by the total; ties keep text order.
 
-    The raw query is scored, not the formatted one. Rows are distributed by query
+    ``hits`` should be a written table: they are counted first. The raw query is
+    scored, not the formatted one. Rows are distributed by query
     before scoring, which is the expensive step: no query has more than ``k`` hits,
     so the work is even however popular a document is, and the pairs a query
     shares among its hits meet in one batch. (Ranking shuffles once more, because
     Spark does not carry a distribution through Python evaluation.)
     """
-    documents = catalog.select(F.col("_id").alias("_doc"), *HIT_FIELDS)
+    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     candidates = (
         hits.join(queries.select("query_no", "input_string"), "query_no")
-        .join(documents, F.col("_id").eqNullSafe(F.col("_doc")))
+        .join(_hit_documents(hits, catalog), F.col("_id").eqNullSafe(F.col("_doc")))
         .drop("_doc")
-        .repartition("query_no")
+        .repartition(tasks, "query_no")  # a fixed number: rows are few but costly
     )
     best_first = W.partitionBy("query_no").orderBy(F.desc("rapidfuzz_score"), "text_rank")
     return (

@@ -120,34 +120,12 @@ def _query_terms(distinct: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def text_search(
-    queries: DataFrame,
-    index: DataFrame,
-    query_col: str = "input_string",
-    k: int = K.TOP_K,
-    min_hot_rows: int | None = None,
-) -> DataFrame:
-    """Top ``k`` documents of every query: (query_no, _id, score, text_rank).
+def _best_groups(postings, query_terms, k: int, min_hot_rows: int | None) -> DataFrame:
+    """The ``k`` best groups of every query: (terms_key, grp, n_docs, score).
 
-    ``query_col`` is formatted before it is split into terms. Ties in the rounded
-    score are broken by document id, so ranks are repeatable. Three
-    intermediate tables are written (see ``materialize``), restricted to the terms
-    of this batch.
+    ``grp`` is the smallest key in the group, so no document of a group beyond
+    the first ``k`` by (score, grp) can be among the first ``k`` documents.
     """
-    terms = F.array_sort(F.array_distinct(X.tokens(X.format_query(query_col))))
-    keyed = queries.select("query_no", F.array_join(terms, " ").alias("terms_key")).filter(
-        F.col("terms_key") != ""
-    )
-    distinct = keyed.select("terms_key").distinct()
-    vocabulary = distinct.select(F.explode(F.split("terms_key", " ")).alias("token")).distinct()
-
-    n_docs, mean = index.agg(F.count("*"), F.sum("dl") / F.count("*")).first()
-    groups = materialize(_groups(index, vocabulary), "groups")
-    postings = materialize(_postings(groups, mean), "postings")
-    query_terms = materialize(
-        _query_terms(distinct, _term_stats(postings, n_docs, k)), "query_terms"
-    )
-
     leading = query_terms.filter("leading")
     found = (
         salted_join(
@@ -163,7 +141,12 @@ def text_search(
         # Never null; said here so that both uses share one shuffle.
         .filter(F.col("grp").isNotNull() & F.col("terms_key").isNotNull())
         .groupBy("terms_key", "grp")
-        .agg(F.sum("part").alias("part"), F.max("theta").alias("theta"), F.max("rest").alias("rest"))
+        .agg(
+            F.sum("part").alias("part"),
+            F.max("theta").alias("theta"),
+            F.max("rest").alias("rest"),
+            F.max("n_docs").alias("n_docs"),
+        )
         .filter(F.col("part") + F.col("rest") >= F.col("theta"))
     )
     others = query_terms.filter("NOT leading").select("terms_key", "token", "idf")
@@ -176,30 +159,82 @@ def text_search(
             counts=leading.groupBy("terms_key").agg(F.sum("n_rows").alias("n_rows")),
             min_hot_rows=min_hot_rows,
         )
-        .join(postings.select("grp", "token", "w"), ["grp", "token"])
-        .select("terms_key", "grp", (F.col("idf") * F.col("w")).alias("part"))
+        .join(postings, ["grp", "token"])
+        .select("terms_key", "grp", (F.col("idf") * F.col("w")).alias("part"), "n_docs")
     )
-    scored = (
-        found.select("terms_key", "grp", "part")
+    order = W.partitionBy("terms_key").orderBy(F.desc("score"), "grp")
+    return (
+        found.select("terms_key", "grp", "part", "n_docs")
         .unionByName(completed)
         .groupBy("terms_key", "grp")
-        .agg(F.round(F.sum("part"), K.SCORE_DIGITS).alias("score"))
+        .agg(
+            F.round(F.sum("part"), K.SCORE_DIGITS).alias("score"),
+            F.max("n_docs").alias("n_docs"),
+        )
+        .withColumn("_r", F.row_number().over(order))
+        .filter(F.col("_r") <= k)
+        .drop("_r")
     )
 
-    by_group = W.partitionBy("terms_key").orderBy(F.desc("score"), "grp")
-    best_groups = scored.withColumn("_r", F.row_number().over(by_group)).filter(F.col("_r") <= k)
-    alike = W.partitionBy("terms", "dl")
+
+def _with_members(best_groups: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """Up to ``k`` documents of each chosen group: (terms_key, doc, score).
+
+    A group of one is its own only member. The others are looked up, among the
+    chosen groups alone and not the whole catalog.
+    """
+    alone = best_groups.filter("n_docs = 1").select("terms_key", F.col("grp").alias("doc"), "score")
+    shared = best_groups.filter("n_docs > 1")
+    chosen = shared.select(F.col("grp").alias("doc")).distinct()
+    signs = groups.join(chosen, "doc").select(F.col("doc").alias("grp"), "terms", "dl")
+    alike = W.partitionBy("grp").orderBy("doc")
     members = (
-        groups.withColumn("_r", F.row_number().over(alike.orderBy("doc")))
+        groups.join(signs, ["terms", "dl"])
+        .select("grp", "doc")
+        .withColumn("_r", F.row_number().over(alike))
         .filter(F.col("_r") <= k)
-        .select(F.min("doc").over(alike).alias("grp"), "doc")
+        .drop("_r")
+    )
+    return alone.unionByName(
+        shared.join(members, "grp").select("terms_key", "doc", "score")
+    )
+
+
+def text_search(
+    queries: DataFrame,
+    index: DataFrame,
+    query_col: str = "input_string",
+    k: int = K.TOP_K,
+    min_hot_rows: int | None = None,
+) -> DataFrame:
+    """Top ``k`` documents of every query: (query_no, _id, score, text_rank).
+
+    ``query_col`` is formatted before it is split into terms. Ties in the rounded
+    score are broken by document id, so ranks are repeatable. Four
+    intermediate tables are written (see ``materialize``), restricted to the terms
+    of this batch.
+    """
+    terms = F.array_sort(F.array_distinct(X.tokens(X.format_query(query_col))))
+    keyed = queries.select("query_no", F.array_join(terms, " ").alias("terms_key")).filter(
+        F.col("terms_key") != ""
+    )
+    distinct = keyed.select("terms_key").distinct()
+    vocabulary = distinct.select(F.explode(F.split("terms_key", " ")).alias("token")).distinct()
+
+    n_docs, mean = index.agg(F.count("*"), F.sum("dl") / F.count("*")).first()
+    groups = materialize(_groups(index, vocabulary), "groups")
+    postings = materialize(_postings(groups, mean), "postings")
+    query_terms = materialize(
+        _query_terms(distinct, _term_stats(postings, n_docs, k)), "query_terms"
     )
-    by_doc = W.partitionBy("terms_key").orderBy(F.desc("score"), "doc")
+
+    best_groups = materialize(_best_groups(postings, query_terms, k, min_hot_rows), "best_groups")
+
+    ranked = W.partitionBy("terms_key").orderBy(F.desc("score"), "doc")
     top = (
-        best_groups.join(members, "grp")
-        .withColumn("text_rank", F.row_number().over(by_doc))
+        _with_members(best_groups, groups, k)
+        .withColumn("text_rank", F.row_number().over(ranked))
         .filter(F.col("text_rank") <= k)
-        .select("terms_key", "doc", "score", "text_rank")
     )
     return keyed.join(top, "terms_key").select(
         "query_no", doc_id().alias("_id"), "score", "text_rank"

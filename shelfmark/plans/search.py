@@ -20,7 +20,8 @@ from shelfmark.session import materialize
 def search_pass(queries: DataFrame, catalog: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """One pass: both rankings of the candidates of every query."""
     index = text_index(catalog) if index is None else index
-    return fuzzy_rerank(text_search(queries, index), queries, catalog)
+    hits = materialize(text_search(queries, index), "text_hits")
+    return fuzzy_rerank(hits, queries, catalog)
 
 
 @dataclass
