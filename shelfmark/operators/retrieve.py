@@ -77,36 +77,51 @@ def _postings(groups: DataFrame, mean: float) -> DataFrame:
     )
 
 
-def _term_stats(postings: DataFrame, n_docs: int, k: int) -> DataFrame:
-    """Per term: idf, row count, largest weight, lower bound of the k-th weight."""
-    levels = postings.groupBy("token", F.floor(F.col("w") * _LEVELS).alias("level")).agg(
-        F.sum("n_docs").alias("n"),
-        F.count("*").alias("n_rows"),
-        F.max("w").alias("w_max"),
+def _kth_level(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """Per key, a value that at least ``k`` documents reach; null if there are fewer.
+
+    Counts documents per value level instead of sorting rows: the counts combine
+    before the shuffle, so a hot key costs no more than its levels.
+    """
+    levels = df.groupBy(key, F.floor(F.col(value) * _LEVELS).alias("level")).agg(
+        F.sum("n_docs").alias("n")
     )
-    # At most (k1 + 1) * _LEVELS rows per term reach this window.
-    down = W.partitionBy("token").orderBy(F.desc("level"))
+    down = W.partitionBy(key).orderBy(F.desc("level"))
     reached = F.sum("n").over(down) >= k
-    df = F.col("df")
     return (
         levels.withColumn("kth", F.when(reached, F.col("level") / F.lit(float(_LEVELS))))
-        .groupBy("token")
+        .groupBy(key)
+        .agg(F.max("kth").alias("kth"))
+    )
+
+
+def _term_stats(postings: DataFrame, n_docs: int, k: int) -> DataFrame:
+    """Per term: idf, row count, largest weight, lower bound of the k-th weight."""
+    df = F.col("df")
+    return (
+        postings.groupBy("token")
         .agg(
-            F.sum("n").alias("df"),
-            F.sum("n_rows").alias("n_rows"),
-            F.max("w_max").alias("w_max"),
-            F.coalesce(F.max("kth"), F.lit(0.0)).alias("w_kth"),
+            F.sum("n_docs").alias("df"),
+            F.count("*").alias("n_rows"),
+            F.max("w").alias("w_max"),
+        )
+        .join(_kth_level(postings, "token", "w", k), "token")
+        .select(
+            "token",
+            "n_rows",
+            "w_max",
+            F.coalesce("kth", F.lit(0.0)).alias("w_kth"),
+            F.log(1.0 + (F.lit(n_docs) - df + 0.5) / (df + 0.5)).alias("idf"),
         )
-        .withColumn("idf", F.log(1.0 + (F.lit(n_docs) - df + 0.5) / (df + 0.5)))
     )
 
 
-def _query_terms(distinct: DataFrame, stats: DataFrame) -> DataFrame:
+def _query_terms(batch: DataFrame, stats: DataFrame) -> DataFrame:
     """Query terms with their bounds; ``leading`` terms generate candidates."""
-    query = W.partitionBy("terms_key")
+    query = W.partitionBy("qid")
     rising = query.orderBy("most", "token").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        distinct.select("terms_key", F.explode(F.split("terms_key", " ")).alias("token"))
+        batch.select("qid", F.explode(F.split("terms_key", " ")).alias("token"))
         .join(stats, "token")
         .withColumn("most", F.col("idf") * F.col("w_max"))
         .withColumn("theta", F.max(F.col("idf") * F.col("w_kth")).over(query) - _EPS)
@@ -116,12 +131,12 @@ def _query_terms(distinct: DataFrame, stats: DataFrame) -> DataFrame:
         .withColumn(
             "rest", F.sum(F.when(F.col("leading"), 0.0).otherwise(F.col("most"))).over(query)
         )
-        .select("terms_key", "token", "idf", "theta", "leading", "least", "rest", "n_rows")
+        .select("qid", "token", "idf", "leading", "least", "rest", "n_rows")
     )
 
 
 def _best_groups(postings, query_terms, k: int, min_hot_rows: int | None) -> DataFrame:
-    """The ``k`` best groups of every query: (terms_key, grp, n_docs, score).
+    """The ``k`` best groups of every query: (qid, grp, n_docs, score).
 
     ``grp`` is the smallest key in the group, so no document of a group beyond
     the first ``k`` by (score, grp) can be among the first ``k`` documents.
@@ -138,35 +153,44 @@ def _best_groups(postings, query_terms, k: int, min_hot_rows: int | None) -> Dat
         )
         .withColumn("part", F.col("idf") * F.col("w"))
         .filter(F.col("part") >= F.col("least"))
-        # Never null; said here so that both uses share one shuffle.
-        .filter(F.col("grp").isNotNull() & F.col("terms_key").isNotNull())
-        .groupBy("terms_key", "grp")
+        .groupBy("qid", "grp")
         .agg(
             F.sum("part").alias("part"),
-            F.max("theta").alias("theta"),
             F.max("rest").alias("rest"),
             F.max("n_docs").alias("n_docs"),
         )
-        .filter(F.col("part") + F.col("rest") >= F.col("theta"))
     )
-    others = query_terms.filter("NOT leading").select("terms_key", "token", "idf")
-    completed = (
+    # Read three times below, and the most expensive step: written once. The bounds
+    # are written too, so that their size is known when the join is planned.
+    found = materialize(found, "candidates")
+    bounds = materialize(_kth_level(found, "qid", "part", k), "bounds")
+    # The partial scores give a closer bound than single weights did; what cannot
+    # reach it even with all other terms is dropped before scores are completed.
+    hopeful = (
         salted_join(
-            found.filter("rest > 0").select("terms_key", "grp"),
-            others,
-            "terms_key",
+            found,
+            bounds,
+            "qid",
             [F.col("grp")],
-            counts=leading.groupBy("terms_key").agg(F.sum("n_rows").alias("n_rows")),
+            counts=leading.groupBy("qid").agg(F.sum("n_rows").alias("n_rows")),
             min_hot_rows=min_hot_rows,
         )
-        .join(postings, ["grp", "token"])
-        .select("terms_key", "grp", (F.col("idf") * F.col("w")).alias("part"), "n_docs")
+        .filter(F.col("kth").isNull() | (F.col("part") + F.col("rest") >= F.col("kth") - _EPS))
+        .select("qid", "grp", "part", "rest", "n_docs")
+    )
+    others = query_terms.filter("NOT leading").select("qid", "token", "idf")
+    completed = (
+        hopeful.filter("rest > 0")
+        .select("qid", "grp", "n_docs")
+        .join(others, "qid")
+        .join(postings.select("grp", "token", "w"), ["grp", "token"])
+        .select("qid", "grp", (F.col("idf") * F.col("w")).alias("part"), "n_docs")
     )
-    order = W.partitionBy("terms_key").orderBy(F.desc("score"), "grp")
+    order = W.partitionBy("qid").orderBy(F.desc("score"), "grp")
     return (
-        found.select("terms_key", "grp", "part", "n_docs")
+        hopeful.select("qid", "grp", "part", "n_docs")
         .unionByName(completed)
-        .groupBy("terms_key", "grp")
+        .groupBy("qid", "grp")
         .agg(
             F.round(F.sum("part"), K.SCORE_DIGITS).alias("score"),
             F.max("n_docs").alias("n_docs"),
@@ -178,12 +202,12 @@ def _best_groups(postings, query_terms, k: int, min_hot_rows: int | None) -> Dat
 
 
 def _with_members(best_groups: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """Up to ``k`` documents of each chosen group: (terms_key, doc, score).
+    """Up to ``k`` documents of each chosen group: (qid, doc, score).
 
     A group of one is its own only member. The others are looked up, among the
     chosen groups alone and not the whole catalog.
     """
-    alone = best_groups.filter("n_docs = 1").select("terms_key", F.col("grp").alias("doc"), "score")
+    alone = best_groups.filter("n_docs = 1").select("qid", F.col("grp").alias("doc"), "score")
     shared = best_groups.filter("n_docs > 1")
     chosen = shared.select(F.col("grp").alias("doc")).distinct()
     signs = groups.join(chosen, "doc").select(F.col("doc").alias("grp"), "terms", "dl")
@@ -196,7 +220,7 @@ def _with_members(best_groups: DataFrame, groups: DataFrame, k: int) -> DataFram
         .drop("_r")
     )
     return alone.unionByName(
-        shared.join(members, "grp").select("terms_key", "doc", "score")
+        shared.join(members, "grp").select("qid", "doc", "score")
     )
 
 
@@ -210,7 +234,7 @@ def text_search(
     """Top ``k`` documents of every query: (query_no, _id, score, text_rank).
 
     ``query_col`` is formatted before it is split into terms. Ties in the rounded
-    score are broken by document id, so ranks are repeatable. Four
+    score are broken by document id, so ranks are repeatable. Some
     intermediate tables are written (see ``materialize``), restricted to the terms
     of this batch.
     """
@@ -218,7 +242,10 @@ def text_search(
     keyed = queries.select("query_no", F.array_join(terms, " ").alias("terms_key")).filter(
         F.col("terms_key") != ""
     )
-    distinct = keyed.select("terms_key").distinct()
+    # Queries with the same terms go by the number of the first of them.
+    same = keyed.groupBy("terms_key").agg(F.min("query_no").alias("qid"))
+    batch = materialize(keyed.join(same, "terms_key"), "batch")
+    distinct = batch.filter(F.col("query_no") == F.col("qid"))
     vocabulary = distinct.select(F.explode(F.split("terms_key", " ")).alias("token")).distinct()
 
     n_docs, mean = index.agg(F.count("*"), F.sum("dl") / F.count("*")).first()
@@ -227,15 +254,16 @@ def text_search(
     query_terms = materialize(
         _query_terms(distinct, _term_stats(postings, n_docs, k)), "query_terms"
     )
-
     best_groups = materialize(_best_groups(postings, query_terms, k, min_hot_rows), "best_groups")
 
-    ranked = W.partitionBy("terms_key").orderBy(F.desc("score"), "doc")
+    ranked = W.partitionBy("qid").orderBy(F.desc("score"), "doc")
     top = (
         _with_members(best_groups, groups, k)
         .withColumn("text_rank", F.row_number().over(ranked))
         .filter(F.col("text_rank") <= k)
     )
-    return keyed.join(top, "terms_key").select(
-        "query_no", doc_id().alias("_id"), "score", "text_rank"
+    return (
+        batch.select("query_no", "qid")
+        .join(top, "qid")
+        .select("query_no", doc_id().alias("_id"), "score", "text_rank")
     )
