@@ -328,3 +328,24 @@ def test_read_queries_numbers_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == list(enumerate([x for x in lines if x], 1))
+
+
+def test_empty_batch_and_empty_catalog(spark, queries, catalog):
+    nothing = spark.createDataFrame([], QUERIES)
+    got = two_pass_search(nothing, catalog)
+    assert got.hits.count() == P.report_rows(got).count() == 0
+    bare = two_pass_search(queries, catalog.limit(0))
+    assert bare.hits.count() == 0
+    assert P.report_rows(bare).count() == 3 * len(LINES)
+
+
+def test_catalog_is_cut_down_to_many_hits(spark, queries, catalog, monkeypatch):
+    hits = catalog.select(
+        F.lit(1).cast("long").alias("query_no"), "_id", F.lit(1.0).alias("score"),
+        F.col("_id").cast("int").alias("text_rank"),
+    ).filter("text_rank < 3")
+    want = sorted(map(str, R.fuzzy_rerank(hits, queries, catalog).collect()))
+    monkeypatch.setattr(R, "_FEW_HITS", 0)
+    reduced = R.fuzzy_rerank(hits, queries, catalog)
+    assert "LeftSemi" in reduced._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, reduced.collect())) == want
