@@ -77,42 +77,36 @@ def _postings(groups: DataFrame, mean: float) -> DataFrame:
     )
 
 
-def _kth_level(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
-    """Per key, a value that at least ``k`` documents reach; null if there are fewer.
+def _levels(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """Per key and value level: documents, rows, largest value, and in ``kth`` the
+    level itself where at least ``k`` documents reach it.
 
-    Counts documents per value level instead of sorting rows: the counts combine
-    before the shuffle, so a hot key costs no more than its levels.
+    Counts documents per level instead of sorting rows: the counts combine before
+    the shuffle, so a hot key costs no more than its levels.
     """
     levels = df.groupBy(key, F.floor(F.col(value) * _LEVELS).alias("level")).agg(
-        F.sum("n_docs").alias("n")
+        F.sum("n_docs").alias("n"),
+        F.count("*").alias("n_rows"),
+        F.max(value).alias("top"),
     )
     down = W.partitionBy(key).orderBy(F.desc("level"))
     reached = F.sum("n").over(down) >= k
-    return (
-        levels.withColumn("kth", F.when(reached, F.col("level") / F.lit(float(_LEVELS))))
-        .groupBy(key)
-        .agg(F.max("kth").alias("kth"))
-    )
+    return levels.withColumn("kth", F.when(reached, F.col("level") / F.lit(float(_LEVELS))))
 
 
 def _term_stats(postings: DataFrame, n_docs: int, k: int) -> DataFrame:
     """Per term: idf, row count, largest weight, lower bound of the k-th weight."""
     df = F.col("df")
     return (
-        postings.groupBy("token")
+        _levels(postings, "token", "w", k)
+        .groupBy("token")
         .agg(
-            F.sum("n_docs").alias("df"),
-            F.count("*").alias("n_rows"),
-            F.max("w").alias("w_max"),
-        )
-        .join(_kth_level(postings, "token", "w", k), "token")
-        .select(
-            "token",
-            "n_rows",
-            "w_max",
-            F.coalesce("kth", F.lit(0.0)).alias("w_kth"),
-            F.log(1.0 + (F.lit(n_docs) - df + 0.5) / (df + 0.5)).alias("idf"),
+            F.sum("n").alias("df"),
+            F.sum("n_rows").alias("n_rows"),
+            F.max("top").alias("w_max"),
+            F.coalesce(F.max("kth"), F.lit(0.0)).alias("w_kth"),
         )
+        .withColumn("idf", F.log(1.0 + (F.lit(n_docs) - df + 0.5) / (df + 0.5)))
     )
 
 
@@ -163,7 +157,8 @@ def _best_groups(postings, query_terms, k: int, min_hot_rows: int | None) -> Dat
     # Read three times below, and the most expensive step: written once. The bounds
     # are written too, so that their size is known when the join is planned.
     found = materialize(found, "candidates")
-    bounds = materialize(_kth_level(found, "qid", "part", k), "bounds")
+    kth = _levels(found, "qid", "part", k).groupBy("qid").agg(F.max("kth").alias("kth"))
+    bounds = materialize(kth, "bounds")
     # The partial scores give a closer bound than single weights did; what cannot
     # reach it even with all other terms is dropped before scores are completed.
     hopeful = (
