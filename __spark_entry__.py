@@ -31,6 +31,17 @@ from shelfmark.session import materialize, new_path
 from shelfmark.sources import readers, writers
 from shelfmark.streaming.ingest import stream_catalog
 
+try:  # the corpus operators are a subpackage that can be left out
+    import corpus_pipeline
+    from shelfmark.llm import queries as corpus_queries
+except ImportError:
+    CORPUS_QUERIES, CORPUS_SQL = {}, {}
+else:
+    CORPUS_QUERIES = {**corpus_queries.queries(), "pipeline": corpus_pipeline.run}
+    CORPUS_SQL = corpus_queries.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL:
+        CORPUS_SQL = {**CORPUS_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+
 # ------------------------------------------------------------------ inputs
 
 
@@ -365,9 +376,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "partial_ratio": _ratio(S.partial_ratio),
         "two_pass_search": lambda s, d: _show_ranked(_searched(s, d).hits),
         "match_status": lambda s, d: _round(R.match_status(*_ranked(s, d)), "best_score"),
+        **CORPUS_QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return {**oracles.oracle_sql(), **CORPUS_SQL}
 
