@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from shelfmark.llm import bpe
+from shelfmark.llm.near_dedup import near_duplicates
 from shelfmark.llm.substring_dedup import dedup_substrings
 
 
@@ -9,13 +11,40 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path():
+    """The published byte-level BPE file; its package is installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark, sf_dir):
+    path = vocabulary_path()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, path).select("doc_id", "ids")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return bpe.decode(coded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_near_dedup(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def queries():
     return {
+        "op2_bpe": op2_bpe,
+        "op5_near_dedup": op5_near_dedup,
         "op3_substring_dedup": op3_substring_dedup,
     }
 
