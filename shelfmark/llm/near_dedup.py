@@ -12,10 +12,12 @@ components of the links.
     depth (0.9375 for t = 0.8 and two branches), and trees repeat until the target
     recall is reached.
 3.  First, every node is compared with the smallest node on each of its first paths.
-    This is linear in the rows and gives the components of most large groups.
-4.  Then paths are followed down. Paths whose nodes are in one component already are
-    dropped; those with at most ``LEAF`` nodes are compared exhaustively, across
-    components only; the others branch again.
+    This is linear in the rows and joins most large groups into components.
+4.  Then paths are followed down. Only nodes of different components need to be compared,
+    so a path of one component is done. On the others, nodes outside the path's main
+    component are compared with all its nodes if these are few pairs (``PAIRS``); else
+    all nodes are compared with one leader of the path, and the path branches again.
+    Components are brought up to date after every level.
 5.  Comparisons use a 128-bit sketch (four standard deviations of slack) and are
     confirmed on the full sets of 64-bit shingle hashes. All confirmed links form the components.
 
@@ -28,6 +30,7 @@ null text or one without words has an empty set and is linked with nothing. Rows
 ids are one document with several texts; null ids are allowed (see ``near_duplicates``).
 """
 
+import uuid
 from functools import lru_cache
 from math import ceil, log
 
@@ -36,16 +39,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfmark.llm.graph import connected_components
 from shelfmark.llm.words import lower_ascii, mix, owner, run_hashes, text_slices, word_hashes, word_spans
-from shelfmark.session import materialize
+from shelfmark.session import materialize, new_path
 
 MINS = 128
 COORDINATES = 64
 BRANCH = 2
-LEAF = 200
+#: A path with at most so many pairs across components is compared exhaustively.
+PAIRS = 40_000
 RECALL = 0.999
 
 
@@ -92,16 +95,14 @@ def minwise(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = "id long, n_shingles long, set_a long, set_b long, mins binary, sketch_a long, sketch_b long, packed binary"
+_SKETCH = "id long, own long, n_shingles long, set_a long, set_b long, mins binary, sketch_a long, sketch_b long"
 
 
 def _sketch(n):
-    """Set size and digest, minwise values, one-bit sketch and the compressed text."""
+    """Set size and digest, minwise values and one-bit sketch of each text."""
 
     def run(batches):
-        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids = batch.column("id")
             for lo, hi, data, offsets in text_slices(batch.column("text")):
                 hashes, begin = shingle_sets(data, offsets, n)
                 total = np.zeros((2, len(hashes) + 1), np.uint64)
@@ -110,20 +111,16 @@ def _sketch(n):
                 digest = total[:, begin[1:]] - total[:, begin[:-1]]
                 mins = minwise(hashes, begin)
                 bits = np.packbits(mix(mins.astype(np.uint64)) & np.uint64(1) == 1, axis=1).view(np.int64)
-                raw = memoryview(data.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(lo, hi - lo),
+                        batch.column("id").slice(lo, hi - lo),
+                        batch.column("own").slice(lo, hi - lo),
                         pa.array(np.diff(begin).astype(np.int64)),
                         pa.array(digest[0].view(np.int64)),
                         pa.array(digest[1].view(np.int64)),
                         pa.array([r.tobytes() for r in mins[:, :COORDINATES]], pa.binary()),
                         pa.array(bits[:, 0]),
                         pa.array(bits[:, 1]),
-                        pa.array(
-                            [packer.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
-                            pa.binary(),
-                        ),
                     ],
                     schema=_arrow_schema(),
                 )
@@ -137,6 +134,13 @@ def _arrow_schema():
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _SKETCH.split(", ")])
 
 
+def _pack(batches):
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [packer.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(packed, pa.binary())], names=["own", "packed"])
+
+
 def _branch(trees):
     """The next level of paths of each node: (path, used, node, sketch_a, sketch_b).
 
@@ -218,15 +222,41 @@ def _confirm(n, percent):
     return run
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes that are similar enough by their full sets."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    named = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = materialize(nodes.select("node", "packed").join(named, "node"), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("packed").alias("x")), "u").join(
-        texts.select(F.col("node").alias("v"), F.col("packed").alias("y")), "v"
+class _Checker:
+    """Confirms candidate pairs; no pair is looked at twice."""
+
+    def __init__(self, texts: DataFrame, n: int, percent: int):
+        self.texts, self.n, self.percent, self.seen = texts, n, percent, None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) of nodes that are similar enough by their full sets."""
+        pairs = pairs.distinct()
+        if self.seen is not None:
+            pairs = pairs.join(self.seen, ["u", "v"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        # the large side is bucketed by node: only the ends move
+        texts = materialize(self.texts.join(ends, "node"), "texts")
+        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("packed").alias("x")), "u").join(
+            texts.select(F.col("node").alias("v"), F.col("packed").alias("y")), "v"
+        )
+        return materialize(both.mapInArrow(_confirm(self.n, self.percent), "u long, v long"), "links")
+
+
+def _across(live: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) to confirm on each path of ``live``, between components only."""
+    one = (F.col("x.node") != F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    ends = [F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")]
+    few = live.filter("few")
+    minor = few.filter("component != main").alias("x")
+    every = few.select("path", "node", "component", "sketch_a", "sketch_b").alias("y")
+    pairs = minor.join(every, "path").filter(one & _alike(threshold)).select(*ends)
+    many = live.filter("not few").alias("x")
+    leaders = live.filter("not few").groupBy("path").agg(
+        F.min_by(F.struct("node", "component", "sketch_a", "sketch_b"), F.xxhash64("path", "node")).alias("y")
     )
-    return materialize(both.mapInArrow(_confirm(n, percent), "u long, v long"), "links")
+    return pairs.unionByName(many.join(leaders, "path").filter(one & _alike(threshold)).select(*ends))
 
 
 def near_duplicates(
@@ -243,78 +273,86 @@ def near_duplicates(
     id in reach. Rows without an id link like others, but a component only gets an
     id from its rows that have one; ids below zero are not supported beside null ids.
     """
-    trees = trees_for(percent / 100, recall)
-    rows = materialize(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
-            _sketch(shingle), _SKETCH
-        ),
-        "sketches",
-    )
+    spark = docs.sparkSession
+    threshold = percent / 100
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    # rows without an id go by a negative number that their text determines
+    no_id = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(-(1 << 63)))
+    plain = plain.withColumn("own", F.coalesce("id", no_id))
+    rows = materialize(plain.mapInArrow(_sketch(shingle), _SKETCH), "sketches")
     key = ["set_a", "set_b", "n_shingles"]
-    # a node is the smallest id of an equal set; sets of rows without ids get a negative one
-    no_id = F.col("set_a").bitwiseOR(F.lit(-(1 << 63)))
-    reps = rows.filter("n_shingles > 0").groupBy(*key).agg(F.min("id").alias("node"))
-    reps = reps.withColumn("node", F.coalesce("node", no_id))
-    one = rows.filter("n_shingles > 0").withColumn("node", F.coalesce("id", no_id))
+    filled = rows.filter("n_shingles > 0")
+    # a node is an equal set, named by its smallest id
+    reps = filled.groupBy(*key).agg(F.coalesce(F.min("id"), F.min("own")).alias("node"))
     nodes = materialize(
-        # the rows that name their node; of repeated ids, the one with the smallest digest
-        reps.join(one.drop("id"), [*key, "node"], "inner")
-        .groupBy("node", *key)
-        .agg(*[F.min(c).alias(c) for c in ("mins", "sketch_a", "sketch_b", "packed")]),
+        filled.join(reps, key)
+        .filter("own = node")
+        .groupBy("node")
+        .agg(F.min(F.struct(*key, "mins", "sketch_a", "sketch_b")).alias("s"))
+        .select("node", "s.mins", "s.sketch_a", "s.sketch_b"),
         "nodes",
     )
+    table = f"near_dedup_{uuid.uuid4().hex}"
+    packed = plain.select("own", "text").mapInArrow(_pack, "own long, packed binary")
+    packed = packed.join(reps.select(F.col("node").alias("own")).distinct(), "own").groupBy("own").agg(F.min("packed").alias("packed"))
+    n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (
+        packed.withColumnRenamed("own", "node")
+        .write.bucketBy(n_buckets, "node")
+        .option("path", new_path(spark, "packed"))
+        .saveAsTable(table)
+    )
+    try:
+        components = _components(nodes, _Checker(spark.table(table), shingle, percent), threshold, recall)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+    ids = reps.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = ids.withColumn("component", F.when(F.col("component") >= 0, F.col("component")))
+    out = rows.select("id", *key).join(ids, key, "left")
+    return out.select(
+        F.col("id").alias(id_col),
+        "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
+    )
+
+
+def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: float) -> DataFrame:
     none = F.lit(0).cast("long")
     seeds = nodes.select("node", "mins", "sketch_a", "sketch_b", none.alias("path"), none.alias("used"))
-    level = materialize(seeds.mapInArrow(_branch(trees), _ENTRY), "paths")
+    level = materialize(seeds.mapInArrow(_branch(trees_for(threshold, recall)), _ENTRY), "paths")
 
-    # every node against the smallest node of its first paths
+    # every node against the smallest node of its first paths; a path of one node is done
     first = level.groupBy("path").agg(
         F.count("*").alias("n"), F.min(F.struct("node", "sketch_a", "sketch_b")).alias("y")
     )
+    level = materialize(level.join(first.filter("n > 1").select("path", "y"), "path"), "paths")
     pairs = (
         level.alias("x")
-        .join(first.filter("n > 1"), "path")
-        .filter((F.col("x.node") != F.col("y.node")) & _alike(percent / 100))
+        .filter((F.col("x.node") != F.col("y.node")) & _alike(threshold))
         .select(F.col("y.node").alias("u"), F.col("x.node").alias("v"))
     )
-    links = _links(pairs, nodes, shingle, percent)
-    known = materialize(connected_components(links), "components")
+    known = connected_components(checker.links(pairs))
+    level = level.drop("y")
 
-    # down the paths that still hold several components
-    found = None
     while True:
         labelled = level.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = materialize(labelled, "labelled")
-        sizes = (
-            labelled.groupBy("path")
-            .agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b"))
-            .filter("a < b")
-        )
-        live = materialize(labelled.join(sizes.select("path", "n"), "path"), "live")
-        done = (F.col("n") <= LEAF) | (F.bit_count("used") >= COORDINATES)
-        leaf = live.filter(done)
-        across = (
-            leaf.alias("x")
-            .join(leaf.alias("y"), "path")
-            .filter("x.node < y.node and x.component != y.component")
-            .filter(_alike(percent / 100))
-            .select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
-        )
-        across = materialize(across.distinct(), "across")
-        found = across if found is None else found.unionByName(across)
-        rest = live.filter(~done)
+        # by component first, so that a path's count is a sum over few rows
+        sizes = labelled.groupBy("path", "component").agg(F.count("*").alias("n"))
+        sizes = sizes.groupBy("path").agg(
+            F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")
+        ).filter("parts > 1")
+        sizes = sizes.withColumn("few", (F.col("n") - F.col("most")) * F.col("n") <= PAIRS)
+        live = materialize(labelled.join(sizes.select("path", "main", "few"), "path"), "live")
+        # a path without unused coordinates cannot branch: compared as a whole
+        live = live.withColumn("few", F.col("few") | (F.bit_count("used") >= COORDINATES))
+        links = checker.links(_across(live, threshold))
+        if not links.isEmpty():
+            known = connected_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+        rest = live.filter(~F.col("few")).select("path", "used", "node", "sketch_a", "sketch_b")
         if rest.isEmpty():
-            break
-        rest = rest.select("path", "used", "node", "sketch_a", "sketch_b").join(nodes.select("node", "mins"), "node")
-        level = materialize(rest.mapInArrow(_branch(1), _ENTRY), "paths")
-
-    links = links.unionByName(_links(found, nodes, shingle, percent))
-    components = connected_components(links)
-    ids = reps.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = ids.withColumn("component", F.when(F.col("component") >= 0, F.col("component")))
-    out = rows.select("id", *key).join(ids, key, "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
-    )
+            return known
+        rest = rest.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = rest.groupBy("path").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+        rest = rest.join(mixed.select("path"), "path").select("path", "used", "node", "sketch_a", "sketch_b")
+        level = materialize(rest.join(nodes.select("node", "mins"), "node").mapInArrow(_branch(1), _ENTRY), "paths")

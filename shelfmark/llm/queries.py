@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe
+from shelfmark.llm import bpe, fingerprint, langid, toxicity
 from shelfmark.llm.near_dedup import near_duplicates
 from shelfmark.llm.substring_dedup import dedup_substrings
 
@@ -18,6 +18,17 @@ def vocabulary_path():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op2_bpe(spark, sf_dir):
     path = vocabulary_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,8 +52,37 @@ def op5_near_dedup(spark, sf_dir):
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    held_out = F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+def op9_fingerprints(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = fingerprint.add_fingerprint(docs, "text", "fingerprint")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = fingerprint.with_next(docs, "doc_id", ["text", "fingerprint"], parts)
+    rows = rows.withColumn("edited", fingerprint.edited_text(F.col("text"), F.col("next.text")))
+    rows = fingerprint.add_fingerprint(rows, "edited", "edited_fingerprint")
+    own = F.col("fingerprint")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprint.likeness(own, F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprint.likeness(own, F.col("next.fingerprint")).alias("near_next"),
+    )
+
+
 def queries():
     return {
+        "op1_toxicity": op1_toxicity,
+        "op6_language_id": op6_language_id,
+        "op9_fingerprints": op9_fingerprints,
         "op2_bpe": op2_bpe,
         "op5_near_dedup": op5_near_dedup,
         "op3_substring_dedup": op3_substring_dedup,

@@ -39,7 +39,7 @@ DIMENSIONS = 8
 PER_CLASS = 3000
 MAX_WINDOWS = 400
 THRESHOLD = 0.3
-EPOCHS = 30
+EPOCHS = 14
 
 
 @lru_cache
