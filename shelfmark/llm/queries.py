@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, fingerprint, langid, toxicity
+from shelfmark.llm import bpe, fingerprint, langid, mixing, toxicity
 from shelfmark.llm.near_dedup import near_duplicates
 from shelfmark.llm.substring_dedup import dedup_substrings
 
@@ -47,6 +47,11 @@ def op3_substring_dedup(spark, sf_dir):
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_source_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.schedule(docs).select("doc_id", "source", "slot", "place")
+
+
 def op5_near_dedup(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -84,6 +89,7 @@ def queries():
         "op6_language_id": op6_language_id,
         "op9_fingerprints": op9_fingerprints,
         "op2_bpe": op2_bpe,
+        "op4_source_mixing": op4_source_mixing,
         "op5_near_dedup": op5_near_dedup,
         "op3_substring_dedup": op3_substring_dedup,
     }
