@@ -58,9 +58,9 @@ def _low(h: Column) -> Column:
 def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with string column ``name``, the fingerprint of column ``text``."""
     # one projection for each step, so that every step is computed once
-    found, hashes, filled, bins = (f"{name}_{x}" for x in ("words", "hashes", "filled", "bins"))
+    found, hashes, filled, codes, bins = (f"{name}_{x}" for x in ("words", "hashes", "filled", "codes", "bins"))
     df = df.withColumn(found, words(F.col(text)))
-    df = df.withColumn(hashes, F.array_sort(_shingle_hashes(F.col(found)))).drop(found)
+    df = df.withColumn(hashes, F.sort_array(_shingle_hashes(F.col(found)))).drop(found)
     h = F.col(hashes)
     # sorted by signed value, equal bins are still neighbours: the first of each is its least
     lead = F.filter(h, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(h, i - 1))))
@@ -68,20 +68,31 @@ def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     f = F.col(filled)
     steps = F.array(*[F.lit(s) for s in _walks()])
     every = F.sequence(F.lit(0), F.lit(BINS - 1))
+    unit = 1 << BITS
 
     def lender(i):
         # (when the walk of bin i meets the filled bin, its low bits), least first
         met = F.transform(
-            f,
-            lambda x: ((_bin(x) - i) * F.get(steps, i)).bitwiseAND(F.lit(BINS - 1)) * (1 << BITS) + _low(x),
+            f, lambda x: ((_bin(x) - i) * F.get(steps, i)).bitwiseAND(F.lit(BINS - 1)) * unit + _low(x)
         )
-        return F.array_min(met).bitwiseAND(F.lit((1 << BITS) - 1))
+        return F.array_min(met).bitwiseAND(F.lit(unit - 1))
 
-    # all bins filled: each lends to itself
-    in_order = F.array_sort(F.transform(f, lambda x: _bin(x) * (1 << BITS) + _low(x)))
-    own = F.transform(in_order, lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)))
-    values = F.when(F.size(f) == BINS, own).when(F.size(f) > 0, F.transform(every, lender))
-    df = df.withColumn(bins, values).drop(filled)
+    # filled bins as (bin, 0, low bits) and all bins as (bin, 1, 0), sorted; a bin is empty
+    # if no filled one of its number comes just before
+    filled_codes = F.transform(f, lambda x: _bin(x) * (2 * unit) + _low(x))
+    every_code = F.transform(every, lambda i: i * (2 * unit) + unit)
+    df = df.withColumn(codes, F.when(F.size(f) > 0, F.sort_array(F.concat(filled_codes, every_code))))
+    c = F.col(codes)
+
+    def stays(x, i):
+        return (x.bitwiseAND(F.lit(unit)) == 0) | (i == 0) | (F.get(c, i - 1) < x - unit)
+
+    def value(x):
+        empty = x.bitwiseAND(F.lit(unit)) != 0
+        return F.when(empty, lender(F.shiftright(x, BITS + 1))).otherwise(x.bitwiseAND(F.lit(unit - 1)))
+
+    values = F.transform(F.filter(c, stays), value)
+    df = df.withColumn(bins, values).drop(filled, codes)
     packed = F.array_join(F.transform(F.col(bins), lambda v: F.lpad(F.lower(F.hex(v)), _DIGITS, "0")), "")
     return df.withColumn(name, F.coalesce(packed, F.lit(""))).drop(bins)
 

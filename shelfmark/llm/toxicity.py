@@ -12,9 +12,9 @@ gradient of a text goes through its worst windows.
 The softmax is linear in the embeddings, so a trained table shrinks to one number per
 bucket, and scoring a text is a lookup and three averages over its whole length.
 
-Training reads a bounded sample: at most ``PER_CLASS`` labelled texts of each class, the
-first by a hash of the id, and of each at most ``MAX_WINDOWS`` evenly spaced windows.
-Scoring covers every text as a whole.
+Training reads a bounded sample: at most ``TOXIC_TEXTS`` and ``CLEAN_TEXTS`` labelled texts, the
+first by a hash of the id, without those of over ``TRAIN_CHARS`` characters, and of a clean
+text ``CLEAN_WINDOWS`` evenly spaced windows. Scoring covers every text as a whole.
 
 Definitions: a null text, or one without words, has score 0. Without labels of both
 classes every score is 0. Labels that are null are ignored; if a document has several
@@ -36,9 +36,13 @@ BUCKETS = 1 << 18
 WINDOW = 10
 GRAMS = (3, 4, 5, 6)
 DIMENSIONS = 8
-PER_CLASS = 3000
-MAX_WINDOWS = 400
+#: Most toxic and most clean texts of a training sample; of a clean one, most windows.
+TOXIC_TEXTS, CLEAN_TEXTS = 1000, 4000
+CLEAN_WINDOWS = 24
+#: Longer texts are not trained on: their label says too little about any one window.
+TRAIN_CHARS = 12_000
 THRESHOLD = 0.3
+TOXIC_WEIGHT = 3.0
 EPOCHS = 14
 
 
@@ -126,35 +130,35 @@ class Model:
         return 1 / (1 + np.exp(-(worst + self.bias)))
 
 
-def _by_window(s: Subwords, window: np.ndarray):
-    order = np.argsort(window[s.word], kind="stable")
-    return order, np.concatenate([[0], np.cumsum(np.bincount(window[s.word], minlength=window.max() + 1))])
-
-
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Embeddings and softmax from texts and their 0/1 labels."""
     labels = np.asarray(labels)
     if not (labels == 1).any() or not (labels == 0).any():
         return Model(np.zeros(BUCKETS, np.float32), -np.inf)
-    bucket, word_of, text_of, n_words = [], [], [], 0
-    for lo, _, data, offsets in text_slices(pa.array(texts, pa.large_string())):
+    parts, text = [], []
+    for lo, hi, data, offsets in text_slices(pa.array(texts, pa.large_string())):
         s = subwords(data, offsets)
-        bucket.append(s.bucket)
-        word_of.append(s.word + n_words)
-        text_of.append(s.text + lo)
-        n_words += len(s.text)
-    s = Subwords(*map(np.concatenate, (bucket, word_of, text_of)))
-    if not n_words:
+        if not len(s.text):
+            continue
+        window, of_text = _windows(s.text, hi - lo)
+        # weight of each subword in its window's mean: mean over words of means over subwords
+        of = window[s.word]
+        weight = 1 / np.bincount(s.word)[s.word] / np.bincount(window)[of]
+        every = np.bincount(of_text, minlength=hi - lo)
+        rank = np.arange(len(of_text)) - np.repeat(np.cumsum(every) - every, every)
+        step = np.maximum(1, -(-every // CLEAN_WINDOWS))[of_text]
+        kept = (labels[lo:hi][of_text] == 1) | (rank % step == 0)
+        order = np.argsort(of, kind="stable")
+        order = order[kept[of[order]]]
+        sizes = np.bincount(of, minlength=len(of_text))[kept]
+        parts.append((s.bucket[order].astype(np.int32), weight[order].astype(np.float32), sizes))
+        text.append(of_text[kept] + lo)
+    if not parts:
         return Model(np.zeros(BUCKETS, np.float32), -np.inf)
-    window, text = _windows(s.text, len(texts))
+    bucket, weight, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    text, bound = np.concatenate(text), np.concatenate([[0], np.cumsum(sizes)])
+    del parts
     n_windows = len(text)
-    # weight of each subword in its window's mean: mean over words of means over subwords
-    per_word = np.bincount(s.word, minlength=n_words)
-    per_window = np.bincount(window, minlength=n_windows)
-    weight = (1 / per_word / per_window[window])[s.word].astype(np.float32)
-    order = np.argsort(window[s.word], kind="stable")
-    bucket, weight, of = s.bucket[order], weight[order], window[s.word][order]
-    bound = np.searchsorted(of, np.arange(n_windows + 1))
     first = np.searchsorted(text, np.arange(len(texts)))  # text -> its first window
     last = np.searchsorted(text, np.arange(len(texts)), "right")
 
@@ -166,7 +170,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     has = last > first
     for epoch in range(EPOCHS):
         table = emb @ (soft[:, 1] - soft[:, 0])
-        logits = np.bincount(of, table[bucket] * weight, n_windows)
+        logits = np.zeros(n_windows, np.float32)
+        for i in range(0, n_windows, 4096):  # in pieces, for memory
+            j = min(i + 4096, n_windows)
+            piece = slice(bound[i], bound[j])
+            logits[i:j] = np.add.reduceat(table[bucket[piece]] * weight[piece], bound[i:j] - bound[i])
         by_score = np.lexsort((-logits, text))
         # a toxic text teaches by its worst window, a clean one by its worst few and by
         # random ones; at first, when nothing is known, all by random ones
@@ -182,7 +190,6 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             picked.append(own)
             target.append(np.full(len(own), labels[i]))
         picked, target = np.concatenate(picked), np.concatenate(target)
-        share = np.bincount(target, minlength=2) / len(target)
         shuffled = rng.permutation(len(picked))
         for part in np.array_split(shuffled, max(1, len(shuffled) // 256)):
             rows, y = picked[part], target[part]
@@ -195,7 +202,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             z = np.exp(z - z.max(1, keepdims=True))
             p = z / z.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
-            g = p * (0.5 / share[y] / len(y))[:, None].astype(np.float32)
+            g = p * (np.where(y == 1, TOXIC_WEIGHT, 1.0) / len(y))[:, None].astype(np.float32)
             g_soft, g_bias, g_x = x.T @ g, g.sum(0), g @ soft.T
             touched, where = np.unique(b, return_inverse=True)
             grad = np.zeros((len(touched), DIMENSIONS), np.float32)
@@ -215,37 +222,21 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(text, toxic) of at most ``per_class`` labelled documents of each class."""
+def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of a bounded number of labelled documents of each class."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out()).withColumn("at", F.xxhash64("doc_id"))
     picked = None
-    for toxic in (0, 1):
-        part = known.filter(F.col("toxic") == toxic).orderBy("at", "doc_id").limit(per_class).drop("at")
+    for toxic, most in ((0, CLEAN_TEXTS), (1, TOXIC_TEXTS)):
+        part = known.filter(F.col("toxic") == toxic).orderBy("at", "doc_id").limit(most).drop("at")
         picked = part if picked is None else picked.unionByName(part)
-    # at most 2 * per_class rows of two numbers: safe to broadcast
+    # a bounded number of rows of two numbers: safe to broadcast
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
 
 
-def _thin(batches):
-    """Texts with more than MAX_WINDOWS windows cut down to evenly spaced ones (training only)."""
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            words = (text or "").split()
-            if len(words) > WINDOW * MAX_WINDOWS:
-                at = np.linspace(0, len(words) - WINDOW, MAX_WINDOWS).astype(int)
-                text = "\n".join(" ".join(words[i : i + WINDOW]) for i in at)
-            out.append(text or "")
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(out, pa.string()), batch.column("toxic").cast(pa.int32())],
-            names=["doc_id", "text", "toxic"],
-        )
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the bounded sample, trained on the driver."""
-    rows = training_sample(docs, labels).mapInArrow(_thin, "doc_id long, text string, toxic int").collect()
+    rows = training_sample(docs, labels).filter(F.length("text") <= TRAIN_CHARS).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
