@@ -11,8 +11,9 @@ components of the links.
     a path of one tree with probability p = 1 - (1 - t p) ** BRANCH at least, at any
     depth (0.9375 for t = 0.8 and two branches), and trees repeat until the target
     recall is reached.
-3.  First, every node is compared with the smallest node on each of its first paths.
-    This is linear in the rows and joins most large groups into components.
+3.  First, every node is compared with the leader of each of its first paths: the node
+    nearest to ``PROBES`` random ones, so the original in a group of edited copies. This
+    is linear in the rows and joins most large groups into components.
 4.  Then paths are followed down. Only nodes of different components need to be compared,
     so a path of one component is done. On the others, nodes outside the path's main
     component are compared with all its nodes if these are few pairs (``PAIRS``); else
@@ -49,6 +50,7 @@ COORDINATES = 64
 BRANCH = 2
 #: A path with at most so many pairs across components is compared exhaustively.
 PAIRS = 40_000
+PROBES = 8
 RECALL = 0.999
 
 
@@ -187,10 +189,7 @@ def _alike(threshold: float):
     """Whether the sketches of two nodes (prefixes x, y) allow a similarity at the threshold."""
     p = (1 - threshold) / 2
     slack = int(MINS * p + 4 * (MINS * p * (1 - p)) ** 0.5) + 1
-    bits = F.bit_count(F.col("x.sketch_a").bitwiseXOR(F.col("y.sketch_a"))) + F.bit_count(
-        F.col("x.sketch_b").bitwiseXOR(F.col("y.sketch_b"))
-    )
-    return bits <= slack
+    return _distance("x.", "y.") <= slack
 
 
 def _confirm(n, percent):
@@ -222,6 +221,31 @@ def _confirm(n, percent):
     return run
 
 
+def _distance(a: str, b: str):
+    """Sketch bits in which two prefixes differ."""
+    return F.bit_count(F.col(f"{a}sketch_a").bitwiseXOR(F.col(f"{b}sketch_a"))) + F.bit_count(
+        F.col(f"{a}sketch_b").bitwiseXOR(F.col(f"{b}sketch_b"))
+    )
+
+
+def _led(paths: DataFrame) -> DataFrame:
+    """The rows of paths with several nodes, with ``y``: the row of the path's leader."""
+    names = [f"_p{i}" for i in range(PROBES)]
+    probes = paths.groupBy("path").agg(
+        F.count("*").alias("_n"),
+        *[
+            F.min_by(F.struct("sketch_a", "sketch_b"), F.xxhash64("node", F.lit(i))).alias(n)
+            for i, n in enumerate(names)
+        ],
+    )
+    near = paths.join(probes.filter("_n > 1"), "path")
+    near = near.withColumn("_d", sum(_distance("", f"{n}.") for n in names)).drop("_n", *names)
+    near = materialize(near, "near")
+    others = [c for c in paths.columns if c not in ("path", "used")]
+    leaders = near.groupBy("path").agg(F.min_by(F.struct(*others), F.struct("_d", "node")).alias("y"))
+    return near.drop("_d").join(leaders, "path")
+
+
 class _Checker:
     """Confirms candidate pairs; no pair is looked at twice."""
 
@@ -252,11 +276,8 @@ def _across(live: DataFrame, threshold: float) -> DataFrame:
     minor = few.filter("component != main").alias("x")
     every = few.select("path", "node", "component", "sketch_a", "sketch_b").alias("y")
     pairs = minor.join(every, "path").filter(one & _alike(threshold)).select(*ends)
-    many = live.filter("not few").alias("x")
-    leaders = live.filter("not few").groupBy("path").agg(
-        F.min_by(F.struct("node", "component", "sketch_a", "sketch_b"), F.xxhash64("path", "node")).alias("y")
-    )
-    return pairs.unionByName(many.join(leaders, "path").filter(one & _alike(threshold)).select(*ends))
+    many = _led(live.filter("not few").select("path", "node", "component", "sketch_a", "sketch_b")).alias("x")
+    return pairs.unionByName(many.filter(one & _alike(threshold)).select(*ends))
 
 
 def near_duplicates(
@@ -321,18 +342,15 @@ def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: f
     seeds = nodes.select("node", "mins", "sketch_a", "sketch_b", none.alias("path"), none.alias("used"))
     level = materialize(seeds.mapInArrow(_branch(trees_for(threshold, recall)), _ENTRY), "paths")
 
-    # every node against the smallest node of its first paths; a path of one node is done
-    first = level.groupBy("path").agg(
-        F.count("*").alias("n"), F.min(F.struct("node", "sketch_a", "sketch_b")).alias("y")
-    )
-    level = materialize(level.join(first.filter("n > 1").select("path", "y"), "path"), "paths")
+    # every node against the leader of its first paths
+    led = materialize(_led(level), "paths")
     pairs = (
-        level.alias("x")
+        led.alias("x")
         .filter((F.col("x.node") != F.col("y.node")) & _alike(threshold))
-        .select(F.col("y.node").alias("u"), F.col("x.node").alias("v"))
+        .select(F.least("y.node", "x.node").alias("u"), F.greatest("y.node", "x.node").alias("v"))
     )
     known = connected_components(checker.links(pairs))
-    level = level.drop("y")
+    level = led.drop("y")
 
     while True:
         labelled = level.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
