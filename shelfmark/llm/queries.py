@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, fingerprint, langid, mixing, toxicity, url_filter, warc
+from shelfmark.llm import ann, bpe, fingerprint, langid, mixing, toxicity, url_filter, warc
 from shelfmark.llm.near_dedup import near_duplicates
 from shelfmark.llm.substring_dedup import dedup_substrings
 from shelfmark.session import new_path
@@ -74,6 +74,10 @@ def op6_language_id(spark, sf_dir):
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+def op7_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op8_warc(spark, sf_dir):
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return warc.read_archives(manifest).select(
@@ -114,6 +118,7 @@ def queries():
         "op4_source_mixing": op4_source_mixing,
         "op5_near_dedup": op5_near_dedup,
         "op6_language_id": op6_language_id,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_warc": op8_warc,
         "op9_fingerprints": op9_fingerprints,
         "op10_url_filter": op10_url_filter,
