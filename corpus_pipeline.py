@@ -1,25 +1,70 @@
 """The training-data pipeline over ``documents``: each stage's decisions take effect.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's ``docs``.
+Parquet and read again as the next stage's ``docs``. All stages but the last return
+the columns of documents; extra columns of the input are dropped.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm import bpe, mixing, toxicity
+from shelfmark.llm.near_dedup import near_duplicates
+from shelfmark.llm.queries import vocabulary_path
 from shelfmark.llm.substring_dedup import dedup_substrings
+from shelfmark.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Word shingles of the near-duplicate stage, and their least similarity in hundredths.
+SHINGLE, PERCENT = 5, 80
 
 
-def substring_dedup(spark, docs, sf_dir):
-    """Words of repeated passages go; every document stays."""
-    cut = dedup_substrings(docs).drop("n_words", "n_removed", "kept_sha256")
+def remove_toxic(spark, docs, sf_dir):
+    """Documents with a toxicity score of at least the threshold go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.select(*COLUMNS), model, name="_toxicity")
+    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+
+
+def remove_near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Of rows with equal ids one stays; rows without an id are kept unless they repeat one another.
+    """
+    found = near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    numbered = docs.select(*COLUMNS).join(kept, "doc_id")
+    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    numbered = numbered.withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
+    nameless = docs.select(*COLUMNS).filter("doc_id is null").dropDuplicates(["text"])
+    return numbered.unionByName(nameless)
+
+
+def remove_repeated_passages(spark, docs, sf_dir):
+    """Words of passages that occur more than once go; every document stays."""
+    cut = dedup_substrings(docs.select(*COLUMNS)).drop("n_words", "n_removed", "kept_sha256")
     cut = cut.withColumnRenamed("kept_text", "text")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def mix_sources(spark, docs, sf_dir):
+    """All documents in the order of the mixture."""
+    return mixing.mix(docs.select(*COLUMNS))
+
+
+def encode(spark, docs, sf_dir):
+    """Token ids of each document, and the text that they decode to."""
+    coded = bpe.encode(docs.select(*COLUMNS), vocabulary_path()).drop("text")
+    coded = bpe.decode(coded, vocabulary_path(), decoded="text")
+    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 STAGES = [
-    ("substring dedup", substring_dedup),
+    ("toxicity", remove_toxic),
+    ("near dedup", remove_near_duplicates),
+    ("substring dedup", remove_repeated_passages),
+    ("source mixing", mix_sources),
+    ("bpe", encode),
 ]
 
 #: The stages use trained models, hashing and scheduling, which SQL cannot express.
@@ -27,8 +72,6 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    from shelfmark.session import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
