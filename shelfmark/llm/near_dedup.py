@@ -51,6 +51,7 @@ BRANCH = 2
 #: A path with at most so many pairs across components is compared exhaustively.
 PAIRS = 40_000
 PROBES = 8
+_NO_ID = 1 << 62
 RECALL = 0.999
 
 
@@ -292,13 +293,13 @@ def near_duplicates(
 
     ``percent`` is the least similarity in hundredths. ``component_id`` is the smallest
     id in reach. Rows without an id link like others, but a component only gets an
-    id from its rows that have one; ids below zero are not supported beside null ids.
+    id from its rows that have one. Ids are below 2 ** 62.
     """
     spark = docs.sparkSession
     threshold = percent / 100
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    # rows without an id go by a negative number that their text determines
-    no_id = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(-(1 << 63)))
+    # rows without an id go by a larger number that their text determines
+    no_id = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
     plain = plain.withColumn("own", F.coalesce("id", no_id))
     rows = materialize(plain.mapInArrow(_sketch(shingle), _SKETCH), "sketches")
     key = ["set_a", "set_b", "n_shingles"]
@@ -328,7 +329,7 @@ def near_duplicates(
     finally:
         spark.sql(f"DROP TABLE {table}")
     ids = reps.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = ids.withColumn("component", F.when(F.col("component") >= 0, F.col("component")))
+    ids = ids.withColumn("component", F.when(F.col("component") < _NO_ID, F.col("component")))
     out = rows.select("id", *key).join(ids, key, "left")
     return out.select(
         F.col("id").alias(id_col),
