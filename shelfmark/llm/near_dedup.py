@@ -41,6 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.batches import small_batches
 from shelfmark.llm.graph import connected_components
 from shelfmark.llm.words import lower_ascii, mix, owner, run_hashes, text_slices, word_hashes, word_spans
 from shelfmark.session import materialize, new_path
@@ -234,17 +235,17 @@ def _led(paths: DataFrame) -> DataFrame:
     names = [f"_p{i}" for i in range(PROBES)]
     probes = paths.groupBy("path").agg(
         F.count("*").alias("_n"),
-        *[
-            F.min_by(F.struct("sketch_a", "sketch_b"), F.xxhash64("node", F.lit(i))).alias(n)
-            for i, n in enumerate(names)
-        ],
+        # of plain numbers, so that the aggregation is by hash and not by sorting
+        *[F.min_by("sketch_a", F.xxhash64("node", F.lit(i))).alias(n) for i, n in enumerate(names)],
     )
     near = paths.join(probes.filter("_n > 1"), "path")
-    near = near.withColumn("_d", sum(_distance("", f"{n}.") for n in names)).drop("_n", *names)
-    near = materialize(near, "near")
+    far = sum(F.bit_count(F.col("sketch_a").bitwiseXOR(F.col(n))).cast("long") for n in names)
+    # by distance, ties by a hash
+    order = F.shiftleft(far, 48) + F.shiftrightunsigned(F.xxhash64("node", "path"), 16)
+    near = materialize(near.withColumn("_d", order).drop("_n", *names), "near")
     others = [c for c in paths.columns if c not in ("path", "used")]
-    leaders = near.groupBy("path").agg(F.min_by(F.struct(*others), F.struct("_d", "node")).alias("y"))
-    return near.drop("_d").join(leaders, "path")
+    leaders = near.groupBy("path").agg(*[F.min_by(c, "_d").alias(c) for c in others])
+    return near.drop("_d").join(leaders.select("path", F.struct(*others).alias("y")), "path")
 
 
 class _Checker:
@@ -297,37 +298,38 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     threshold = percent / 100
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    # rows without an id go by a larger number that their text determines
-    no_id = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
-    plain = plain.withColumn("own", F.coalesce("id", no_id))
-    rows = materialize(plain.mapInArrow(_sketch(shingle), _SKETCH), "sketches")
-    key = ["set_a", "set_b", "n_shingles"]
-    filled = rows.filter("n_shingles > 0")
-    # a node is an equal set, named by its smallest id
-    reps = filled.groupBy(*key).agg(F.coalesce(F.min("id"), F.min("own")).alias("node"))
-    nodes = materialize(
-        filled.join(reps, key)
-        .filter("own = node")
-        .groupBy("node")
-        .agg(F.min(F.struct(*key, "mins", "sketch_a", "sketch_b")).alias("s"))
-        .select("node", "s.mins", "s.sketch_a", "s.sketch_b"),
-        "nodes",
-    )
-    table = f"near_dedup_{uuid.uuid4().hex}"
-    packed = plain.select("own", "text").mapInArrow(_pack, "own long, packed binary")
-    packed = packed.join(reps.select(F.col("node").alias("own")).distinct(), "own").groupBy("own").agg(F.min("packed").alias("packed"))
-    n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (
-        packed.withColumnRenamed("own", "node")
-        .write.bucketBy(n_buckets, "node")
-        .option("path", new_path(spark, "packed"))
-        .saveAsTable(table)
-    )
-    try:
-        components = _components(nodes, _Checker(spark.table(table), shingle, percent), threshold, recall)
-    finally:
-        spark.sql(f"DROP TABLE {table}")
+    with small_batches(spark):
+        plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+        # rows without an id go by a larger number that their text determines
+        no_id = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
+        plain = plain.withColumn("own", F.coalesce("id", no_id))
+        rows = materialize(plain.mapInArrow(_sketch(shingle), _SKETCH), "sketches")
+        key = ["set_a", "set_b", "n_shingles"]
+        filled = rows.filter("n_shingles > 0")
+        # a node is an equal set, named by its smallest id
+        reps = filled.groupBy(*key).agg(F.coalesce(F.min("id"), F.min("own")).alias("node"))
+        nodes = materialize(
+            filled.join(reps, key)
+            .filter("own = node")
+            .groupBy("node")
+            .agg(F.min(F.struct(*key, "mins", "sketch_a", "sketch_b")).alias("s"))
+            .select("node", "s.mins", "s.sketch_a", "s.sketch_b"),
+            "nodes",
+        )
+        table = f"near_dedup_{uuid.uuid4().hex}"
+        packed = plain.select("own", "text").mapInArrow(_pack, "own long, packed binary")
+        packed = packed.join(reps.select(F.col("node").alias("own")).distinct(), "own").groupBy("own").agg(F.min("packed").alias("packed"))
+        n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        (
+            packed.withColumnRenamed("own", "node")
+            .write.bucketBy(n_buckets, "node")
+            .option("path", new_path(spark, "packed"))
+            .saveAsTable(table)
+        )
+        try:
+            components = _components(nodes, _Checker(spark.table(table), shingle, percent), threshold, recall)
+        finally:
+            spark.sql(f"DROP TABLE {table}")
     ids = reps.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = ids.withColumn("component", F.when(F.col("component") < _NO_ID, F.col("component")))
     out = rows.select("id", *key).join(ids, key, "left")
