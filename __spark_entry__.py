@@ -201,13 +201,18 @@ def result_json(spark, sf_dir):
     )
 
 
-def conversation_export(spark, sf_dir):
-    lines = F.transform(
-        "conversation", lambda m: F.concat(m["role"], F.lit(": "), m["content"])
-    )
-    return C.conversation_export(T.messages(spark, sf_dir)).withColumn(
-        "conversation", _join(lines, "\n")
-    )
+def _unnumbered(spark, sf_dir):
+    """The dump in files without ``seq``, as real dumps come; read back in arrival order."""
+    path = new_path(spark, "dump")
+    T.products(spark, sf_dir).orderBy("seq").drop("seq").write.parquet(path)
+    return build_catalog(readers.read_products(spark, path))
+
+
+def write_conversations(spark, sf_dir):
+    path = new_path(spark, "conversations")
+    writers.write_conversations(T.messages(spark, sf_dir), path)
+    schema = "model string, conv_id long, turn long, role string, content string, total_messages long"
+    return spark.read.schema(schema).json(path)
 
 
 # ------------------------------------------------------------ catalog build
@@ -318,7 +323,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "upsert_counts": upsert_counts,
         "result_json": result_json,
         "batch_report": lambda s, d: P.batch_report(_searched(s, d)),
-        "conversation_export": conversation_export,
+        "conversation_export": lambda s, d: C.conversation_export(T.messages(s, d)),
+        "write_conversations": write_conversations,
+        "category_paths_by_arrival": lambda s, d: _unnumbered(s, d).category_paths,
+        "catalog_by_arrival": lambda s, d: _show_lists(_unnumbered(s, d).catalog()),
         "unanswered_turns": lambda s, d: C.unanswered_turns(T.messages(s, d)).drop("role"),
         "filter_lang": lambda s, d: I.filter_lang(T.table(s, d, "documents"), "fr").drop("text"),
         "valid_products": lambda s, d: _valid(s, d).select("seq", "code", "categories"),

@@ -579,7 +579,8 @@ def oracle_sql():
         "upsert_counts": with_(TREES, "SELECT count(*) AS processed, count(*) FILTER (o.name IS NULL) AS inserted, count(*) FILTER (o.name IS NOT NULL) AS updated FROM tree AS t LEFT JOIN older_tree AS o USING (name)"),
         "result_json": with_(TWO_PASS, _results()),
         "batch_report": with_(_REPORTED, f"SELECT {_REPORT_COLS} FROM report"),
-        "conversation_export": with_([MESSAGES], "SELECT model, conv_id, CAST(0 AS BIGINT) AS page, string_agg(concat(role, ': ', content), chr(10) ORDER BY turn) AS conversation, count(*) AS total_messages FROM messages GROUP BY model, conv_id"),
+        "conversation_export": with_([MESSAGES], "SELECT model, conv_id, turn, role, content, count(*) OVER (PARTITION BY model, conv_id) AS total_messages FROM messages"),
+        "write_conversations": with_([MESSAGES], "SELECT model, conv_id, turn, role, content, count(*) OVER (PARTITION BY model, conv_id) AS total_messages FROM messages"),
         "unanswered_turns": with_([MESSAGES], "SELECT model, conv_id, turn, content FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM messages) WHERE role = 'user' AND nxt IS DISTINCT FROM 'assistant'"),
         "filter_lang": "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'fr'",
         "valid_products": with_(BUILD[:3], "SELECT seq, code, categories FROM valid"),
@@ -597,6 +598,8 @@ def oracle_sql():
         "lang_distribution_products": with_(BUILD[:3], "SELECT lang, count(*) AS n_records FROM valid GROUP BY lang"),
         "distinct_tags": with_(BUILD[:3], "SELECT DISTINCT unnest(food_groups_tags) AS value FROM valid"),
         "distinct_categories": with_(BUILD[:3], f"SELECT DISTINCT unnest({list_items('categories')}) AS value FROM valid"),
+        "category_paths_by_arrival": with_(TREES[:5], "SELECT name, path FROM paths"),
+        "catalog_by_arrival": with_(BUILD, shown_catalog("catalog")),
         "category_paths": with_(TREES[:5], "SELECT name, path FROM paths"),
         "category_tree": with_(TREES[:6], f"SELECT name, {joined('ancestors', ' > ')} AS ancestors, len(ancestors) AS n_ancestors FROM tree"),
         "ingest_counts": with_(BUILD[:2], f"SELECT count(*) FILTER ({valid()}) AS processed, count(*) FILTER (NOT {valid()}) AS skipped FROM records"),

@@ -2,53 +2,31 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from shelfmark.plans.skew import salted_join
 
-# Messages per exported document. Turns are unique within a conversation, so a
-# document never holds more; longer conversations continue on the next page.
-PAGE_TURNS = 1000
-
 
 def conversation_lengths(messages: DataFrame) -> DataFrame:
     return messages.groupBy("model", "conv_id").agg(F.count("*").alias("total_messages"))
 
 
 def conversation_export(messages: DataFrame) -> DataFrame:
-    """(model, conv_id, page, conversation, total_messages), messages in order.
+    """(model, conv_id, turn, role, content, total_messages), one row per message.
 
-    No task ever holds a whole conversation: pages are assembled one by one, and
-    the totals come from a combined count joined with the hot keys spread.
+    The shape is the same at every length of a conversation; the totals come from a
+    combined count joined with the hot keys spread.
     """
-    message = F.struct("turn", "role", "content")
     key = F.to_json(F.struct("model", "conv_id"))
-    pages = messages.groupBy(
-        "model", "conv_id", F.floor(F.col("turn") / PAGE_TURNS).alias("page")
-    ).agg(F.array_sort(F.collect_list(message)).alias("conversation"))
     totals = conversation_lengths(messages).select(key.alias("_conv"), "total_messages")
-    n_pages = totals.select(
-        "_conv", F.ceil(F.col("total_messages") / PAGE_TURNS).alias("n_rows")
-    )
-    joined = salted_join(
-        pages.withColumn("_conv", key), totals, "_conv", [F.col("page")], counts=n_pages
-    )
-    turns = F.transform(
-        "conversation", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
-    )
-    return joined.withColumn("conversation", turns).drop("_conv")
+    counts = totals.select("_conv", F.col("total_messages").alias("n_rows"))
+    rows = messages.select("model", "conv_id", "turn", "role", "content", key.alias("_conv"))
+    return salted_join(rows, totals, "_conv", [F.col("turn")], counts=counts).drop("_conv")
 
 
 def unanswered_turns(messages: DataFrame) -> DataFrame:
-    """User turns that no assistant turn follows: the call failed.
-
-    Messages are logged one by one, so turns are consecutive numbers.
-    """
-    nxt = messages.select(
-        "model",
-        "conv_id",
-        (F.col("turn") - 1).alias("turn"),
-        (F.col("role") == "assistant").alias("_answer"),
-    ).filter("_answer")
-    return messages.filter(F.col("role") == "user").join(
-        nxt, ["model", "conv_id", "turn"], "left_anti"
-    )
+    """User messages whose next message, if any, is not the assistant's: the call failed."""
+    following = F.lead("role").over(W.partitionBy("model", "conv_id").orderBy("turn"))
+    rows = messages.withColumn("_next", following)
+    lost = (F.col("role") == "user") & ~F.col("_next").eqNullSafe("assistant")
+    return rows.filter(lost).drop("_next")

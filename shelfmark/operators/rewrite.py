@@ -6,8 +6,9 @@ A rewriter is a function from a DataFrame of requests to a DataFrame of answers:
   (the last two are the level-1 answer when level 2 is asked);
 * answer: the columns of ``schemas.REWRITE``, one row per request.
 
-Two are provided. One that calls a service is a ``mapInPandas`` over the requests
-with ``decision.rewrite_prompt`` and ``decision.parse_decision`` around it.
+Three are provided: none at hand, a table of answers, and a service. A request that
+a rewriter leaves out counts as answered with "no match found", and of several answers
+to one request the smallest counts, so no query is lost or multiplied.
 """
 
 from collections.abc import Callable
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import constants as K
+from shelfmark.functions.decision import parse_decision, rewrite_prompt
 from shelfmark.functions.text import is_set
 from shelfmark.schemas import REWRITE
+from shelfmark.session import materialize
 
 Rewriter = Callable[[DataFrame], DataFrame]
 
@@ -50,13 +53,11 @@ def offline_rewriter(requests: DataFrame) -> DataFrame:
 def lookup_rewriter(rewrites: DataFrame) -> Rewriter:
     """Answers from a table (level, input_string, decision, rephrased_query).
 
-    The table holds each (level, input_string) once; requests that are not in it
-    get "no match found".
+    Of several answers to one (level, input_string) the smallest counts; requests that
+    are not in it get "no match found".
     """
-    table = rewrites.select(
-        "level",
-        "input_string",
-        F.struct("decision", "rephrased_query").alias("_answer"),
+    table = rewrites.groupBy("level", "input_string").agg(
+        F.min(F.struct("decision", "rephrased_query")).alias("_answer")
     )
 
     def rewrite(requests: DataFrame) -> DataFrame:
@@ -80,6 +81,50 @@ def lookup_rewriter(rewrites: DataFrame) -> Rewriter:
     return rewrite
 
 
+def service_rewriter(ask: Callable) -> Rewriter:
+    """A rewriter that calls a service.
+
+    ``ask`` is a ``mapInPandas`` function from batches of (query_no, level, prompt) to
+    (query_no, level, content); content is the answer's text, null if the call failed.
+    """
+    first = rewrite_prompt("input_string", "top_name")
+    second = rewrite_prompt("input_string", "top_name", "decision", "rephrased_query")
+
+    def rewrite(requests: DataFrame) -> DataFrame:
+        prompt = F.when(F.col("level") == 1, first).otherwise(second).alias("prompt")
+        contents = requests.select("query_no", "level", prompt).mapInPandas(
+            ask, "query_no long, level int, content string"
+        )
+        parsed = F.when(F.col("level") == 1, parse_decision("content", 1)).otherwise(
+            parse_decision("content", 2)
+        )
+        return _answers(contents.select("query_no", "level", parsed.alias("_p")).select("query_no", "level", "_p.*"))
+
+    return rewrite
+
+
+def _asked(requests: DataFrame, rewriter: Rewriter, name: str) -> DataFrame:
+    """One answer for every request. Written, so that the rewriter is asked once."""
+    fields = [f.name for f in REWRITE.fields if f.name not in ("query_no", "level")]
+    requests = materialize(requests, f"{name}_requests")
+    answers = rewriter(requests).groupBy("query_no").agg(F.min(F.struct(*fields)).alias("_a"))
+    joined = requests.select("query_no", "level").join(answers, "query_no", "left")
+    missing = F.when(F.col("_a").isNull(), K.OFFLINE_ERROR)
+    return materialize(
+        _answers(
+            joined.select(
+                "query_no",
+                "level",
+                F.coalesce("_a.model", _model()).alias("model"),
+                F.coalesce("_a.decision", F.when(F.col("_a").isNull(), K.NO_MATCH_FOUND)).alias("decision"),
+                F.col("_a.rephrased_query").alias("rephrased_query"),
+                F.coalesce("_a.error", missing).alias("error"),
+            )
+        ),
+        name,
+    )
+
+
 def route_queries(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     """Hits, best score and next step of every query after its first pass."""
     found = ranked.groupBy("query_no").agg(
@@ -128,7 +173,7 @@ def rewrite_queries(routed: DataFrame, rewriter: Rewriter) -> DataFrame:
         none.alias("decision"),
         none.alias("rephrased_query"),
     )
-    asked = routed.join(_prefixed(rewriter(level1), "level1"), "query_no", "left")
+    asked = routed.join(_prefixed(_asked(level1, rewriter, "level1"), "level1"), "query_no", "left")
 
     settled = rephrased("level1") | F.coalesce(
         F.col("level1_decision").isin(K.NOT_A_PRODUCT, K.VALID_PRODUCT), F.lit(False)
@@ -141,7 +186,7 @@ def rewrite_queries(routed: DataFrame, rewriter: Rewriter) -> DataFrame:
         F.col("level1_decision").alias("decision"),
         F.col("level1_rephrased_query").alias("rephrased_query"),
     )
-    answered = asked.join(_prefixed(rewriter(level2), "level2"), "query_no", "left")
+    answered = asked.join(_prefixed(_asked(level2, rewriter, "level2"), "level2"), "query_no", "left")
     return answered.withColumn(
         "next_query",
         F.when(rephrased("level1"), F.col("level1_rephrased_query")).when(

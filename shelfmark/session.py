@@ -20,7 +20,9 @@ def work_dir(spark: SparkSession) -> str:
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.conf.get("spark.app.id", "local")
-    return _LOCAL_DIRS.setdefault(app, tempfile.mkdtemp(prefix="run-"))
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="run-")
+    return _LOCAL_DIRS[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -11,13 +11,30 @@ from shelfmark.functions import text as X
 from shelfmark.schemas import QUERIES, SRC
 
 
-def read_products(spark: SparkSession, path, fmt: str = "parquet", schema=SRC) -> DataFrame:
+def _arrival(fmt: str):
+    """Sortable text of a record's place in the dump: file name, then position."""
+    position = F.col("_metadata.row_index")
+    if fmt != "parquet":
+        # block start plus the number in the task: a block has more bytes than records
+        within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        position = F.col("_metadata.file_block_start") + within
+    return F.concat("_metadata.file_path", F.lit("#"), F.lpad(position.cast("string"), 20, "0"))
+
+
+def read_products(
+    spark: SparkSession, path, fmt: str = "parquet", schema=SRC, arrival: bool | None = None
+) -> DataFrame:
     """Product dump with an explicit schema: unused source fields are never decoded.
 
-    In JSON, a product name that is not a list fails to parse into ``NAMES`` and
-    becomes null, that is "no names".
+    ``arrival`` derives ``seq`` from the order of files and records, for a dump without that
+    field; by default where Parquet footers have none, and for other formats. In
+    JSON, a product name that is not a list fails to parse into ``NAMES`` and becomes
+    null, that is "no names".
     """
-    return spark.read.schema(schema).format(fmt).load(path)
+    df = spark.read.schema(schema).format(fmt).load(path)
+    if arrival is None:
+        arrival = fmt != "parquet" or "seq" not in spark.read.parquet(path).columns
+    return df.withColumn("seq", _arrival(fmt)) if arrival else df
 
 
 def stream_products(

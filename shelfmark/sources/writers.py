@@ -74,13 +74,13 @@ def write_results(result: SearchResult, path: str, timestamp=None) -> None:
 
 
 def write_conversations(messages: DataFrame, path: str, timestamp=None) -> None:
-    """Conversations as JSON documents; without messages nothing is written."""
+    """Messages as JSON rows in order; without messages nothing is written."""
     stamp = F.current_timestamp() if timestamp is None else timestamp
     if messages.isEmpty():
         return
     (
         conversation_export(messages)
         .withColumn("exported_at", stamp)
-        .orderBy("model", "conv_id", "page")
+        .orderBy("model", "conv_id", "turn")
         .write.json(path)
     )

@@ -191,3 +191,18 @@ def test_filter_is_pushed_and_columns_pruned(spark, source, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,pl)" in plan
     assert "ReadSchema: struct<code:string,lang:string>" in plan
+
+
+def test_arrival_order_of_a_dump_without_numbers(spark, source, build, tmp_path):
+    rows = source.orderBy("seq").drop("seq")
+    for fmt in ("parquet", "json"):
+        path = str(tmp_path / fmt)
+        rows.repartitionByRange(3, "code").write.format(fmt).save(path)
+        again = readers.read_products(spark, path, fmt)
+        assert again.filter("seq is null").count() == 0
+        assert again.select("seq").distinct().count() == source.count()
+    one = str(tmp_path / "one")
+    rows.coalesce(1).write.json(one)
+    got = build_catalog(readers.read_products(spark, one, "json"))
+    assert as_dict(got.category_paths, "name", "path") == as_dict(build.category_paths, "name", "path")
+    assert sorted(map(str, got.catalog().collect())) == sorted(map(str, build.catalog().collect()))

@@ -28,30 +28,30 @@ def product(seq, name, brands, categories, quantity="1 kg", labels=None):
 
 
 PRODUCTS = [
-    product(1, "Krem orzechowy", "Babcia", "Food,Spreads,Krem orzechowy", "350 g", "Bio"),
-    product(2, "Krem migdałowy", "Natura", "Food,Spreads,Krem migdałowy", "500 g"),
-    product(3, "Masło orzechowe", "Natura", "Food,Spreads,Masło", "500 g"),
+    product(1, "Kasza jaglana", "Młynarz", "Groceries,Groats,Kasza jaglana", "350 g", "Bio"),
+    product(2, "Kasza gryczana", "Natura", "Groceries,Groats,Kasza gryczana", "500 g"),
+    product(3, "Mąka jaglana", "Natura", "Groceries,Flours,Mąka", "500 g"),
     product(4, "Woda, gazowana", 'Z "gór"', "Food,Woda", "1,5 l"),
 ]
 LINES = [
-    "Krem orzechowy Babcia 350 g",  # 1 good at once
-    "orzech",  # 2 no hits: level 1 rewrites
-    "KremMigd500g",  # 3 weak: level 1 has no idea, level 2 rewrites
+    "Kasza jaglana Młynarz 350 g",  # 1 good at once
+    "jagl",  # 2 no hits: level 1 rewrites
+    "KaszaGrycz500g",  # 3 weak: level 1 has no idea, level 2 rewrites
     "woda",  # 4 weak: confirmed
     "reklamówka",  # 5 no hits, not a product
-    "masło",  # 6 weak, neither level helps
+    "mąka",  # 6 weak, neither level helps
     "natura",  # 7 weak: rewritten to something that is not there
     "brak trafień",  # 8 no hits, no idea: level 2 is not asked
 ]
 REWRITES = [
-    (1, "orzech", K.REPHRASED, "krem orzechowy"),
-    (1, "KremMigd500g", K.REPHRASED, ""),
-    (2, "KremMigd500g", K.REPHRASED, "krem migdałowy natura 500 g"),
+    (1, "jagl", K.REPHRASED, "kasza jaglana"),
+    (1, "KaszaGrycz500g", K.REPHRASED, ""),
+    (2, "KaszaGrycz500g", K.REPHRASED, "kasza gryczana natura 500 g"),
     (1, "woda", K.VALID_PRODUCT, None),
     (1, "reklamówka", K.NOT_A_PRODUCT, None),
-    (2, "masło", K.VALID_PRODUCT, None),
+    (2, "mąka", K.VALID_PRODUCT, None),
     (1, "natura", K.REPHRASED, "qwerty"),
-    (2, "brak trafień", K.REPHRASED, "masło"),
+    (2, "brak trafień", K.REPHRASED, "mąka"),
 ]
 
 
@@ -89,7 +89,7 @@ def test_rewrites_and_second_pass(result):
         W.ASK_WITHOUT_HITS,
     ]
     assert [q[i].next_query for i in range(1, 9)] == [
-        None, "krem orzechowy", "krem migdałowy natura 500 g", None, None, None, "qwerty", None,
+        None, "kasza jaglana", "kasza gryczana natura 500 g", None, None, None, "qwerty", None,
     ]
     assert [q[i].level2_decision for i in (3, 6)] == [K.REPHRASED, K.VALID_PRODUCT]
     assert all(q[i].level2_model is None for i in (1, 2, 4, 5, 7, 8))
@@ -109,7 +109,7 @@ def test_rankings_are_permutations(result):
         assert [r.fuzzy_rank for r in ordered] == dense
 
 
-@pytest.mark.parametrize("query,best", [("migdałowy", "0002"), ("babcia", "0001"), ("gazowana", "0004")])
+@pytest.mark.parametrize("query,best", [("gryczana", "0002"), ("młynarz", "0001"), ("woda gazowana", "0004")])
 def test_rerank_prefers_the_matching_product(spark, catalog, query, best):
     q = spark.createDataFrame([(1, query)], QUERIES)
     hits = catalog.select(
@@ -141,13 +141,13 @@ def test_report_rows(result):
     assert [r[0] for r in rows[:5]] == ["1.Mongo", "1.Fuzzy", "2.Mongo", "2.Fuzzy", "2.level-1"]
     mine = {r[0]: r for r in rows}
     assert mine["2.level-1"][2:] == (
-        f"{K.REPHRASED}: krem orzechowy", "0", "AI", K.REPHRASED, "krem orzechowy",
+        f"{K.REPHRASED}: kasza jaglana", "0", "AI", K.REPHRASED, "kasza jaglana",
     )
     assert mine["5.Mongo"] == ("5.Mongo", "reklamówka", "", "0", "", "", "")
     assert mine["5.level-1"][2:] == (K.NOT_A_PRODUCT, "0", "AI", K.NOT_A_PRODUCT, "")
     # Report names are stripped but not made distinct.
-    assert mine["1.Fuzzy"][2] == "Krem orzechowy"
-    assert mine["1.Fuzzy"][5:] == ("Food,Spreads,Krem orzechowy", "Krem orzechowy; Krem orzechowy")
+    assert mine["1.Fuzzy"][2] == "Kasza jaglana"
+    assert mine["1.Fuzzy"][5:] == ("Groceries,Groats,Kasza jaglana", "Kasza jaglana; Kasza jaglana")
     counts = P.report_counts(P.report_rows(result)).first()
     assert (counts.total_rows, counts.products_processed) == (len(rows), len(LINES))
 
@@ -189,13 +189,13 @@ def test_result_documents(spark, result, tmp_path):
     docs = [json.loads(x) for f in files for x in f.read_text("utf-8").splitlines()]
     assert [d["query_no"] for d in docs] == list(range(1, len(LINES) + 1))
     one, two, five = docs[0], docs[1], docs[4]
-    assert one["formatted_string"] == "krem orzechowy babcia 350 g"
+    assert one["formatted_string"] == "kasza jaglana młynarz 350 g"
     assert one["direct_search"]["count"] == len(one["direct_search"]["results"])
     assert one["best_match"]["product"] == one["rapidfuzz_search"]["results"][0]
     assert one["best_match"]["score"] >= 550 and "openai_level1" not in one
     # The formatted text is that of the original query.
-    assert two["formatted_string"] == "orzech"
-    assert two["openai_level1"]["rephrased_query"] == "krem orzechowy"
+    assert two["formatted_string"] == "jagl"
+    assert two["openai_level1"]["rephrased_query"] == "kasza jaglana"
     assert five["rapidfuzz_search"] == {"count": 0, "results": []}
     assert five["match_status"] == "no_match" and "best_match" not in five
     scores = [h["rapidfuzz_score"] for h in one["rapidfuzz_search"]["results"]]
@@ -261,7 +261,7 @@ def test_service_rewriter_plugs_in(spark, queries, catalog):
 
     def ask(batches):
         for b in batches:
-            b["content"] = '{"decision": "rephrased_successfully", "rephrased_query": "krem orzechowy"}'
+            b["content"] = '{"decision": "rephrased_successfully", "rephrased_query": "kasza jaglana"}'
             yield b[["query_no", "level", "content"]]
 
     def rewriter(requests):
@@ -285,7 +285,7 @@ MESSAGES = [
 MESSAGE = "model string, conv_id long, turn long, role string, content string"
 
 
-def test_conversations(spark, tmp_path, monkeypatch):
+def test_conversations(spark, tmp_path):
     messages = spark.createDataFrame(MESSAGES, MESSAGE)
     lost = C.unanswered_turns(messages).collect()
     assert {(r.model, r.turn) for r in lost} == {("m1", 3), ("m2", 0)}
@@ -293,14 +293,11 @@ def test_conversations(spark, tmp_path, monkeypatch):
     writers.write_conversations(messages, path)
     files = sorted(Path(path).glob("part-*.json"))
     docs = [json.loads(x) for f in files for x in f.read_text().splitlines()]
-    assert [(d["model"], d["total_messages"]) for d in docs] == [("m1", 6), ("m2", 1)]
-    assert docs[0]["conversation"][0] == {"role": "system", "content": "s"}
+    shown = [tuple(d[k] for k in ("model", "conv_id", "turn", "role", "content")) for d in docs]
+    assert shown == MESSAGES and [d["total_messages"] for d in docs] == [6] * 6 + [1]
     assert "exported_at" in docs[0]
-    monkeypatch.setattr(C, "PAGE_TURNS", 2)
-    pages = C.conversation_export(messages).orderBy("model", "page").collect()
-    assert [(r.model, r.page, len(r.conversation), r.total_messages) for r in pages] == [
-        ("m1", 0, 2, 6), ("m1", 1, 2, 6), ("m1", 2, 2, 6), ("m2", 0, 1, 1),
-    ]
+    gaps = spark.createDataFrame([("m", 1, 1, "user", "q"), ("m", 1, 3, "assistant", "a")], MESSAGE)
+    assert C.unanswered_turns(gaps).count() == 0
     empty = tmp_path / "none"
     writers.write_conversations(messages.limit(0), str(empty))
     assert not empty.exists()
@@ -339,13 +336,44 @@ def test_empty_batch_and_empty_catalog(spark, queries, catalog):
     assert P.report_rows(bare).count() == 3 * len(LINES)
 
 
-def test_catalog_is_cut_down_to_many_hits(spark, queries, catalog, monkeypatch):
-    hits = catalog.select(
-        F.lit(1).cast("long").alias("query_no"), "_id", F.lit(1.0).alias("score"),
-        F.col("_id").cast("int").alias("text_rank"),
-    ).filter("text_rank < 3")
-    want = sorted(map(str, R.fuzzy_rerank(hits, queries, catalog).collect()))
-    monkeypatch.setattr(R, "_FEW_HITS", 0)
-    reduced = R.fuzzy_rerank(hits, queries, catalog)
-    assert "LeftSemi" in reduced._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(map(str, reduced.collect())) == want
+def requests_of(spark, rows):
+    schema = "query_no long, input_string string, n_hits long, top_name string, route string"
+    return spark.createDataFrame(rows, schema)
+
+
+ROUTED = [(1, "a", 2, "A", W.ASK), (2, "b", 0, None, W.ASK_WITHOUT_HITS), (3, "c", 1, "C", W.DONE), (4, "d", 1, "D", W.ASK)]
+
+
+def test_the_service_is_asked_once(spark, tmp_path):
+    log = str(tmp_path)
+
+    def ask(batches):
+        import uuid
+
+        for b in batches:
+            for n, level in zip(b["query_no"], b["level"]):
+                Path(log, f"{level}-{n}-{uuid.uuid4().hex}").touch()
+            b["content"] = ["not_a_product" if n == 4 else None if n == 2 else "{}" for n in b["query_no"]]
+            yield b[["query_no", "level", "content"]]
+
+    q = by_query(W.rewrite_queries(requests_of(spark, ROUTED), W.service_rewriter(ask)))
+    assert sorted(p.name[:3] for p in tmp_path.iterdir()) == ["1-1", "1-2", "1-4", "2-1"]
+    assert q[4].level1_decision == K.NOT_A_PRODUCT and q[4].level2_model is None
+    assert (q[2].level1_decision, q[2].level1_error is None) == (K.NO_MATCH_FOUND, False)
+    assert q[3].level1_model is None
+
+
+def test_missing_and_repeated_answers(spark):
+    table = [(1, "a", K.VALID_PRODUCT, None), (1, "a", K.REPHRASED, "x")]
+    table = spark.createDataFrame(table, "level int, input_string string, decision string, rephrased_query string")
+
+    def lazy(requests):
+        answers = W.lookup_rewriter(table)(requests).filter("query_no = 1")
+        return answers.unionByName(answers)
+
+    q = W.rewrite_queries(requests_of(spark, ROUTED), lazy).collect()
+    assert sorted(r.query_no for r in q) == [1, 2, 3, 4]
+    q = {r.query_no: r for r in q}
+    assert q[1].level1_decision == min(K.VALID_PRODUCT, K.REPHRASED)
+    assert q[2].level1_decision == q[4].level1_decision == K.NO_MATCH_FOUND
+    assert q[2].level1_error and q[4].level1_error

@@ -75,14 +75,15 @@ def test_empty_strings_score_zero():
 
 DOCUMENT = {
     "product_name": [
-        {"lang": "main", "text": "Krem Orzechowy Classic"},
-        {"lang": "fr", "text": "Pâte aux noisettes"},
+        {"lang": "it", "text": "Farina di ceci"},
+        {"lang": "main", "text": "Mąka z ciecierzycy"},
+        {"lang": "en", "text": None},
     ],
-    "brands": "Kuchnia Babci",
-    "categories": ["Spożywcze", " ", "Kremy", "Kremy Czekoladowe", "Kremy Orzechowe"],
-    "categories_tags": ["en:spreads", "", None, "en:sweet-spreads"],
-    "labels": ["Bez glutenu", None, "Eko"],
-    "quantity": "350 g",
+    "brands": "Młyn Nad Wartą",
+    "categories": ["Produkty suche", "", "Mąki", "Mąki bezglutenowe"],
+    "categories_tags": [None, "en:legume-flours"],
+    "labels": [None, "Wegańskie"],
+    "quantity": "2 x 0.5 kg",
 }
 FIELDS = (
     f"product_name {NAMES.simpleString()}, brands string, categories array<string>,"
@@ -96,23 +97,35 @@ def field_scores(spark, queries, document=DOCUMENT):
     return {r["input_string"]: r.asDict() for r in S.with_field_scores(df).collect()}
 
 
+def similar(a, b):
+    a, b = a.lower(), b.lower()
+    return max(token_sort(a, b), partial(a, b))
+
+
+def expected_scores(query):
+    """The five scores by the definition, from the plain ratios."""
+    categories = [c for c in DOCUMENT["categories"] if c.strip()]
+    weighted = [similar(query, c) * (1 + 0.1 * i) for i, c in enumerate(categories)]
+    tags = [similar(query, t[3:].replace("-", " ")) for t in DOCUMENT["categories_tags"] if t]
+    return {
+        "names_score": max(similar(query, n["text"]) for n in DOCUMENT["product_name"] if n["text"]),
+        "brands_score": similar(query, DOCUMENT["brands"]),
+        "categories_score": min(100, max(weighted + tags)),
+        "labels_score": max(similar(query, x) for x in DOCUMENT["labels"] if x),
+        "quantity_score": similar(query, DOCUMENT["quantity"]),
+    }
+
+
 def test_field_scores(spark):
-    got = field_scores(spark, ["ORZECHOWY", "babci", "czekoladowe", "sweet spreads", "eko", "350g"])
-    assert got["ORZECHOWY"]["names_score"] == 100
-    assert got["babci"]["brands_score"] == 100
-    assert got["czekoladowe"]["categories_score"] == 100  # weighted above 100, then capped
-    assert got["sweet spreads"]["categories_score"] == 100
-    assert got["eko"]["labels_score"] == 100
-    assert got["350g"]["quantity_score"] == max(token_sort("350g", "350 g"), partial("350g", "350 g"))
-    for r in got.values():
-        total = (
-            r["names_score"] * 3.0
-            + r["brands_score"] * 2.0
-            + r["categories_score"] * 1.5
-            + r["labels_score"] * 1.0
-            + r["quantity_score"] * 0.5
-        )
-        assert r["rapidfuzz_score"] == total
+    queries = ["ceci farina", "nad wartą młyn", "mąki", "legume flours", "wegan", "0.5kg", "qx"]
+    got = field_scores(spark, queries)
+    for query in queries:
+        want = expected_scores(query)
+        for field, value in want.items():
+            assert abs(got[query][field] - value) < 1e-9, (query, field)
+        weights = dict(zip(want, (3.0, 2.0, 1.5, 1.0, 0.5), strict=True))
+        total = sum(want[f] * w for f, w in weights.items())
+        assert abs(got[query]["rapidfuzz_score"] - total) < 1e-9
 
 
 def test_specificity_counts_non_blank_categories(spark):
@@ -124,10 +137,10 @@ def test_specificity_counts_non_blank_categories(spark):
 
 
 def test_missing_fields_score_zero(spark):
-    got = field_scores(spark, ["test"], {})["test"]
+    got = field_scores(spark, ["ceci"], {})["ceci"]
     assert got["rapidfuzz_score"] == 0.0
-    only_name = {"product_name": [{"lang": "en", "text": "Test Product"}]}
-    assert field_scores(spark, ["test"], only_name)["test"]["rapidfuzz_score"] == 300.0
+    only_label = {"labels": ["ceci secchi"]}
+    assert field_scores(spark, ["ceci"], only_label)["ceci"]["rapidfuzz_score"] == 100.0
 
 
 def test_scorer_is_called_once_per_row(spark):

@@ -60,54 +60,55 @@ def test_product_names(spark):
     assert got == [want for _, want in cases]
 
 
-VALID = [
-    (names(("en", "Jam")), "Food,Spreads", True),
-    (names(("en", ""), ("fr", "Confiture")), "Food", True),
-    (names(("en", "Jam")), "en:food,Spreads,fr:pates", True),
-    (names(("en", ""), ("fr", "   ")), "Food", False),
-    ([], "Food", False),
-    (None, "Food", False),
-    (names((None, None), (None, "Jam")), "Food", True),
-    (names(("en", "Jam")), "en:food,fr:pates", False),
-    (names(("en", "Jam")), "", False),
-    (names(("en", "Jam")), None, False),
-    (names(("en", "Jam")), "  , ,\t", False),
-    (names(("en", "Jam")), "Food,", True),
-    (names(("en", "Jam")), "en:food,PL:dżem", True),
-    (names(("en", "Jam")), "pl:", False),
-    (names(("en", "Jam")), "en:food, pl: ", False),
-    ([], "en:food", False),
-]
+# Validity is a name with content and a category that is plain or in the catalog's
+# language; each state of one is crossed with each state of the other.
+NAME_STATES = {
+    "absent": (None, False),
+    "no entries": ([], False),
+    "only blank": (names(("main", " "), ("pl", "\t"), ("es", None)), False),
+    "one of three": (names(("main", ""), ("es", "Aceite"), ("pl", None)), True),
+    "without language": (names((None, "Olej")), True),
+}
+CATEGORY_STATES = {
+    "absent": (None, False),
+    "empty": ("", False),
+    "separators": (",, ,", False),
+    "foreign": ("es:aceites,it:oli", False),
+    "plain": ("Oils", True),
+    "plain after foreign": ("es:aceites,Oils", True),
+    "own language": ("it:oli,pl:oleje", True),
+    "own language in capitals": ("PL:oleje", True),
+    "own language without a name": ("it:oli,pl: ", False),
+}
 
 
 def test_is_valid_product(spark):
     schema = f"product_name {NAMES.simpleString()}, categories string"
-    got = evaluate(spark, schema, [v[:2] for v in VALID], X.is_valid_product())
-    assert got == [v[2] for v in VALID]
-
-
-GIVEN = [
-    ("Food,Spreads,Jams", names(("main", "N")), "Jams"),
-    ("Food,Jams,en:jams", names(("main", "N")), "Jams"),
-    ("en:food,fr:pates", names(("pl", "A"), ("main", "N")), "N"),
-    ("en:food", names(("fr", ""), ("fr", "Pâte")), "Pâte"),
-    ("", [], ""),
-    (None, None, ""),
-    ("Food,pl:dżemy", names(("main", "N")), "dżemy"),
-    ("Food,PL:dżemy,en:x", names(("main", "N")), "dżemy"),
-    ("pl:a,Food", names(("main", "N")), "Food"),
-    ("Food,pl:", names(("main", "N")), "Food"),
-    ("Food,pl: jam", names(("main", "N")), " jam"),
-    (" , ", names(("main", ""), ("en", "E")), "E"),
-]
+    grid = [(n, c) for n in NAME_STATES.values() for c in CATEGORY_STATES.values()]
+    got = evaluate(spark, schema, [(n[0], c[0]) for n, c in grid], X.is_valid_product())
+    assert got == [n[1] and c[1] for n, c in grid]
+
+
+def given(categories, entries):
+    """The rule in plain Python: the last usable category, else the main name, else any."""
+    for c in reversed(categories):
+        if ":" not in c:
+            return c
+        if c.lower().startswith("pl:") and c[3:]:
+            return c[3:]
+    main = [e["text"] for e in entries if e["lang"] == "main" and e["text"]]
+    return (main or [e["text"] for e in entries if e["text"]] or [""])[0]
 
 
 def test_given_name(spark):
+    last = ["", "es:aceites", "pl:oleje", "PL:oleje", "pl:", "pl: z oliwek", "Oils"]
+    categories = [",".join(filter(None, (first, c))) for first in ("Groceries", "it:oli", "") for c in last]
+    entries = [[], names(("es", "Aceite")), names(("es", "Aceite"), ("main", "Olej")), names(("main", ""), ("it", "Olio"))]
+    rows = [(c, e) for c in categories for e in entries]
+    want = [given([x.strip() for x in c.split(",") if x.strip()], e) for c, e in rows]
     schema = f"c string, p {NAMES.simpleString()}"
-    rows = [g[:2] for g in GIVEN]
-    want = [g[2] for g in GIVEN]
-    assert evaluate(spark, schema, rows, X.given_name(X.split_list("c"), "p")) == want
-    assert evaluate(spark, schema, rows, X.given_name(X.list_items("c"), "p")) == want
+    for listed in (X.split_list("c"), X.list_items("c")):
+        assert evaluate(spark, schema, rows, X.given_name(listed, "p")) == want
 
 
 def test_lists(spark):
