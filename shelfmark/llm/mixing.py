@@ -30,7 +30,7 @@ BLOCK = 16
 RESOLUTION = 1000
 MAX_SOURCES = 1000
 #: Rows of a hash piece of a source, on average.
-PIECE_ROWS = 20_000
+PIECE_ROWS = 4_000
 
 
 def whole_weights(targets: dict, resolution: int = RESOLUTION) -> dict:
