@@ -32,6 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm.batches import small_batches
 from shelfmark.session import materialize
 
 SPLIT_BYTES = 4 << 20
@@ -89,13 +90,14 @@ def _writer(root):
         out, count = None, 0
         try:
             for batch in batches:
-                for r in batch.to_pylist():
-                    if out is None:
-                        files.create_dir(base, recursive=True)
-                        out = files.open_output_stream(f"{base}/{name}", compression=None)
-                    out.write(
-                        page_record(r["page_id"], r["url"], r["payload"].encode(), r["first_id"], r["revisit"])
-                    )
+                if out is None and batch.num_rows:
+                    files.create_dir(base, recursive=True)
+                    out = files.open_output_stream(f"{base}/{name}", compression=None)
+                # a few rows at a time as Python objects
+                rows = (r for i in range(0, batch.num_rows, 64) for r in batch.slice(i, 64).to_pylist())
+                for r in rows:
+                    payload = r["payload"].encode()
+                    out.write(page_record(r["page_id"], r["url"], payload, r["first_id"], r["revisit"]))
                     count += 1
         except BaseException:
             if out is not None:
@@ -123,7 +125,8 @@ def write_archives(
     other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     rows = rows.join(first, "key").withColumn("revisit", other & (F.octet_length("payload") >= dedup_from))
     manifest = rows.drop("key").mapInArrow(_writer(root), "path string, size long, records long")
-    return materialize(manifest, "manifest")
+    with small_batches(pages.sparkSession, "8m"):
+        return materialize(manifest, "manifest")
 
 
 def _member(file, at: int):
