@@ -2,21 +2,22 @@
 
 Vectors that are equal are one node, so copies cost nothing and never crowd a list; their
 ids are put back at the end. For the graph, vectors get one more component that makes them
-equally long, so that the largest inner product is the smallest angle, and are
-rounded to bytes; results are scored on the original vectors in double precision.
+equally long, so that the largest inner product is the smallest distance; results are
+scored on the original vectors in double precision.
 
 Graph. Nodes start with their nearest neighbours in ``DEALS`` random blocks of ``BLOCK`` nodes.
 An iteration joins each node's neighbours and reverse neighbours with one another: any
-two of them that improve each other's list are exchanged (neighbours of neighbours). Lists
+two of them that improve each other's list are exchanged (neighbours of neighbours), until
+an iteration changes less than ``CHANGED`` of all list entries. Lists
 keep ``DEGREE`` nodes, and at most ``REVERSE`` random reverse neighbours take part.
 
-Search. A query starts from the nearest of ``PIVOTS`` sampled nodes, then repeatedly expands
-its best unexpanded nodes: the frontier meets the graph, whose rows hold the
-neighbours' rounded vectors, in a join by node. ``BEAM`` best nodes are kept. After ``STEPS``
-steps the best ``RERANK`` are scored exactly.
+Search. A query starts from itself and the nearest of ``PIVOTS`` sampled and ``PIVOTS`` longest
+nodes, then repeatedly expands its best unexpanded nodes: the frontier meets the graph,
+whose rows hold the neighbours' vectors, in a join by node. ``BEAM`` best nodes are kept. When
+no query has an unexpanded node in its beam, the best ``RERANK`` are scored exactly.
 
 All work is spread over hash blocks of bounded mean size; nothing is collected but the
-pivots (``PIVOTS`` rows) and a maximum.
+pivots (twice ``PIVOTS`` rows) and a maximum.
 
 Definitions: vectors that are null, zero, of another length than most, or with a null or
 non-finite component take no part, as query or as candidate. Repeated ids are distinct rows
@@ -37,12 +38,12 @@ DEGREE = 32
 REVERSE = 24
 BLOCK = 4096
 DEALS = 2
-ITERATIONS = 3
+#: Share of list entries below which a change ends the iterations.
+CHANGED = 0.005
 OFFERS = 16
 PIVOTS = 2048
 BEAM = 256
 EXPAND = 128
-STEPS = 5
 RERANK = 80
 #: Nodes of a hash block of lists or queries.
 GROUP = 512
@@ -173,24 +174,33 @@ def _meet(table: pa.Table) -> pa.Table:
     return _lists(np.concatenate(to), np.concatenate(offer), np.concatenate(sim), 1 << 30)
 
 
-def build_graph(nodes: DataFrame, n: int, iterations: int = ITERATIONS) -> DataFrame:
+def build_graph(nodes: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     """Lists (node, ids, sims) of each node's nearest neighbours; ``nodes`` has node and code."""
     lists = None
     for deal in range(DEALS):
-        part = nodes.groupBy(_block("node", -(-n // BLOCK), deal + 1)).applyInArrow(_start, _LISTS)
+        part = nodes.groupBy(_block("node", -(-n // block), deal + 1)).applyInArrow(_start, _LISTS)
         lists = part if lists is None else lists.unionByName(part)
     group = _block("node", -(-n // GROUP), 7)
     lists = materialize(lists.groupBy(group).applyInArrow(_best, _LISTS), "lists")
-    for _ in range(iterations):
+    # one block has compared all pairs; else lists only get better, so that this ends
+    iteration, changed = 0, float(n > block)
+    while changed >= CHANGED:
+        iteration += 1
         forward = lists.select(F.col("node").alias("v"), F.explode("ids").alias("u"))
-        order = Window.partitionBy("u").orderBy(F.xxhash64("v", "u"))
+        # other reverse neighbours in each iteration
+        order = Window.partitionBy("u").orderBy(F.xxhash64("v", "u", F.lit(iteration)))
         back = forward.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE)
         edges = forward.unionByName(back.select(F.col("u").alias("v"), F.col("v").alias("u")))
         full = F.size("sims") >= DEGREE
         worst = lists.select("node", F.when(full, F.array_min("sims")).otherwise(float("-inf")).cast("float").alias("worst"))
         members = edges.join(nodes.join(worst, "node").withColumnRenamed("node", "u"), "u")
         offers = members.groupBy(_block("v", -(-n // GROUP), 7)).applyInArrow(_meet, _LISTS)
+        before = lists.select("node", F.col("ids").alias("old"))
         lists = materialize(lists.unionByName(offers).groupBy(group).applyInArrow(_best, _LISTS), "lists")
+        sizes = lists.join(before, "node", "left").select(
+            F.size("ids").alias("all"), F.size(F.array_except("ids", F.coalesce("old", F.array().cast("array<long>")))).alias("new")
+        )
+        changed = sizes.agg(F.sum("new") / F.sum("all")).first()[0] or 0.0
     return lists
 
 
@@ -225,11 +235,11 @@ def save_graph(lists: DataFrame, nodes: DataFrame, n: int, table: str) -> None:
     rows.write.bucketBy(n_buckets, "node").option("path", path).saveAsTable(table)
 
 
-_BEAM = "query long, code binary, ids array<long>, sims array<float>, fresh array<long>"
+_BEAM = "query long, code binary, ids array<long>, sims array<float>, fresh array<long>, done array<long>"
 
 
 def _beam_table(query, code, table, done) -> pa.Table:
-    """A beam row of each query; ``fresh`` are the nodes to expand next."""
+    """A beam row of each query; ``fresh`` are the nodes to expand next, ``done`` those of the beam that were expanded."""
     lists = {q: i for i, q in enumerate(table.column("node").to_pylist())}
     ids, sims = table.column("ids").to_pylist(), table.column("sims").to_pylist()
     fresh = [[x for x in ids[lists[q]] if x not in d][:EXPAND] for q, d in zip(query, done, strict=True)]
@@ -240,6 +250,7 @@ def _beam_table(query, code, table, done) -> pa.Table:
             "ids": pa.array([ids[lists[q]] for q in query], pa.list_(pa.int64())),
             "sims": pa.array([sims[lists[q]] for q in query], pa.list_(pa.float32())),
             "fresh": pa.array(fresh, pa.list_(pa.int64())),
+            "done": pa.array([[x for x in ids[lists[q]] if x in d] for q, d in zip(query, done, strict=True)], pa.list_(pa.int64())),
         }
     )
 
@@ -252,11 +263,18 @@ def _enter(pivots: list[tuple[int, bytes]]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            query, code = batch.column("query").to_numpy(), batch.column("code").to_pylist()
-            s = _matrix(batch.column("code"), np.int8).astype(np.float32) @ x.T
-            row, col = np.divmod(np.arange(s.size), s.shape[1])
-            best = _lists(query[row], node[col], s.ravel(), BEAM)
-            yield from _beam_table(query.tolist(), code, best, [()] * len(query)).to_batches()
+            for at in range(0, batch.num_rows, GROUP):
+                part = batch.slice(at, GROUP)
+                query, code = part.column("query").to_numpy(), part.column("code").to_pylist()
+                q = _matrix(part.column("code"), np.int8).astype(np.float32)
+                s, keep = q @ x.T, min(BEAM, len(node))
+                best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                ids, sims = node[best].ravel(), np.take_along_axis(s, best, 1).ravel()
+                # a query is a node too, with its own neighbours in the graph
+                own = np.einsum("ij,ij->i", q, q)
+                of = np.append(np.repeat(query, keep), query)
+                best = _lists(of, np.append(ids, query), np.append(sims, own), BEAM)
+                yield from _beam_table(query.tolist(), code, best, [()] * len(query)).to_batches()
 
     return run
 
@@ -293,16 +311,18 @@ def _advance(table: pa.Table) -> pa.Table:
     query = table.column("query").to_numpy()
     best = _lists(query[row], ids, sims, BEAM)
     beams = table.filter(pa.array(is_beam))
-    # what was in the beam and is not fresh is expanded already, and so are the fresh ones now
-    done = [
-        set(a) if len(f) < EXPAND else set(f) | set(a[: a.index(f[-1])])
-        for a, f in zip(beams.column("ids").to_pylist(), beams.column("fresh").to_pylist(), strict=True)
-    ]
+    done = [{*d, *f} for d, f in zip(beams.column("done").to_pylist(), beams.column("fresh").to_pylist(), strict=True)]
     return _beam_table(beams.column("query").to_pylist(), beams.column("code").to_pylist(), best, done)
 
 
 def nearest(
-    vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector: str = "embedding", steps: int = STEPS
+    vectors: DataFrame,
+    is_query,
+    k: int,
+    id_col: str = "vec_id",
+    vector: str = "embedding",
+    block: int = BLOCK,
+    pivots: int = PIVOTS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query``, its ``k`` nearest others."""
     rows = materialize(usable(vectors, id_col, vector).withColumn("query", is_query), "vectors")
@@ -316,32 +336,37 @@ def nearest(
     n, longest = stats["n"], float(stats["longest"] or 0) ** 0.5
     code = "node long, code binary"
     nodes = materialize(distinct.select("node", "vec").mapInArrow(_code(longest, longest), code), "nodes")
-    pivots = nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS).collect()
-    if not pivots:
+    # the longest vectors have the largest products with many queries
+    length = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    longest_first = distinct.select("node", length.alias("l")).orderBy(F.desc("l"), "node").limit(pivots).select("node")
+    sampled = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(pivots)
+    entries = nodes.join(F.broadcast(sampled.union(longest_first).distinct()), "node").collect()
+    if not entries:
         empty = "query_id long, rank int, vec_id long, score double"
         return vectors.sparkSession.createDataFrame([], empty)
     table = f"ann_{uuid.uuid4().hex}"
-    save_graph(build_graph(nodes, n), nodes, n, table)
+    save_graph(build_graph(nodes, n, block), nodes, n, table)
     try:
-        beams = _search(nodes.sparkSession.table(table), distinct, pivots, n, steps)
+        beams = _search(nodes.sparkSession.table(table), distinct, entries, n)
     finally:
         nodes.sparkSession.sql(f"DROP TABLE {table}")
     return _exact(beams, distinct, rows, k)
 
 
-def _search(graph: DataFrame, distinct: DataFrame, pivots: list, n: int, steps: int) -> DataFrame:
-    """Beams of all queries after ``steps`` expansions."""
+def _search(graph: DataFrame, distinct: DataFrame, pivots: list, n: int) -> DataFrame:
+    """Beams of all queries when all their nodes are expanded."""
     asked = distinct.filter("query").select("node", "vec")
     # a query has no added component: it only measures angles
     asked = asked.withColumn("vec", F.concat("vec", F.array(F.lit(0.0))))
     asked = asked.mapInArrow(_query_code, "query long, code binary")
     beams = materialize(asked.mapInArrow(_enter([(p["node"], p["code"]) for p in pivots]), _BEAM), "beams")
-    for _ in range(steps):
+    # a node is expanded once by a query, so that this ends
+    while not beams.filter(F.size("fresh") > 0).isEmpty():
         least = F.when(F.size("sims") >= BEAM, F.array_min("sims")).otherwise(float("-inf"))
         frontier = beams.select("query", "code", least.alias("least"), F.explode("fresh").alias("node"))
         scored = frontier.join(graph, "node").select("query", "code", "least", "ids", "codes")
         scored = scored.mapInArrow(_expand, "query long, ids array<long>, sims array<float>")
-        scored = scored.selectExpr("query", "CAST(NULL AS BINARY) code", "ids", "sims", "CAST(NULL AS ARRAY<BIGINT>) fresh")
+        scored = scored.selectExpr("query", "CAST(NULL AS BINARY) code", "ids", "sims", "CAST(NULL AS ARRAY<BIGINT>) fresh", "CAST(NULL AS ARRAY<BIGINT>) done")
         both = beams.unionByName(scored)
         beams = materialize(both.groupBy(_block("query", -(-n // GROUP), 7)).applyInArrow(_advance, _BEAM), "beams")
     return beams

@@ -168,6 +168,27 @@ def test_nearest_neighbours(spark):
     assert [i for _, i in got[100]] == [i for _, i in want[100]]  # ties among copies
 
 
+def recall(spark, x, asked=40, k=20):
+    """Recall where neither one block nor the pivots see all of the vectors."""
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    every = len(x) // asked
+    got = collections.defaultdict(set)
+    for r in ann.nearest(table, F.col("id") % every == 0, k, block=128, pivots=32).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    s = x[::every] @ x.T
+    s[np.arange(len(s)), np.arange(0, len(x), every)] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :k]
+    return np.mean([len(got[n * every] & set(w.tolist())) / k for n, w in enumerate(want)])
+
+
+def test_recall_beyond_blocks_and_pivots(spark):
+    rng = np.random.default_rng(5)
+    # groups of vectors, most of them without a pivot
+    x = rng.standard_normal((100, 1, 16)) + 0.2 * rng.standard_normal((100, 60, 16))
+    x = x.reshape(-1, 16)[rng.permutation(6000)]
+    assert recall(spark, x / np.linalg.norm(x, axis=1, keepdims=True)) >= 0.9
+
+
 def test_few_vectors(spark):
     for rows in ([], [(0, [1.0, 2.0])], [(0, [1.0, 2.0]), (7, [2.0, 1.0]), (9, [1.0, 2.0])]):
         table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
