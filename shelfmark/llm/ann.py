@@ -2,7 +2,8 @@
 
 Vectors that are equal are one node, so copies cost nothing and never crowd a list; their
 ids are put back at the end. For the graph, vectors get one more component that makes them
-equally long, so that the largest inner product is the smallest distance; results are
+equally long, so that the largest inner product is the smallest distance, and are kept in
+single precision, so that short vectors beside long ones keep their digits; results are
 scored on the original vectors in double precision.
 
 Graph. Nodes start with their nearest neighbours in ``DEALS`` random blocks of ``BLOCK`` nodes.
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.batches import small_batches
 from shelfmark.session import materialize, new_path
 
 DEGREE = 32
@@ -106,16 +108,19 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.filter(F.size("vec") == (size["s"] if size else 0))
 
 
-def _code(longest: float, top: float):
-    """Equally long vectors rounded to bytes, as one byte string each, from (node, vec)."""
+def _code(longest: float):
+    """Vectors for the graph as single-precision byte strings, from (node, vec).
+
+    The component sqrt(longest^2 - |v|^2) makes all equally long. It is kept as its difference
+    from ``longest``, which leaves distances as they are and is exact for short vectors too.
+    """
 
     def run(batches):
         for batch in batches:
             values, _ = _flat(batch.column("vec"))
-            x = values.reshape(batch.num_rows, -1)
-            rest = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
-            x = np.hstack([x, rest[:, None]]) * (127 / top)
-            code = np.rint(x).astype(np.int8)
+            x = values.reshape(batch.num_rows, -1) / longest
+            own = np.minimum((x * x).sum(1), 1)
+            code = np.hstack([x, (own / (1 + np.sqrt(1 - own)))[:, None]]).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array([r.tobytes() for r in code], pa.binary())], names=["node", "code"]
             )
@@ -123,13 +128,18 @@ def _code(longest: float, top: float):
     return run
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Half the squared distances of vectors, negative."""
+    return a @ b.T - (a * a).sum(1)[:, None] / 2 - (b * b).sum(1) / 2
+
+
 def _start(table: pa.Table) -> pa.Table:
     """Nearest neighbours inside one block."""
-    node, x = table.column("node").to_numpy(), _matrix(table.column("code"), np.int8).astype(np.float32)
+    node, x = table.column("node").to_numpy(), _matrix(table.column("code"), np.float32)
     n, keep = len(node), min(DEGREE, len(node) - 1)
     out = []
     for i in range(0, n if keep > 0 else 0, 512):
-        s = x[i : i + 512] @ x.T
+        s = _near(x[i : i + 512], x)
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
         best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
         out.append((np.repeat(node[i : i + 512], keep), node[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
@@ -148,7 +158,7 @@ def _meet(table: pa.Table) -> pa.Table:
     """The local join: members (u) of each node's (v) neighbourhood offered to one another."""
     v, u = table.column("v").to_numpy(), table.column("u").to_numpy()
     worst = table.column("worst").to_numpy()
-    x = _matrix(table.column("code"), np.int8).astype(np.float32)
+    x = _matrix(table.column("code"), np.float32)
     order = np.lexsort((u, v))
     v, u, worst, x = v[order], u[order], worst[order], x[order]
     bounds = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
@@ -157,7 +167,7 @@ def _meet(table: pa.Table) -> pa.Table:
         m = np.flatnonzero(np.append(True, u[lo + 1 : hi] != u[lo : hi - 1])) + lo
         if len(m) < 2:
             continue
-        s = x[m] @ x[m].T
+        s = _near(x[m], x[m])
         np.fill_diagonal(s, -np.inf)
         if len(m) > OFFERS:
             best = np.argpartition(-s, OFFERS - 1, axis=1)[:, :OFFERS]
@@ -209,7 +219,7 @@ def _rows(table: pa.Table) -> pa.Table:
     v = table.column("v").to_numpy()
     order = np.argsort(v, kind="stable")
     v, u = v[order], table.column("u").to_numpy()[order]
-    code = _matrix(table.column("code"), np.int8)[order]
+    code = _matrix(table.column("code"), np.float32)[order]
     begin = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
     end = np.append(begin[1:], len(v))
     return pa.table(
@@ -257,7 +267,7 @@ def _beam_table(query, code, table, done) -> pa.Table:
 
 def _enter(pivots: list[tuple[int, bytes]]):
     node = np.array([p[0] for p in pivots])
-    x = np.frombuffer(b"".join(p[1] for p in pivots), np.int8).reshape(len(node), -1).astype(np.float32)
+    x = np.frombuffer(b"".join(p[1] for p in pivots), np.float32).reshape(len(node), -1)
 
     def run(batches):
         for batch in batches:
@@ -266,7 +276,7 @@ def _enter(pivots: list[tuple[int, bytes]]):
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)
                 query, code = part.column("query").to_numpy(), part.column("code").to_pylist()
-                q = _matrix(part.column("code"), np.int8).astype(np.float32)
+                q = _matrix(part.column("code"), np.float32)
                 s, keep = q @ x.T, min(BEAM, len(node))
                 best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
                 ids, sims = node[best].ravel(), np.take_along_axis(s, best, 1).ravel()
@@ -288,8 +298,8 @@ def _expand(batches):
             batch.column("ids"), batch.column("codes"), strict=True,
         )
         for q, code, least, near, codes in rows:
-            x = np.frombuffer(code.as_buffer(), np.int8).astype(np.float32)
-            s = np.frombuffer(codes.as_buffer(), np.int8).reshape(-1, len(x)).astype(np.float32) @ x
+            x = np.frombuffer(code.as_buffer(), np.float32)
+            s = np.frombuffer(codes.as_buffer(), np.float32).reshape(-1, len(x)) @ x
             good = s > least
             if good.any():
                 sims.append(s[good])
@@ -335,7 +345,7 @@ def nearest(
     ).first()
     n, longest = stats["n"], float(stats["longest"] or 0) ** 0.5
     code = "node long, code binary"
-    nodes = materialize(distinct.select("node", "vec").mapInArrow(_code(longest, longest), code), "nodes")
+    nodes = materialize(distinct.select("node", "vec").mapInArrow(_code(longest), code), "nodes")
     # the longest vectors have the largest products with many queries
     length = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     longest_first = distinct.select("node", length.alias("l")).orderBy(F.desc("l"), "node").limit(pivots).select("node")
@@ -347,18 +357,17 @@ def nearest(
     table = f"ann_{uuid.uuid4().hex}"
     save_graph(build_graph(nodes, n, block), nodes, n, table)
     try:
-        beams = _search(nodes.sparkSession.table(table), distinct, entries, n)
+        beams = _search(nodes.sparkSession.table(table), distinct, entries, n, longest)
     finally:
         nodes.sparkSession.sql(f"DROP TABLE {table}")
     return _exact(beams, distinct, rows, k)
 
 
-def _search(graph: DataFrame, distinct: DataFrame, pivots: list, n: int) -> DataFrame:
+def _search(graph: DataFrame, distinct: DataFrame, pivots: list, n: int, longest: float) -> DataFrame:
     """Beams of all queries when all their nodes are expanded."""
     asked = distinct.filter("query").select("node", "vec")
-    # a query has no added component: it only measures angles
-    asked = asked.withColumn("vec", F.concat("vec", F.array(F.lit(0.0))))
-    asked = asked.mapInArrow(_query_code, "query long, code binary")
+    # a query has no added component: it only measures products
+    asked = asked.mapInArrow(_query_code(longest), "query long, code binary")
     beams = materialize(asked.mapInArrow(_enter([(p["node"], p["code"]) for p in pivots]), _BEAM), "beams")
     # a node is expanded once by a query, so that this ends
     while not beams.filter(F.size("fresh") > 0).isEmpty():
@@ -368,18 +377,22 @@ def _search(graph: DataFrame, distinct: DataFrame, pivots: list, n: int) -> Data
         scored = scored.mapInArrow(_expand, "query long, ids array<long>, sims array<float>")
         scored = scored.selectExpr("query", "CAST(NULL AS BINARY) code", "ids", "sims", "CAST(NULL AS ARRAY<BIGINT>) fresh", "CAST(NULL AS ARRAY<BIGINT>) done")
         both = beams.unionByName(scored)
-        beams = materialize(both.groupBy(_block("query", -(-n // GROUP), 7)).applyInArrow(_advance, _BEAM), "beams")
+        with small_batches(graph.sparkSession):
+            beams = materialize(both.groupBy(_block("query", -(-n // GROUP), 7)).applyInArrow(_advance, _BEAM), "beams")
     return beams
 
 
-def _query_code(batches):
-    for batch in batches:
-        values, _ = _flat(batch.column("vec"))
-        x = values.reshape(batch.num_rows, -1)
-        code = np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8) if len(x) else x.astype(np.int8)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array([r.tobytes() for r in code], pa.binary())], names=["query", "code"]
-        )
+def _query_code(longest: float):
+    def run(batches):
+        for batch in batches:
+            values, _ = _flat(batch.column("vec"))
+            x = values.reshape(batch.num_rows, -1) / longest
+            code = np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([r.tobytes() for r in code], pa.binary())], names=["query", "code"]
+            )
+
+    return run
 
 
 def _dots(batches):

@@ -189,6 +189,16 @@ def test_recall_beyond_blocks_and_pivots(spark):
     assert recall(spark, x / np.linalg.norm(x, axis=1, keepdims=True)) >= 0.9
 
 
+def test_recall_with_unequal_norms(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    few = np.ones((2000, 1))
+    few[[3, 500, 1777]] = 100
+    assert recall(spark, x * few) >= 0.9
+    assert recall(spark, x * 100 ** rng.random((2000, 1))) >= 0.9
+
+
 def test_few_vectors(spark):
     for rows in ([], [(0, [1.0, 2.0])], [(0, [1.0, 2.0]), (7, [2.0, 1.0]), (9, [1.0, 2.0])]):
         table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
