@@ -8,10 +8,9 @@ shares that sum to one, and after any number of slots each source is within one
 block of its exact share.
 
 When a source runs out, the shares of the others are scaled up and a new phase
-begins; so every row is placed, once. Weights are whole numbers, so a phase
-repeats after (sum of active weights) slots. Only one such round is scheduled, on the
-driver, from a recipe of at most ``MAX_SOURCES`` sources and ``RESOLUTION`` slots; the slot of
-a block then follows from its number by arithmetic, in parallel.
+begins; so every row is placed, once. Targets are whole numbers of 50 binary digits, so that
+the bound holds for the given shares and does not drift. One task deals all blocks (not rows)
+from the weights and block counts of at most ``MAX_SOURCES`` sources.
 
 Row numbers within a source come from counts of hash pieces of a bounded mean size and
 a window inside each piece, so a source with most of the rows is not gathered either.
@@ -22,12 +21,18 @@ and ``place`` (order within the block), which replace columns of those names.
 """
 
 import heapq
+import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from shelfmark.session import materialize
 
 BLOCK = 16
-RESOLUTION = 1000
+RESOLUTION = 1 << 50
 MAX_SOURCES = 1000
 #: Rows of a hash piece of a source, on average.
 PIECE_ROWS = 4_000
@@ -39,67 +44,101 @@ def whole_weights(targets: dict, resolution: int = RESOLUTION) -> dict:
     return {s: max(1, round(w * resolution / total)) for s, w in targets.items()}
 
 
-def one_round(weights: list[int]) -> list[int]:
-    """Which source fills each slot of a round of sum(weights) slots, by EDF."""
+def earliest(weights: list[int]):
+    """Which source fills slot 0, 1, 2 ... by EDF, without end."""
     total = sum(weights)
     done = [0] * len(weights)
     # the next block of every source: waiting for its release, then ready by deadline
     waiting = [(0, s) for s in range(len(weights))]
-    heapq.heapify(waiting)
-    ready, slots = [], []
-    for t in range(total):
+    ready = []
+    for t in itertools.count():
         while waiting and waiting[0][0] <= t:
             s = heapq.heappop(waiting)[1]
             heapq.heappush(ready, (-(-(done[s] + 1) * total // weights[s]), s))
         s = heapq.heappop(ready)[1]
-        slots.append(s)
+        yield s
         done[s] += 1
-        if done[s] < weights[s]:
-            heapq.heappush(waiting, (done[s] * total // weights[s], s))
-    return slots
+        heapq.heappush(waiting, (done[s] * total // weights[s], s))
+
+
+def one_round(weights: list[int]) -> list[int]:
+    """Which source fills each slot of a round of sum(weights) slots."""
+    return list(itertools.islice(earliest(weights), sum(weights)))
 
 
-def phases(weights: dict, blocks: dict) -> list[dict]:
-    """Phases in order: first slot, round length, and per source its first block and slots in a round.
+def deal(targets: dict, blocks: dict):
+    """The source of each slot, until all ``blocks`` are placed.
 
     A phase ends with the slot at which one of its sources places its last block.
     """
-    start, out = 0, []
-    placed = {s: 0 for s in blocks if blocks[s] > 0}
-    while placed:
-        active = sorted(placed, key=lambda s: (s is None, str(s)))
-        total = sum(weights[s] for s in active)
-        slots = one_round([weights[s] for s in active])
-        own = {s: [t for t, k in enumerate(slots) if active[k] == s] for s in active}
-
-        def slot_of(s, i, own=own, total=total):
-            return i // len(own[s]) * total + own[s][i % len(own[s])]
-
-        end = min(slot_of(s, blocks[s] - placed[s] - 1) for s in active)  # the first to run out
-        out.append({"start": start, "length": total, "sources": {s: (placed[s], own[s]) for s in active}})
-        for s in active:
-            whole, part = divmod(end + 1, total)
-            placed[s] += whole * len(own[s]) + sum(t < part for t in own[s])
-            if placed[s] >= blocks[s]:
-                del placed[s]
-        start += end + 1
-    return out
-
-
-def number_rows(rows: DataFrame, group: str, key: Column, pieces: int) -> DataFrame:
-    """``rows`` with ``_n``: 0, 1, 2 ... within each ``group``, in the order of ``key`` (a hash)."""
+    weights = whole_weights(targets)
+    left = {s: n for s, n in blocks.items() if n > 0}
+    active = sorted(left, key=lambda s: (s is None, str(s)))
+    while active:
+        for k in earliest([weights[s] for s in active]):
+            s = active[k]
+            yield s
+            left[s] -= 1
+            if not left[s]:
+                active.remove(s)
+                break
+
+
+def _dealt(kind: pa.DataType):
+    """(key, group, block, slot) of all blocks of the groups of a partition, from (key, group, target, blocks)."""
+
+    def run(batches):
+        groups: dict = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                groups.setdefault(r["group"], []).append((r["key"], r["target"], r["blocks"]))
+        for group, own in groups.items():
+            slots = deal({k: w for k, w, _ in own}, {k: n for k, _, n in own})
+            placed, start = {k: 0 for k, _, _ in own}, 0
+            while keys := list(itertools.islice(slots, 1 << 15)):
+                block = []
+                for k in keys:
+                    block.append(placed[k])
+                    placed[k] += 1
+                slot = np.arange(start, start + len(keys))
+                columns = [pa.array(keys, kind), pa.array(np.full(len(keys), group)), pa.array(block, pa.int64()), pa.array(slot)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "group", "block", "slot"])
+                start += len(keys)
+
+    return run
+
+
+def _deal_groups(tasks: DataFrame) -> DataFrame:
+    """(key, group, block, slot) from (key, group, target, blocks), each group dealt by itself."""
+    kind = tasks.schema["key"].dataType
+    own = tasks.repartition("group")
+    return own.mapInArrow(_dealt(to_arrow_type(kind)), f"key {kind.simpleString()}, group long, block long, slot long")
+
+
+def slots_of(tasks: DataFrame, n: int) -> DataFrame:
+    """(key, block, slot) of all blocks of ``n`` tasks (key, target, blocks)."""
+    return _deal_groups(tasks.withColumn("group", F.lit(0).cast("long"))).select("key", "block", "slot")
+
+
+def number_rows(rows: DataFrame, group: str, key: Column, pieces: int, more=None) -> DataFrame:
+    """``rows`` with ``_n``: 0, 1, 2 ... within each ``group``, in the order of ``key`` (a hash).
+
+    ``more`` may add columns to the pieces (``group``, ``_piece``, ``_before``, ``_count``), which the rows get.
+    """
     piece = F.shiftrightunsigned(key, 40) % pieces
     rows = rows.withColumn("_key", key).withColumn("_piece", piece)
     counts = rows.groupBy(group, "_piece").agg(F.count("*").alias("_count"))
     before = Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     # as many rows as there are pieces: a small part of the table
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0))).drop("_count")
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+    offsets = more(offsets) if more else offsets
+    added = [f"o.{c}" for c in offsets.columns if c not in (group, "_piece", "_before", "_count")]
     within = Window.partitionBy(group, "_piece").orderBy("_key")
     rows = rows.withColumn("_row", F.row_number().over(within) - 1)
     joined = rows.alias("r").join(
         offsets.alias("o"), F.col(f"r.{group}").eqNullSafe(F.col(f"o.{group}")) & (F.col("r._piece") == F.col("o._piece"))
     )
-    return joined.select("r.*", (F.col("o._before") + F.col("r._row")).alias("_n")).drop("_row", "_piece", "_key")
+    return joined.select("r.*", *added, (F.col("o._before") + F.col("r._row")).alias("_n")).drop("_row", "_piece", "_key")
 
 
 def schedule(docs: DataFrame, weights: dict | None = None, source: str = "source", block: int = BLOCK) -> DataFrame:
@@ -107,39 +146,35 @@ def schedule(docs: DataFrame, weights: dict | None = None, source: str = "source
 
     ``weights`` are targets by source; without them, the square roots of the row counts.
     """
-    spark = docs.sparkSession
     others = [c for c in docs.columns if c not in ("slot", "place")]
     rows = docs.select(F.struct(*others).alias("_r"), F.col(source).alias("_s"))
-    counts = rows.groupBy("_s").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
+    counts = materialize(rows.groupBy("_s").agg(F.count("*").alias("n")), "sources")
+    size = counts.agg(F.count("*").alias("sources"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if size["sources"] > MAX_SOURCES:
         raise ValueError(f"a recipe has at most {MAX_SOURCES} sources; group the sources first")
-    n_rows = {r["_s"]: r["n"] for r in counts}
-    targets = {s: (weights or {}).get(s, 0.0) if weights else n**0.5 for s, n in n_rows.items()}
-    whole = whole_weights(targets)
-    blocks = {s: -(-n // block) for s, n in n_rows.items()}
-    plan = []
-    for p in phases(whole, blocks):
-        for s, (first, slots) in p["sources"].items():
-            plan.append((s, first, p["start"], p["length"], slots))
-    kind = docs.schema[source].dataType.simpleString()
-    plan = spark.createDataFrame(
-        plan, f"_s {kind}, _first long, _start long, _length long, _slots array<int>"
-    ).withColumn("_until", F.lead("_first").over(Window.partitionBy("_s").orderBy("_first")))
+    tasks = counts.select(F.col("_s").alias("key"), F.sqrt("n").alias("target"), F.ceil(F.col("n") / block).alias("blocks"))
+    if weights:
+        kind = docs.schema[source].dataType.simpleString()
+        given = [(s, float(w)) for s, w in weights.items()]
+        given = docs.sparkSession.createDataFrame(given, f"_given {kind}, _weight double")
+        tasks = tasks.join(given, F.col("key").eqNullSafe(F.col("_given")), "left")
+        tasks = tasks.select("key", F.coalesce("_weight", F.lit(0.0)).alias("target"), "blocks")
+    slots = materialize(slots_of(tasks, size["sources"]), "slots")
+
+    def with_slots(pieces):
+        """The slots of the blocks that each piece has rows of."""
+        first, last = (F.floor(x / block) for x in (F.col("_before"), F.col("_before") + F.col("_count") - 1))
+        wanted = pieces.withColumn("_b", F.explode(F.sequence(first, last)))
+        own = wanted.join(slots, F.col("_s").eqNullSafe(F.col("key")) & (F.col("_b") == F.col("block")))
+        own = own.groupBy("_s", "_piece", "_before").agg(F.sort_array(F.collect_list("slot")).alias("_slots"))
+        return own.withColumn("_first", F.floor(F.col("_before") / block))
+
     hashed = F.xxhash64(*[F.col("_r").getField(c) for c in others])
-    pieces = max(1, sum(n_rows.values()) // PIECE_ROWS)
-    rows = number_rows(rows, "_s", hashed, pieces)
-    rows = rows.withColumn("_b", F.floor(F.col("_n") / block)).withColumn("place", (F.col("_n") % block).cast("int"))
-    # the plan is bounded by the recipe: MAX_SOURCES phases of RESOLUTION slots at most
-    at = rows.alias("r").join(
-        F.broadcast(plan).alias("p"),
-        F.col("r._s").eqNullSafe(F.col("p._s"))
-        & (F.col("_b") >= F.col("_first"))
-        & (F.col("_until").isNull() | (F.col("_b") < F.col("_until"))),
-    )
-    i = F.col("_b") - F.col("_first")
-    size = F.size("_slots")
-    slot = F.col("_start") + F.floor(i / size) * F.col("_length") + F.get("_slots", (i % size).cast("int"))
-    return at.select(*[F.col("_r").getField(c).alias(c) for c in others], slot.cast("long").alias("slot"), "place")
+    rows = number_rows(rows, "_s", hashed, max(1, size["rows"] // PIECE_ROWS), with_slots)
+    # later blocks of a source have later slots
+    at = F.floor(F.col("_n") / block) - F.col("_first")
+    slot, place = F.get("_slots", at.cast("int")), (F.col("_n") % block).cast("int")
+    return rows.select(*[F.col("_r").getField(c).alias(c) for c in others], slot.cast("long").alias("slot"), place.alias("place"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", block: int = BLOCK) -> DataFrame:

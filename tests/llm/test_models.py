@@ -120,6 +120,34 @@ def test_schedule(small, weights):
             count, t = collections.Counter(), 0
 
 
+def within(rows, targets, bound, until):
+    """Slots of ``rows`` are within ``bound`` blocks of the given targets, up to slot ``until``."""
+    order = [s for _, s in sorted({(r["slot"], r["source"]) for r in rows})][:until]
+    total, count, wrong = sum(targets.values()), collections.Counter(), 0
+    for t, s in enumerate(order, 1):
+        count[s] += 1
+        if t % 50 == 0:
+            wrong += sum(abs(count[k] - t * w / total) >= bound for k, w in targets.items())
+        else:
+            wrong += abs(count[s] - t * targets[s] / total) >= bound
+    return len(order) == until and not wrong
+
+
+def test_bound_for_the_given_targets(spark):
+    # one large source and 500 tiny ones
+    targets = {"big": 0.9, **{f"s{i}": 0.0002 for i in range(500)}}
+    rows = spark.range(14_000).withColumn("source", F.expr("if(id < 9000, 'big', concat('s', id % 500))"))
+    got = mixing.schedule(rows, targets, block=1).collect()
+    assert sorted(r["slot"] for r in got) == list(range(14_000))
+    assert within(got, targets, 1, 9000)
+    # square roots of uneven counts, far above a thousand slots
+    rows = spark.range(30_000).withColumn("source", F.expr("concat('s', cast(log2(id % 4093 + 1) as int))"))
+    n = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect() if r["count"] > 1000}
+    got = mixing.schedule(rows.filter(F.col("source").isin(list(n))), block=1).collect()
+    least = min(c**0.5 for c in n.values())
+    assert within(got, {s: c**0.5 for s, c in n.items()}, 1, int(least * sum(c**0.5 for c in n.values())) - len(n))
+
+
 def test_mix_keeps_all(small, nothing):
     assert mixing.mix(nothing).count() == 0
     got = mixing.mix(small)
