@@ -10,7 +10,11 @@ block of its exact share.
 When a source runs out, the shares of the others are scaled up and a new phase
 begins; so every row is placed, once. Targets are whole numbers of 50 binary digits, so that
 the bound holds for the given shares and does not drift. One task deals all blocks (not rows)
-from the weights and block counts of at most ``MAX_SOURCES`` sources.
+from the weights and block counts of at most about ``MAX_SOURCES`` sources. More sources are
+dealt to hash groups first: the groups are scheduled like sources, with the sums of their
+members' targets, and the blocks of a group go to its members by the same rule. There a source is
+within two blocks of its share for each level of groups, until one of its group runs out, whose
+share then goes to the others of the group.
 
 Row numbers within a source come from counts of hash pieces of a bounded mean size and
 a window inside each piece, so a source with most of the rows is not gathered either.
@@ -33,6 +37,7 @@ from shelfmark.session import materialize
 
 BLOCK = 16
 RESOLUTION = 1 << 50
+#: Sources that one task schedules together.
 MAX_SOURCES = 1000
 #: Rows of a hash piece of a source, on average.
 PIECE_ROWS = 4_000
@@ -115,9 +120,16 @@ def _deal_groups(tasks: DataFrame) -> DataFrame:
     return own.mapInArrow(_dealt(to_arrow_type(kind)), f"key {kind.simpleString()}, group long, block long, slot long")
 
 
-def slots_of(tasks: DataFrame, n: int) -> DataFrame:
+def slots_of(tasks: DataFrame, n: int, most: int = MAX_SOURCES) -> DataFrame:
     """(key, block, slot) of all blocks of ``n`` tasks (key, target, blocks)."""
-    return _deal_groups(tasks.withColumn("group", F.lit(0).cast("long"))).select("key", "block", "slot")
+    if n <= most:
+        return _deal_groups(tasks.withColumn("group", F.lit(0).cast("long"))).select("key", "block", "slot")
+    n_groups = -(-2 * n // most)
+    grouped = tasks.withColumn("group", F.pmod(F.xxhash64("key", F.lit(n)), F.lit(n_groups)))
+    groups = grouped.groupBy(F.col("group").alias("key")).agg(F.sum("target").alias("target"), F.sum("blocks").alias("blocks"))
+    outer = slots_of(groups, n_groups, most).select(F.col("key").alias("group"), F.col("block").alias("_at"), F.col("slot").alias("_slot"))
+    inner = _deal_groups(grouped).withColumnRenamed("slot", "_at")
+    return inner.join(outer, ["group", "_at"]).select("key", "block", F.col("_slot").alias("slot"))
 
 
 def number_rows(rows: DataFrame, group: str, key: Column, pieces: int, more=None) -> DataFrame:
@@ -150,8 +162,6 @@ def schedule(docs: DataFrame, weights: dict | None = None, source: str = "source
     rows = docs.select(F.struct(*others).alias("_r"), F.col(source).alias("_s"))
     counts = materialize(rows.groupBy("_s").agg(F.count("*").alias("n")), "sources")
     size = counts.agg(F.count("*").alias("sources"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    if size["sources"] > MAX_SOURCES:
-        raise ValueError(f"a recipe has at most {MAX_SOURCES} sources; group the sources first")
     tasks = counts.select(F.col("_s").alias("key"), F.sqrt("n").alias("target"), F.ceil(F.col("n") / block).alias("blocks"))
     if weights:
         kind = docs.schema[source].dataType.simpleString()

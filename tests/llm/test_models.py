@@ -148,6 +148,18 @@ def test_bound_for_the_given_targets(spark):
     assert within(got, {s: c**0.5 for s, c in n.items()}, 1, int(least * sum(c**0.5 for c in n.values())) - len(n))
 
 
+def test_more_sources_than_a_task_schedules(spark):
+    rows = spark.range(9000).withColumn("source", F.concat(F.lit("www"), F.col("id") % 1500))
+    got = mixing.schedule(rows, block=2).collect()
+    assert len(got) == 9000 and sorted({r["slot"] for r in got}) == list(range(4500))
+    n = {f"www{i}": 6 for i in range(1500)}
+    assert within(got, n, 2, 3000)
+    tasks = spark.range(60).select(F.col("id").alias("key"), F.lit(1.0).alias("target"), F.lit(2).cast("long").alias("blocks"))
+    deep = mixing.slots_of(tasks, 60, most=3).collect()  # groups of groups
+    assert sorted(r["slot"] for r in deep) == list(range(120))
+    assert {(r["key"], r["block"]) for r in deep} == {(i, b) for i in range(60) for b in range(2)}
+
+
 def test_mix_keeps_all(small, nothing):
     assert mixing.mix(nothing).count() == 0
     got = mixing.mix(small)
