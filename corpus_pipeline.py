@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``. All stages but the last return
-the columns of documents; extra columns of the input are dropped.
+the columns of documents; extra columns of the input are dropped. The last one also returns each
+document's slot and place in the mixture, which do not depend on the order of the files.
 """
 
 from pyspark.sql import Window
@@ -53,8 +54,10 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def encode(spark, docs, sf_dir):
-    """Token ids of each document, and the text that they decode to."""
-    coded = bpe.encode(docs.select(*COLUMNS), vocabulary_path()).drop("text")
+    """Token ids of each document, the text that they decode to, and its ``slot`` and ``place`` in the mixture."""
+    # the same rows as in the mixing stage, so the same slots: the order of its files is lost
+    placed = mixing.schedule(docs.select(*COLUMNS))
+    coded = bpe.encode(placed, vocabulary_path()).drop("text")
     coded = bpe.decode(coded, vocabulary_path(), decoded="text")
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 

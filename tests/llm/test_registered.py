@@ -1,11 +1,13 @@
 """Registered queries: SQL where there is one, shapes and the pipeline otherwise."""
 
+from collections import Counter
+
 import compare
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm import queries, toxicity
+from shelfmark.llm import mixing, queries, toxicity
 from shelfmark.llm.near_dedup import near_duplicates
 from shelfmark.session import materialize
 
@@ -67,6 +69,23 @@ def test_pipeline(spark, sf_dir):
     assert a.exceptAll(b.withColumn("text", F.col("text"))).filter("text is not null").count() == 0
 
 
+def test_the_mixture_reaches_the_last_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    docs = docs.withColumn("text", F.substring("text", 1, 40)).crossJoin(spark.range(20))
+    docs = docs.withColumn("doc_id", F.col("doc_id") * 20 + F.col("id")).drop("id")
+    mixed = materialize(corpus_pipeline.mix_sources(spark, docs, sf_dir), "stage")
+    rows = corpus_pipeline.encode(spark, mixed, sf_dir).select("source", "slot", "place").collect()
+    n = Counter(r["source"] for r in rows)
+    assert sum(n.values()) == docs.count() == len({(r["slot"], r["place"]) for r in rows})
+    order = [s for _, s in sorted({(r["slot"], r["source"]) for r in rows})]
+    left, count = {s: -(-k // mixing.BLOCK) for s, k in n.items()}, Counter()
+    for t, s in enumerate(order, 1):
+        count[s] += 1
+        assert all(abs(count[k] - t * c**0.5 / sum(x**0.5 for x in n.values())) < 1 for k, c in n.items())
+        if count[s] == left[s]:
+            break
+
+
 def test_pipeline_of_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
