@@ -8,7 +8,8 @@ Pages without a rule inherit. Urls that differ only in scheme, fragment, capital
 the host, tracking parameters or a final slash are one node; redirects and canonical links
 are edges between nodes, and the connected components of these are aliases of one page. If a
 rule allows some page of a component, its ruleless pages are allowed; else, if a rule
-blocks one, they are blocked; else they are allowed.
+blocks one, they are blocked; else they are allowed. Targets of links are resolved as browsers do:
+against the page's url, or its ``<base href>``, with ``&amp;`` decoded.
 
 Definitions: a url that is null or without ``://`` has an empty host and path, fits no
 rule and has no alias; pages are independent rows (repeats and null ids stay); of rules that
@@ -23,6 +24,7 @@ from shelfmark.llm.graph import connected_components
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+_BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 
 
 def after_scheme(url: Column) -> Column:
@@ -45,14 +47,47 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.md5(F.concat(host_of(url), F.rtrim(path_of(url), F.lit("/")), F.lit("?"), kept)))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with / without its ``.`` and ``..`` segments."""
+    none = F.array().cast("array<string>")
+    steps = F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")), F.lit(1)))
+    kept = F.aggregate(
+        steps,
+        none,
+        lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))
+        .when(x == ".", a)
+        .otherwise(F.concat(a, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """The absolute url that ``target``, as written in an attribute, means on a page at ``base``; null if there is none."""
+    to = F.regexp_replace(target, "(?i)&(amp|#38|#x26);", "&")
+    origin, path = F.concat(F.lit("http://"), host_of(base)), path_of(base)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, "^/(.*/)?", 1))
+    own, rest = F.regexp_extract(to, "^[^?#]*", 0), F.regexp_extract(to, "^[^?#]*(.*)$", 1)
+    return (
+        F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.startswith("/"), F.concat(origin, _without_dots(own), rest))
+        .when(to.startswith("?"), F.concat(origin, path, to))
+        .when(to.startswith("#"), base)
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(u, v): nodes joined by a canonical link or a refresh redirect in a page."""
     u, h = F.col(url), F.col(html)
     targets = F.array(F.regexp_extract(h, _CANONICAL, 1), F.regexp_extract(h, _REFRESH, 1))
-    found = pages.filter(h.isNotNull()).select(u.alias("url"), F.explode(targets).alias("to"))
-    origin = F.concat(F.lit("http://"), host_of(F.col("url")))
-    to = F.when(F.col("to").startswith("/"), F.concat(origin, "to")).otherwise(F.col("to"))
-    return found.filter("to != ''").select(node_of(F.col("url")).alias("u"), node_of(to).alias("v"))
+    found = pages.filter(h.isNotNull()).select(u.alias("url"), F.regexp_extract(h, _BASE, 1).alias("base"), F.explode(targets).alias("to"))
+    found = found.filter("to != ''")
+    base = F.when(F.col("base") != "", F.coalesce(resolve(F.col("base"), F.col("url")), "url")).otherwise(F.col("url"))
+    found = found.withColumn("base", base)
+    found = found.withColumn("to", resolve(F.col("to"), F.col("base")))
+    return found.select(node_of(F.col("url")).alias("u"), node_of(F.col("to")).alias("v"))
 
 
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:

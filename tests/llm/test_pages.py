@@ -93,6 +93,34 @@ def test_url_parts(spark):
     ]
 
 
+def test_targets_are_resolved(spark):
+    at = "http://A.org/x/y/z.html?q=1#f"
+    cases = {
+        "page.html": "http://a.org/x/y/page.html", "../x": "http://a.org/x/x", "./": "http://a.org/x/y",
+        "../../../up?a=1&amp;b=../2": "http://a.org/up?a=1&b=../2", "?p=2&amp;r=3": "http://a.org/x/y/z.html?p=2&r=3",
+        "//B.org/x": "http://b.org/x", "/r/./s/../t": "http://a.org/r/t", "#top": at, "mailto:a@b://c": None,
+        "https://c.org/d": "http://c.org/d", "page?u=http://d.org/": "http://a.org/x/y/page?u=http://d.org/",
+    }
+    rows = spark.createDataFrame([(t, at, w) for t, w in cases.items()], "t string, base string, want string")
+    node = url_filter.node_of(url_filter.resolve(F.col("t"), F.col("base")))
+    got = rows.select("t", node.eqNullSafe(url_filter.node_of(F.col("want"))).alias("same")).collect()
+    assert [r["t"] for r in got if not r["same"]] == []
+
+
+def test_relative_links_inherit(spark):
+    link = lambda to, more="": f'{more}<link href="{to}" rel="canonical">'
+    rows = [
+        (1, "http://bad.net/es/1", None), (2, "http://bad.net/about", link("es/1")), (3, "http://bad.net/x/y", link("../es/1")),
+        (4, "http://e.org/a", link("//bad.net/es/1")), (5, "http://bad.net/es/2?a=1&b=2", None),
+        (6, "http://f.org/", link("http://bad.net/es/2?a=1&amp;b=2")), (7, "http://g.org/v", link("1", "<base href='//bad.net/es/'>")),
+        (8, "http://h.org/p", link("?p=2")), (9, "http://h.org/p?p=2", link("http://bad.net/es/1")), (10, "http://i.org/p", link("?p=2")),
+    ]
+    pages = spark.createDataFrame(rows, PAGES)
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    out = url_filter.judge(pages.drop("html"), rules, url_filter.links(pages)).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == {i: "allow" if i == 10 else "block" for i in range(1, 11)}
+
+
 def test_aliases(spark):
     link = '<html><head><LINK href="http://bad.net/es/9" rel="canonical"></head>'
     refresh = "<meta http-equiv='Refresh' content='0; url=/es/x'>"
