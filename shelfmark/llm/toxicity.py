@@ -251,129 +251,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(np.frombuffer(found["table"], np.float32), found["bias"])
 
 
-def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n_texts = len(offsets) - 1
-        s = subwords(data, offsets)
-        out = np.zeros(n_texts)
-        if not len(s.text) or self.bias == -np.inf:
-            return out
-        logits, _, text = _window_logits(s, self.table, n_texts)
-        worst = np.full(n_texts, -np.inf)
-        np.maximum.at(worst, text, logits)
-        return 1 / (1 + np.exp(-(worst + self.bias)))
-
-
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Embeddings and softmax from texts and their 0/1 labels."""
-    labels = np.asarray(labels)
-    if not (labels == 1).any() or not (labels == 0).any():
-        return Model(np.zeros(BUCKETS, np.float32), -np.inf)
-    parts, text = [], []
-    for lo, hi, data, offsets in text_slices(pa.array(texts, pa.large_string())):
-        s = subwords(data, offsets)
-        if not len(s.text):
-            continue
-        window, of_text = _windows(s.text, hi - lo)
-        # weight of each subword in its window's mean: mean over words of means over subwords
-        of = window[s.word]
-        weight = 1 / np.bincount(s.word)[s.word] / np.bincount(window)[of]
-        every = np.bincount(of_text, minlength=hi - lo)
-        rank = np.arange(len(of_text)) - np.repeat(np.cumsum(every) - every, every)
-        step = np.maximum(1, -(-every // CLEAN_WINDOWS))[of_text]
-        kept = (labels[lo:hi][of_text] == 1) | (rank % step == 0)
-        order = np.argsort(of, kind="stable")
-        order = order[kept[of[order]]]
-        sizes = np.bincount(of, minlength=len(of_text))[kept]
-        parts.append((s.bucket[order].astype(np.int32), weight[order].astype(np.float32), sizes))
-        text.append(of_text[kept] + lo)
-    if not parts:
-        return Model(np.zeros(BUCKETS, np.float32), -np.inf)
-    bucket, weight, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-    text, bound = np.concatenate(text), np.concatenate([[0], np.cumsum(sizes)])
-    del parts
-    n_windows = len(text)
-    first = np.searchsorted(text, np.arange(len(texts)))  # text -> its first window
-    last = np.searchsorted(text, np.arange(len(texts)), "right")
-
-    rng = np.random.default_rng(seed)
-    emb = (rng.standard_normal((BUCKETS, DIMENSIONS)) * 0.1).astype(np.float32)
-    soft = (rng.standard_normal((DIMENSIONS, 2)) * 0.3).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    emb_g, soft_g, bias_g = np.full(BUCKETS, 1e-8, np.float32), np.full_like(soft, 1e-8), np.full_like(bias, 1e-8)
-    has = last > first
-    for epoch in range(EPOCHS):
-        table = emb @ (soft[:, 1] - soft[:, 0])
-        logits = np.zeros(n_windows, np.float32)
-        for i in range(0, n_windows, 4096):  # in pieces, for memory
-            j = min(i + 4096, n_windows)
-            piece = slice(bound[i], bound[j])
-            logits[i:j] = np.add.reduceat(table[bucket[piece]] * weight[piece], bound[i:j] - bound[i])
-        by_score = np.lexsort((-logits, text))
-        # a toxic text teaches by its worst window, a clean one by its worst few and by
-        # random ones; at first, when nothing is known, all by random ones
-        picked, target = [], []
-        for i in np.flatnonzero(has):
-            own = by_score[first[i] : last[i]]
-            if epoch < 3:
-                own = rng.choice(own, min(len(own), 6), replace=False)
-            elif labels[i]:
-                own = own[:1]
-            else:
-                own = np.concatenate([own[:3], rng.choice(own, 1)])
-            picked.append(own)
-            target.append(np.full(len(own), labels[i]))
-        picked, target = np.concatenate(picked), np.concatenate(target)
-        shuffled = rng.permutation(len(picked))
-        for part in np.array_split(shuffled, max(1, len(shuffled) // 256)):
-            rows, y = picked[part], target[part]
-            sizes = bound[rows + 1] - bound[rows]
-            inside = np.repeat(np.arange(len(rows)), sizes)
-            at = np.repeat(bound[rows], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            b, w = bucket[at], weight[at]
-            x = np.add.reduceat(emb[b] * w[:, None], np.cumsum(sizes) - sizes)
-            z = x @ soft + bias
-            z = np.exp(z - z.max(1, keepdims=True))
-            p = z / z.sum(1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            g = p * (np.where(y == 1, TOXIC_WEIGHT, 1.0) / len(y))[:, None].astype(np.float32)
-            g_soft, g_bias, g_x = x.T @ g, g.sum(0), g @ soft.T
-            touched, where = np.unique(b, return_inverse=True)
-            grad = np.zeros((len(touched), DIMENSIONS), np.float32)
-            for d in range(DIMENSIONS):
-                grad[:, d] = np.bincount(where, g_x[inside, d] * w, len(touched))
-            emb_g[touched] += (grad * grad).mean(1)
-            emb[touched] -= 0.3 * grad / np.sqrt(emb_g[touched])[:, None]
-            soft_g += g_soft**2
-            bias_g += g_bias**2
-            soft -= 0.05 * g_soft / np.sqrt(soft_g)
-            bias -= 0.05 * g_bias / np.sqrt(bias_g)
-    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
-
-
-def held_out(id_col: str = "doc_id"):
-    """The rows that no model may learn from."""
-    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
-
-
-def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of a bounded number of labelled documents of each class."""
-    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(~held_out()).withColumn("at", F.xxhash64("doc_id"))
-    picked = None
-    for toxic, most in ((0, CLEAN_TEXTS), (1, TOXIC_TEXTS)):
-        part = known.filter(F.col("toxic") == toxic).orderBy("at", "doc_id").limit(most).drop("at")
-        picked = part if picked is None else picked.unionByName(part)
-    # a bounded number of rows of two numbers: safe to broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the bounded sample, trained on the driver."""
-    rows = training_sample(docs, labels).filter(F.length("text") <= TRAIN_CHARS).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the probability that each text is toxic (replacing a column of that name)."""
 

@@ -98,3 +98,9 @@ def test_held_out_rows(spark):
 
     ids = spark.range(200).select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in ids)
+
+
+def test_the_toxicity_model_is_trained_in_a_task(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(toxicity, "train", None)  # on the driver only: workers import the module themselves
+    assert toxicity.fit(docs, labels).table.any()
