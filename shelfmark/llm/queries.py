@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import ann, bpe, fingerprint, langid, mixing, toxicity, url_filter, warc
+from shelfmark.llm import ann, bpe, conversation_repair, fingerprint, langid, mixing, quality, toxicity
+from shelfmark.llm import url_filter, warc, whitening
 from shelfmark.llm.near_dedup import near_duplicates
 from shelfmark.llm.substring_dedup import dedup_substrings
 from shelfmark.session import new_path
@@ -110,6 +111,25 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge(pages.select("page_id", "url"), rules, url_filter.links(pages))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def queries():
     return {
         "op1_toxicity": op1_toxicity,
@@ -122,6 +142,9 @@ def queries():
         "op8_warc": op8_warc,
         "op9_fingerprints": op9_fingerprints,
         "op10_url_filter": op10_url_filter,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_whitening": op12_whitening,
+        "op13_quality": op13_quality,
     }
 
 

@@ -16,7 +16,7 @@ SQL = queries.oracle_sql()
 
 def test_one_query_for_each_operator():
     numbers = [int(name[2:].split("_")[0]) for name in queries.queries()]
-    assert sorted(numbers) == list(range(1, 11)) and set(SQL) <= set(queries.queries())
+    assert sorted(numbers) == list(range(1, 14)) and set(SQL) <= set(queries.queries())
 
 
 @pytest.mark.parametrize("name", list(SQL))
