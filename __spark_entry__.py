@@ -22,7 +22,8 @@ from shelfmark.operators import ingest as I
 from shelfmark.operators import report as P
 from shelfmark.operators import rerank as R
 from shelfmark.operators import rewrite as W
-from shelfmark.operators.retrieve import text_index, text_search
+from shelfmark.operators.postings import text_index
+from shelfmark.operators.retrieve import store_index, text_search
 from shelfmark.operators.upsert import merge_by_key, merge_counts
 from shelfmark.plans.build import build_catalog
 from shelfmark.plans.search import search_documents, search_pass, two_pass_search
@@ -65,8 +66,7 @@ def _stored(spark, sf_dir):
 
 def _ranked(spark, sf_dir):
     queries, catalog = _stored(spark, sf_dir)
-    index = materialize(text_index(catalog), "index")
-    return queries, search_pass(queries, catalog, index)
+    return queries, search_pass(queries, catalog, store_index(text_index(catalog)))
 
 
 def _searched(spark, sf_dir):
@@ -248,11 +248,11 @@ def clean_tags(spark, sf_dir):
 
 def search_batch(spark, sf_dir):
     queries, catalog = _stored(spark, sf_dir)
-    return queries, text_search(queries, materialize(text_index(catalog), "index"))
+    return queries, text_search(queries, store_index(text_index(catalog)))
 
 
 def text_search_documents(spark, sf_dir):
-    index = materialize(text_index(T.documents_as_catalog(spark, sf_dir)), "index")
+    index = store_index(text_index(T.documents_as_catalog(spark, sf_dir)))
     return _show_hits(text_search(T.benchmark_queries(spark, sf_dir), index))
 
 

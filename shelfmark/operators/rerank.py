@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from shelfmark import constants as K
 from shelfmark.functions import text as X
 from shelfmark.functions.similarity import with_field_scores
+from shelfmark.session import materialize
 
 # Catalog fields carried along with a hit: scoring needs all but the last.
 HIT_FIELDS = [
@@ -23,24 +24,40 @@ HIT_FIELDS = [
 def fuzzy_rerank(hits: DataFrame, queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Score every hit on five fields and rank by the total; ties keep text order.
 
-    The raw query is scored, not the formatted one. Rows are distributed by query
-    before scoring, which is the expensive step: no query has more than ``k`` hits,
-    so the work is even however popular a document is, and the pairs a query
-    shares among its hits meet in one batch. (Ranking shuffles once more, because
-    Spark does not carry a distribution through Python evaluation.)
+    The raw query is scored, not the formatted one. Of the catalog only the hit documents
+    move: their ids, written first so that their size is known when the join is planned, are
+    broadcast if few, and the wide rows meet the hits after that cut. A pair of query text and
+    document is scored once, however many queries have that text. Rows are distributed
+    by query before scoring, which is the expensive step: no query has more than ``k`` hits,
+    so the work is even however popular a document is. (Ranking shuffles once more,
+    because Spark does not carry a distribution through Python evaluation.)
     """
     tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    documents = catalog.select(F.col("_id").alias("_doc"), *HIT_FIELDS)
+    texts = queries.select("query_no", "input_string")
+    # the first query of a text is scored for all of them
+    first = texts.groupBy(F.col("input_string").alias("_text")).agg(F.min("query_no").alias("_first"))
+    texts = texts.join(first, F.col("input_string").eqNullSafe(F.col("_text"))).drop("_text")
+    asked = hits.join(texts, "query_no")
+    wanted = materialize(hits.select(F.col("_id").alias("_doc")).distinct(), "hit_ids")
+    documents = catalog.select("_id", *HIT_FIELDS).join(
+        wanted, F.col("_id").eqNullSafe(F.col("_doc")), "left_semi"
+    )
+    documents = documents.withColumnRenamed("_id", "_doc")
     candidates = (
-        hits.join(queries.select("query_no", "input_string"), "query_no")
+        asked.filter(F.col("query_no") == F.col("_first"))
         .join(documents, F.col("_id").eqNullSafe(F.col("_doc")))
-        .drop("_doc")
-        .repartition(tasks, "query_no")  # a fixed number: rows are few but costly
+        .drop("_doc", "query_no", "score", "text_rank")
+        .repartition(tasks, "_first")  # a fixed number: rows are few but costly
+    )
+    scored = with_field_scores(candidates).withColumn(
+        "given_name", X.given_name("categories", "product_name")
     )
+    scored = scored.withColumnsRenamed({"_first": "_text", "_id": "_doc"}).drop("input_string")
+    same = (F.col("_first") == F.col("_text")) & F.col("_id").eqNullSafe(F.col("_doc"))
     best_first = W.partitionBy("query_no").orderBy(F.desc("rapidfuzz_score"), "text_rank")
     return (
-        with_field_scores(candidates)
-        .withColumn("given_name", X.given_name("categories", "product_name"))
+        asked.join(scored, same)
+        .drop("_first", "_text", "_doc")
         .withColumn("fuzzy_rank", F.row_number().over(best_first))
     )
 

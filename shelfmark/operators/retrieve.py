@@ -1,238 +1,199 @@
 """Text retrieval: the best ``k`` documents per query under BM25, exactly.
 
-A document matches a query if they share any term. The naive plan joins query
-terms with document terms and sums; a term found in a third of all documents
-then pairs a third of the documents with every query holding it. Three exact
-reductions keep the work near the size of the answer:
-
-* queries with the same terms are searched once;
-* documents that agree in length and in all terms *that any query of the batch
-  uses* score alike for every query. They form one group; a group's members
-  differ only in the tie-break, so its ``k`` smallest keys are enough;
-* ``k`` documents are known to score at least ``theta`` from single-term weights
-  alone. Terms whose largest possible weights add up to less than ``theta``
-  cannot lift a document into the result by themselves: they complete the score
-  of candidates found by the other terms, but generate none. These are just the
-  frequent terms.
+A document matches a query if they share any term. Queries meet the index shard by
+shard: a task gets the postings that a shard holds of the batch's terms, and the queries
+that use one of them. It takes the shard's blocks of documents in falling order of the
+largest score that they can hold for a query (the sum over terms of the block's bound), and stops where
+that falls below the ``k``-th score found so far; later blocks are never looked at. A task returns at
+most ``k`` documents of a query, so no table of queries times documents exists, and a
+term held by a third of all documents is spread over all shards.
+
+Queries with the same terms are searched once.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from shelfmark import constants as K
 from shelfmark.functions import text as X
-from shelfmark.plans.skew import salted_join
-from shelfmark.session import materialize
+from shelfmark.operators.postings import BLOCK, PostingsIndex, Snapshot, doc_id, text_index
+from shelfmark.session import materialize, new_path
+
+__all__ = ["text_index", "text_search", "store_index"]
 
-# Weight levels per unit; finer levels give a closer bound on the k-th weight.
-_LEVELS = 32
+#: Queries that one task searches at most on average; more queries go to several tasks a shard.
+QUERY_BLOCK = 20_000
+#: Blocks scored in a query's first step; each further step takes twice as many.
+FIRST_BLOCKS = 16
 # Slack for sums in another order and for ranking on rounded scores.
 _EPS = 2e-6
 
-
-def text_index(catalog: DataFrame, id_col="_id", text_col="search_string") -> DataFrame:
-    """Tokenised documents: ``doc`` (key that is never null), ``dl``, ``terms``.
-
-    Write it once to search several batches over the same catalog.
-    """
-    key = F.coalesce(F.concat(F.lit("k"), F.col(id_col).cast("string")), F.lit(""))
-    return (
-        catalog.select(key.alias("doc"), X.tokens(text_col).alias("terms"))
-        .withColumn("dl", F.size("terms").cast("long"))
-    )
-
-
-def doc_id(doc="doc"):
-    """The document id behind an index key."""
-    return F.when(F.col(doc) != "", F.substring(doc, 2, 2_147_483_647))
-
-
-def _groups(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Each document with the batch's terms it holds, as one canonical string."""
-    return (
-        index.select("doc", "dl", F.explode("terms").alias("token"))
-        .join(vocabulary, "token", "left_semi")
-        .groupBy("doc", "dl")
-        .agg(F.array_join(F.sort_array(F.collect_list("token")), " ").alias("terms"))
-    )
-
-
-def _postings(groups: DataFrame, mean: float) -> DataFrame:
-    """One row per (group, term) with the length-normalised term frequency."""
-    k1, b = F.lit(K.BM25_K1), F.lit(K.BM25_B)
-    tf = F.col("tf").cast("double")
-    return (
-        groups.groupBy("terms", "dl")
-        .agg(F.min("doc").alias("grp"), F.count("*").alias("n_docs"))
-        .select("grp", "dl", "n_docs", F.explode(F.split("terms", " ")).alias("token"))
-        .groupBy("grp", "dl", "n_docs", "token")
-        .agg(F.count("*").alias("tf"))
-        .select(
-            "token",
-            "grp",
-            "n_docs",
-            (tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("dl") / F.lit(mean)))).alias("w"),
-        )
-    )
-
-
-def _levels(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
-    """Per key and value level: documents, rows, largest value, and in ``kth`` the
-    level itself where at least ``k`` documents reach it.
-
-    Counts documents per level instead of sorting rows: the counts combine before
-    the shuffle, so a hot key costs no more than its levels.
-    """
-    levels = df.groupBy(key, F.floor(F.col(value) * _LEVELS).alias("level")).agg(
-        F.sum("n_docs").alias("n"),
-        F.count("*").alias("n_rows"),
-        F.max(value).alias("top"),
-    )
-    down = W.partitionBy(key).orderBy(F.desc("level"))
-    reached = F.sum("n").over(down) >= k
-    return levels.withColumn("kth", F.when(reached, F.col("level") / F.lit(float(_LEVELS))))
-
-
-def _term_stats(postings: DataFrame, n_docs: int, k: int) -> DataFrame:
-    """Per term: idf, row count, largest weight, lower bound of the k-th weight."""
-    df = F.col("df")
-    return (
-        _levels(postings, "token", "w", k)
-        .groupBy("token")
-        .agg(
-            F.sum("n").alias("df"),
-            F.sum("n_rows").alias("n_rows"),
-            F.max("top").alias("w_max"),
-            F.coalesce(F.max("kth"), F.lit(0.0)).alias("w_kth"),
-        )
-        .withColumn("idf", F.log(1.0 + (F.lit(n_docs) - df + 0.5) / (df + 0.5)))
-    )
-
-
-def _query_terms(batch: DataFrame, stats: DataFrame) -> DataFrame:
-    """Query terms with their bounds; ``leading`` terms generate candidates."""
-    query = W.partitionBy("qid")
-    rising = query.orderBy("most", "token").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        batch.select("qid", F.explode(F.split("terms_key", " ")).alias("token"))
-        .join(stats, "token")
-        .withColumn("most", F.col("idf") * F.col("w_max"))
-        .withColumn("theta", F.max(F.col("idf") * F.col("w_kth")).over(query) - _EPS)
-        .withColumn("leading", F.sum("most").over(rising) >= F.col("theta"))
-        # Weight below which this term's document cannot reach theta any more.
-        .withColumn("least", F.col("theta") - (F.sum("most").over(query) - F.col("most")))
-        .withColumn(
-            "rest", F.sum(F.when(F.col("leading"), 0.0).otherwise(F.col("most"))).over(query)
-        )
-        .select("qid", "token", "idf", "leading", "least", "rest", "n_rows")
-    )
-
-
-def _best_groups(postings, query_terms, k: int, min_hot_rows: int | None) -> DataFrame:
-    """The ``k`` best groups of every query: (qid, grp, n_docs, score).
-
-    ``grp`` is the smallest key in the group, so no document of a group beyond
-    the first ``k`` by (score, grp) can be among the first ``k`` documents.
-    """
-    leading = query_terms.filter("leading")
-    found = (
-        salted_join(
-            postings,
-            leading.drop("leading", "n_rows"),
-            "token",
-            [F.col("grp")],
-            counts=leading.select("token", "n_rows").distinct(),
-            min_hot_rows=min_hot_rows,
-        )
-        .withColumn("part", F.col("idf") * F.col("w"))
-        .filter(F.col("part") >= F.col("least"))
-        .groupBy("qid", "grp")
-        .agg(
-            F.sum("part").alias("part"),
-            F.max("rest").alias("rest"),
-            F.max("n_docs").alias("n_docs"),
-        )
-    )
-    # Read three times below, and the most expensive step: written once. The bounds
-    # are written too, so that their size is known when the join is planned.
-    found = materialize(found, "candidates")
-    kth = _levels(found, "qid", "part", k).groupBy("qid").agg(F.max("kth").alias("kth"))
-    bounds = materialize(kth, "bounds")
-    # The partial scores give a closer bound than single weights did; what cannot
-    # reach it even with all other terms is dropped before scores are completed.
-    hopeful = (
-        salted_join(
-            found,
-            bounds,
-            "qid",
-            [F.col("grp")],
-            counts=leading.groupBy("qid").agg(F.sum("n_rows").alias("n_rows")),
-            min_hot_rows=min_hot_rows,
-        )
-        .filter(F.col("kth").isNull() | (F.col("part") + F.col("rest") >= F.col("kth") - _EPS))
-        .select("qid", "grp", "part", "rest", "n_docs")
-    )
-    others = query_terms.filter("NOT leading").select("qid", "token", "idf")
-    completed = (
-        hopeful.filter("rest > 0")
-        .select("qid", "grp", "n_docs")
-        .join(others, "qid")
-        .join(postings.select("grp", "token", "w"), ["grp", "token"])
-        .select("qid", "grp", (F.col("idf") * F.col("w")).alias("part"), "n_docs")
-    )
-    order = W.partitionBy("qid").orderBy(F.desc("score"), "grp")
-    return (
-        hopeful.select("qid", "grp", "part", "n_docs")
-        .unionByName(completed)
-        .groupBy("qid", "grp")
-        .agg(
-            F.round(F.sum("part"), K.SCORE_DIGITS).alias("score"),
-            F.max("n_docs").alias("n_docs"),
-        )
-        .withColumn("_r", F.row_number().over(order))
-        .filter(F.col("_r") <= k)
-        .drop("_r")
-    )
-
-
-def _with_members(best_groups: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """Up to ``k`` documents of each chosen group: (qid, doc, score).
-
-    A group of one is its own only member. The others are looked up, among the
-    chosen groups alone and not the whole catalog.
-    """
-    alone = best_groups.filter("n_docs = 1").select("qid", F.col("grp").alias("doc"), "score")
-    shared = best_groups.filter("n_docs > 1")
-    chosen = shared.select(F.col("grp").alias("doc")).distinct()
-    signs = groups.join(chosen, "doc").select(F.col("doc").alias("grp"), "terms", "dl")
-    alike = W.partitionBy("grp").orderBy("doc")
-    members = (
-        groups.join(signs, ["terms", "dl"])
-        .select("grp", "doc")
-        .withColumn("_r", F.row_number().over(alike))
-        .filter(F.col("_r") <= k)
-        .drop("_r")
-    )
-    return alone.unionByName(
-        shared.join(members, "grp").select("qid", "doc", "score")
-    )
+_HITS = "qid long, shard long, num int, score double"
+
+
+def store_index(documents: DataFrame, root: str | None = None) -> PostingsIndex:
+    """An index of ``text_index`` documents at ``root``, by default in the work folder."""
+    spark = documents.sparkSession
+    index = PostingsIndex(spark, root or new_path(spark, "postings"))
+    index.update(documents)
+    return index
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, and where each row begins and the last ends."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Concatenated ranges start ... start + size - 1."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
+class _Shard:
+    """Postings of one shard for the terms of a batch."""
+
+    def __init__(self, table: pa.Table, mean: float, dead: np.ndarray):
+        self.row = {t: i for i, t in enumerate(table.column("token").to_pylist())}
+        self.mean, self.dead = mean, dead
+        self.nums, self.ends = _flat(table.column("nums"))
+        self.tfs, self.dls = (_flat(table.column(c))[0] for c in ("tfs", "dls"))
+        self.blocks, self.block_ends = _flat(table.column("blocks"))
+        self.starts = _flat(table.column("starts"))[0]
+        top, least = (_flat(table.column(c))[0] for c in ("top_tf", "least_dl"))
+        self.bound = self._weight(top, least)
+        self.n_blocks = int(self.blocks.max()) + 1
+
+    def _weight(self, tf, dl):
+        tf = tf.astype(float)
+        k1, b = K.BM25_K1, K.BM25_B
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / self.mean))
+
+    def best(self, tokens, idfs, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and scores of the ``k`` best documents, ties by number."""
+        terms = [(self.row[t], idf) for t, idf in zip(tokens, idfs, strict=True) if t in self.row]
+        bound = np.zeros(self.n_blocks)
+        for row, idf in terms:
+            span = slice(self.block_ends[row], self.block_ends[row + 1])
+            bound[self.blocks[span]] += idf * self.bound[span]
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        nums, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        lo, step = 0, FIRST_BLOCKS
+        while lo < len(order):
+            chosen = order[lo : lo + step]
+            chosen = chosen[bound[chosen] >= least - _EPS]
+            if not len(chosen):
+                break
+            found, total = self._score(terms, chosen)
+            if len(total) > k:  # ties at the end stay until numbers decide
+                kept = total >= np.partition(total, -k)[-k]
+                found, total = found[kept], total[kept]
+            nums, scores = np.concatenate([nums, found]), np.concatenate([scores, total])
+            first = np.lexsort((nums, -scores))[:k]
+            nums, scores = nums[first], scores[first]
+            least = scores[-1] if len(scores) == k else least
+            lo, step = lo + step, 2 * step
+        return nums, scores
+
+    def _score(self, terms, chosen: np.ndarray):
+        """Documents of the chosen blocks that hold any of the terms, with their whole scores."""
+        place = np.full(self.n_blocks, -1)
+        place[chosen] = np.arange(len(chosen))
+        total = np.zeros(len(chosen) * BLOCK)
+        for row, idf in terms:
+            span = slice(self.block_ends[row], self.block_ends[row + 1])
+            mine = np.flatnonzero(place[self.blocks[span]] >= 0)
+            if not len(mine):
+                continue
+            starts = np.append(self.starts[span], self.ends[row + 1] - self.ends[row])
+            i = self.ends[row] + _spans(starts[mine], starts[mine + 1] - starts[mine])
+            num = self.nums[i]
+            # a term holds a document once, so that plain indexing adds it up
+            total[place[num // BLOCK] * BLOCK + num % BLOCK] += idf * self._weight(self.tfs[i], self.dls[i])
+        found = np.flatnonzero(total)
+        total = np.round(total[found], K.SCORE_DIGITS)
+        found = chosen[found // BLOCK] * BLOCK + found % BLOCK
+        if len(self.dead):
+            alive = ~np.isin(found, self.dead)
+            found, total = found[alive], total[alive]
+        return found, total
+
+
+def _search(mean: float, k: int):
+    def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        queries, dead = [], np.zeros(0, np.int64)
+        for row in asked.to_pylist():
+            if row["qid"] is None:
+                dead = np.array(row["dead"])
+            else:
+                queries.append(row)
+        qids, nums, scores = [], [], []
+        if postings.num_rows:
+            shard = _Shard(postings, mean, dead)
+            for row in queries:
+                terms = sorted((t["token"], t["idf"]) for t in row["terms"])
+                num, score = shard.best(*zip(*terms, strict=True), k)
+                qids.append(np.full(len(num), row["qid"]))
+                nums.append(num)
+                scores.append(score)
+        n = sum(map(len, nums))
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        at = np.full(n, postings.column("shard")[0].as_py() if postings.num_rows else 0, np.int64)
+        columns = [join(qids, np.int64), at, join(nums, np.int32), join(scores, float)]
+        return pa.table([pa.array(c) for c in columns], names=["qid", "shard", "num", "score"])
+
+    return run
+
+
+def candidates(queries: DataFrame, now: Snapshot, k: int = K.TOP_K) -> DataFrame:
+    """At most ``k`` documents of each query (qid, terms_key) and shard: (qid, shard, num, score)."""
+    terms = queries.select("qid", F.explode(F.split("terms_key", " ")).alias("token"))
+    vocabulary = materialize(terms.select("token").distinct(), "vocabulary")
+    postings = now.postings(vocabulary)
+    # headers only: the lists are not read here
+    heads = materialize(postings.select("token", "shard", "n"), "heads")
+    gone = now.dead().select(F.explode(F.array_distinct("terms")).alias("token")).join(vocabulary, "token", "left_semi")
+    counts = heads.select("token", "n").unionByName(gone.select("token", F.lit(-1).cast("long").alias("n")))
+    df = counts.groupBy("token").agg(F.sum("n").alias("df"))
+    idf = F.log(1.0 + (F.lit(now.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = terms.join(df.select("token", idf.alias("idf")), "token")
+    asked = weighted.join(heads.select("token", "shard"), "token").groupBy("shard", "qid")
+    asked = asked.agg(F.collect_list(F.struct("token", "idf")).alias("terms"))  # a query's terms
+    dead = now.dead().groupBy("shard").agg(F.collect_list("num").alias("dead"))  # a shard's documents at most
+    n_blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int"))
+    none = F.lit(None)
+    asked = asked.withColumn("dead", none.cast("array<int>")).unionByName(
+        dead.withColumns({"part": every, "qid": none.cast("long"), "terms": none.cast("array<struct<token:string,idf:double>>")})
+    )
+    postings = postings.withColumn("part", every)
+    # a fixed number: the rows are few but costly, and several shards in a task wait for one another
+    tasks = 3 * n_blocks * max(sum(v.meta["n_shards"] for v in now.versions), 1)
+    postings, asked = (df.repartition(tasks, "shard", "part") for df in (postings, asked))
+    by_shard = postings.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part"))
+    return by_shard.applyInArrow(_search(now.mean, k), _HITS)
 
 
 def text_search(
     queries: DataFrame,
-    index: DataFrame,
+    index: DataFrame | PostingsIndex,
     query_col: str = "input_string",
     k: int = K.TOP_K,
-    min_hot_rows: int | None = None,
 ) -> DataFrame:
     """Top ``k`` documents of every query: (query_no, _id, score, text_rank).
 
+    ``index`` is a stored index, or ``text_index`` documents, which are stored for this call.
     ``query_col`` is formatted before it is split into terms. Ties in the rounded
-    score are broken by document id, so ranks are repeatable. Some
-    intermediate tables are written (see ``materialize``), restricted to the terms
-    of this batch.
+    score are broken by document id, so ranks are repeatable.
     """
+    index = store_index(index) if isinstance(index, DataFrame) else index
     terms = F.array_sort(F.array_distinct(X.tokens(X.format_query(query_col))))
     keyed = queries.select("query_no", F.array_join(terms, " ").alias("terms_key")).filter(
         F.col("terms_key") != ""
@@ -240,20 +201,13 @@ def text_search(
     # Queries with the same terms go by the number of the first of them.
     same = keyed.groupBy("terms_key").agg(F.min("query_no").alias("qid"))
     batch = materialize(keyed.join(same, "terms_key"), "batch")
-    distinct = batch.filter(F.col("query_no") == F.col("qid"))
-    vocabulary = distinct.select(F.explode(F.split("terms_key", " ")).alias("token")).distinct()
-
-    n_docs, mean = index.agg(F.count("*"), F.sum("dl") / F.count("*")).first()
-    groups = materialize(_groups(index, vocabulary), "groups")
-    postings = materialize(_postings(groups, mean), "postings")
-    query_terms = materialize(
-        _query_terms(distinct, _term_stats(postings, n_docs, k)), "query_terms"
-    )
-    best_groups = materialize(_best_groups(postings, query_terms, k, min_hot_rows), "best_groups")
-
+    distinct = batch.filter(F.col("query_no") == F.col("qid")).select("qid", "terms_key").distinct()
+    now = index.snapshot()
+    found = materialize(candidates(distinct, now, k), "candidates")
+    places = now.docs().select("doc", "shard", "num")
     ranked = W.partitionBy("qid").orderBy(F.desc("score"), "doc")
     top = (
-        _with_members(best_groups, groups, k)
+        found.join(places, ["shard", "num"])
         .withColumn("text_rank", F.row_number().over(ranked))
         .filter(F.col("text_rank") <= k)
     )

@@ -12,14 +12,18 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import text as X
 from shelfmark.operators.rerank import fuzzy_rerank, match_status
-from shelfmark.operators.retrieve import text_index, text_search
+from shelfmark.operators.postings import PostingsIndex, text_index
+from shelfmark.operators.retrieve import store_index, text_search
 from shelfmark.operators.rewrite import Rewriter, offline_rewriter, rewrite_queries, route_queries
 from shelfmark.session import materialize
 
 
-def search_pass(queries: DataFrame, catalog: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """One pass: both rankings of the candidates of every query."""
-    index = text_index(catalog) if index is None else index
+def search_pass(queries: DataFrame, catalog: DataFrame, index: PostingsIndex | None = None) -> DataFrame:
+    """One pass: both rankings of the candidates of every query.
+
+    ``index`` is the stored index of ``catalog``; without one it is built for this call.
+    """
+    index = store_index(text_index(catalog)) if index is None else index
     hits = materialize(text_search(queries, index), "text_hits")
     return fuzzy_rerank(hits, queries, catalog)
 
@@ -33,14 +37,17 @@ class SearchResult:
 
 
 def two_pass_search(
-    queries: DataFrame, catalog: DataFrame, rewriter: Rewriter = offline_rewriter
+    queries: DataFrame,
+    catalog: DataFrame,
+    rewriter: Rewriter = offline_rewriter,
+    index: PostingsIndex | None = None,
 ) -> SearchResult:
     """Search all queries; search the rewritten ones again with their new text.
 
     The last pass of a query is its result even if it found less. Each pass is
     written once because routing, rewriting and reporting all read it.
     """
-    index = materialize(text_index(catalog), "index")
+    index = store_index(text_index(catalog)) if index is None else index
     first = materialize(search_pass(queries, catalog, index), "first_pass")
     # An answer from a service must not be asked for again by a later step.
     answered = materialize(rewrite_queries(route_queries(queries, first), rewriter), "rewrites")
