@@ -24,13 +24,13 @@ from shelfmark.operators import rerank as R
 from shelfmark.operators import rewrite as W
 from shelfmark.operators.postings import text_index
 from shelfmark.operators.retrieve import store_index, text_search
-from shelfmark.operators.upsert import merge_by_key, merge_counts
+from shelfmark.operators.upsert import latest_by_key, merge_by_key, merge_counts
 from shelfmark.plans.build import build_catalog
 from shelfmark.plans.search import search_documents, search_pass, two_pass_search
-from shelfmark.schemas import CATALOG
+from shelfmark.schemas import CATALOG, LANGUAGES, PATHS, VALUES
 from shelfmark.session import materialize, new_path
 from shelfmark.sources import readers, writers
-from shelfmark.streaming.ingest import stream_catalog
+from shelfmark.streaming import ingest as ST
 
 try:  # the corpus operators are a subpackage that can be left out
     import corpus_pipeline
@@ -129,12 +129,81 @@ def stream_ingest(spark, sf_dir):
     root = new_path(spark, "catalog")
     schema = T.table(spark, sf_dir, "part").schema
     parts = readers.stream_products(spark, sf_dir, "part.parquet", schema)
-    stream_catalog(
+    ST.stream_catalog(
         T.products_from_part(parts), root, new_path(spark, "stream_state")
     ).awaitTermination()
     return _show_lists(writers.read_table(spark, root, CATALOG))
 
 
+def _streamed(spark, sf_dir):
+    """The folder of a streamed build: the dump arrives in three files without ``seq``, two runs take it."""
+    dump, root, state = (new_path(spark, n) for n in ("dump", "build", "stream_state"))
+    products = T.products(spark, sf_dir)
+    lo, hi = products.agg(F.min("seq"), F.max("seq")).first()
+    third = (hi - lo) // 3 + 1
+    for i in range(3):
+        part = products.filter(F.floor((F.col("seq") - lo) / third) == i).orderBy("seq").drop("seq")
+        part.coalesce(1).write.mode("append").parquet(dump)
+        if i:
+            stream = readers.stream_products(spark, dump, max_files=1, arrival=True)
+            ST.stream_build(stream, root, state).awaitTermination()
+    return root
+
+
+def _streamed_table(name, schema, *shown):
+    return lambda s, d: writers.read_table(s, f"{_streamed(s, d)}/{name}", schema).select(*shown or "*")
+
+
+def running_languages(spark, sf_dir):
+    """Counts after two runs, with new files between them."""
+    dump, root, state = (new_path(spark, n) for n in ("dump", "languages", "stream_state"))
+    documents = T.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    for odd in (0, 1):
+        documents.filter(F.pmod("doc_id", F.lit(2)) == odd).write.mode("append").parquet(dump)
+        stream = readers.stream_products(spark, dump, schema=documents.schema, max_files=1)
+        ST.stream_languages(stream, root, state).awaitTermination()
+    return writers.read_table(spark, root, LANGUAGES)
+
+
+def text_search_updated(spark, sf_dir):
+    """A stored index of the older catalog, brought up to date by the build's documents."""
+    queries = materialize(T.queries(spark, sf_dir), "queries")
+    older = latest_by_key(I.catalog_project(T.older_products(spark, sf_dir)), "_id")
+    index = store_index(text_index(older))
+    index.update(text_index(_build(spark, sf_dir).catalog()))
+    return _show_hits(text_search(queries, index))
+
+
+def write_lists(spark, sf_dir):
+    """The value lists as the sink wrote them."""
+    path = new_path(spark, "lists")
+    _build(spark, sf_dir).write_side_outputs(path)
+    lists = None
+    for name in ("unique_food_groups", "unique_categories"):
+        part = spark.read.schema("value string").json(f"{path}/{name}").select(F.lit(name).alias("list"), "value")
+        lists = part if lists is None else lists.unionByName(part)
+    return lists
+
+
+def write_paths(spark, sf_dir):
+    path = new_path(spark, "lists")
+    _build(spark, sf_dir).write_side_outputs(path)
+    return spark.read.schema("name string, path string").json(f"{path}/unique_last_categories")
+
+
+def build_without_store(spark, sf_dir):
+    """No-store mode: everything is computed and nothing is written."""
+    build = _build(spark, sf_dir)
+    sizes = {
+        "n_documents": build.catalog(), "n_food_groups": build.food_groups, "n_categories": build.categories,
+        "n_paths": build.category_paths, "n_tree": build.category_tree, "n_rejected": build.rejected,
+    }
+    out = build.counts
+    for name, df in sizes.items():  # one row each
+        out = out.join(df.agg(F.count("*").alias(name)), F.lit(True))
+    return out
+
+
 def read_queries(spark, sf_dir):
     path = new_path(spark, "batch")
     T.receipt_lines(spark, sf_dir).orderBy("s_suppkey").select("line").write.text(path)
@@ -316,6 +385,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "scan_products": scan_products,
         "stream_ingest": stream_ingest,
+        "stream_by_arrival": lambda s, d: _show_lists(_streamed_table("catalog", CATALOG)(s, d)),
+        "stream_category_paths": _streamed_table("category_paths", PATHS),
+        "stream_tags": _streamed_table("food_groups", VALUES),
+        "stream_categories": _streamed_table("categories", VALUES),
+        "stream_counts": lambda s, d: ST.stream_counts(s, _streamed(s, d)),
+        "running_languages": running_languages,
+        "text_search_updated": text_search_updated,
+        "write_lists": write_lists,
+        "write_paths": write_paths,
+        "build_without_store": build_without_store,
         "read_queries": read_queries,
         "read_report": read_report,
         "upsert_catalog": upsert_catalog,

@@ -566,6 +566,9 @@ _DOCUMENTS = [
 _PAIRS = [LINES, SOLD, "pairs AS (SELECT DISTINCT lower(a) AS q, lower(b) AS t FROM sold)", *pair_scores("pairs")]
 
 
+_COUNTS = f"SELECT count(*) FILTER ({valid()}) AS processed, count(*) FILTER (NOT {valid()}) AS skipped FROM records"
+
+
 def oracle_sql():
     named = "list_transform(product_name, lambda n: n.text)"
     tags = "(SELECT unnest(categories_tags) AS tag FROM products)"
@@ -575,6 +578,20 @@ def oracle_sql():
         "read_queries": with_([LINES], f"SELECT row_number() OVER (ORDER BY s_suppkey) AS query_no, {strip('line')} AS input_string FROM receipt_lines WHERE {strip('line')} <> ''"),
         "read_report": with_(_OFFLINE, f"SELECT {_REPORT_COLS} FROM report"),
         "upsert_catalog": with_([PRODUCTS, OLDER, *BUILD[1:], MERGED], shown_catalog("merged")),
+        "stream_by_arrival": with_(BUILD, shown_catalog("catalog")),
+        "stream_category_paths": with_(TREES[:5], "SELECT name, path FROM paths"),
+        "stream_tags": with_(BUILD[:3], "SELECT DISTINCT unnest(food_groups_tags) AS value FROM valid"),
+        "stream_categories": with_(BUILD[:3], f"SELECT DISTINCT unnest({list_items('categories')}) AS value FROM valid"),
+        "stream_counts": with_(BUILD[:2], _COUNTS),
+        "running_languages": "SELECT lang, count(*) AS n_records FROM documents GROUP BY lang",
+        "text_search_updated": with_([PRODUCTS, OLDER, *BUILD[1:], MERGED, LINES, QUERIES, *text_search("queries", "merged")], f"SELECT {_HIT} FROM hits"),
+        "write_lists": with_(BUILD[:3], f"SELECT DISTINCT 'unique_food_groups' AS list, unnest(food_groups_tags) AS value FROM valid UNION ALL SELECT DISTINCT 'unique_categories', unnest({list_items('categories')}) FROM valid"),
+        "write_paths": with_(TREES[:5], "SELECT name, path FROM paths"),
+        "build_without_store": with_([*BUILD, *TREES[4:6]], f"""SELECT *, (SELECT count(*) FROM catalog) AS n_documents,
+            (SELECT count(DISTINCT t) FROM (SELECT unnest(food_groups_tags) AS t FROM valid)) AS n_food_groups,
+            (SELECT count(DISTINCT t) FROM (SELECT unnest({list_items('categories')}) AS t FROM valid)) AS n_categories,
+            (SELECT count(*) FROM paths) AS n_paths, (SELECT count(*) FROM tree) AS n_tree,
+            (SELECT count(*) FROM records WHERE NOT {valid()}) AS n_rejected FROM ({_COUNTS})"""),
         "upsert_categories": with_(TREES, f"SELECT name, {joined('ancestors', ' > ')} AS ancestors FROM tree UNION ALL SELECT name, {joined('ancestors', ' > ')} FROM older_tree WHERE name NOT IN (SELECT name FROM tree)"),
         "upsert_counts": with_(TREES, "SELECT count(*) AS processed, count(*) FILTER (o.name IS NULL) AS inserted, count(*) FILTER (o.name IS NOT NULL) AS updated FROM tree AS t LEFT JOIN older_tree AS o USING (name)"),
         "result_json": with_(TWO_PASS, _results()),
@@ -602,7 +619,7 @@ def oracle_sql():
         "catalog_by_arrival": with_(BUILD, shown_catalog("catalog")),
         "category_paths": with_(TREES[:5], "SELECT name, path FROM paths"),
         "category_tree": with_(TREES[:6], f"SELECT name, {joined('ancestors', ' > ')} AS ancestors, len(ancestors) AS n_ancestors FROM tree"),
-        "ingest_counts": with_(BUILD[:2], f"SELECT count(*) FILTER ({valid()}) AS processed, count(*) FILTER (NOT {valid()}) AS skipped FROM records"),
+        "ingest_counts": with_(BUILD[:2], _COUNTS),
         "best_match": with_(RERANK, "SELECT query_no, _id, given_name, round(rapidfuzz_score, 6) AS best_score FROM ranked WHERE fuzzy_rank = 1"),
         "hit_counts": with_(SEARCH, "SELECT query_no, count(_id) AS direct_count, count(_id) AS rapidfuzz_count FROM queries LEFT JOIN hits USING (query_no) GROUP BY query_no"),
         "field_scores": with_(RERANK, f"SELECT query_no, _id, {_r(*_SCORES)} FROM ranked"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from shelfmark import constants as K
 from shelfmark.operators import ingest as I
+from shelfmark.operators.postings import PostingsIndex, text_index
 from shelfmark.operators.upsert import latest_by_key
 from shelfmark.schemas import CATALOG, CATEGORIES
 from shelfmark.sources.writers import upsert_table, write_paths, write_values
@@ -28,10 +29,12 @@ class CatalogBuild:
         """The catalog of this build alone, one document per key."""
         return latest_by_key(self.documents, "_id").select(*CATALOG.fieldNames())
 
-    def store(self, catalog_root: str, categories_root: str) -> None:
-        """Upsert the catalog and the category tree."""
+    def store(self, catalog_root: str, categories_root: str, index_root: str | None = None) -> None:
+        """Upsert the catalog, the category tree and, where one is kept, the search index."""
         upsert_table(self.documents, catalog_root, CATALOG, "_id", "seq")
         upsert_table(self.category_tree, categories_root, CATEGORIES, "name")
+        if index_root is not None:
+            PostingsIndex(self.documents.sparkSession, index_root).update(text_index(self.catalog()))
 
     def write_side_outputs(self, path: str) -> None:
         write_values(self.food_groups, f"{path}/unique_food_groups")

@@ -55,6 +55,12 @@ CATALOG = _struct(
 
 CATEGORIES = _struct(("name", _S), ("ancestors", _A))
 
+# Side outputs of a build that is kept up to date by a stream.
+PATHS = _struct(("name", _S), ("path", _S))
+VALUES = _struct(("value", _S))
+COUNTS = _struct(("batch", _S), ("processed", _L), ("skipped", _L))
+LANGUAGES = _struct(("lang", _S), ("n_records", _L))
+
 QUERIES = _struct(("query_no", _L), ("input_string", _S))
 
 # One row per rewriter answer.

@@ -38,13 +38,21 @@ def read_products(
 
 
 def stream_products(
-    spark: SparkSession, path: str, pattern: str = "*.parquet", schema=SRC, max_files=None
+    spark: SparkSession, path: str, pattern: str = "*.parquet", schema=SRC, max_files=None, arrival: bool = False
 ) -> DataFrame:
-    """The same dump as a stream: files are picked up as they appear in ``path``."""
+    """The same dump as a stream: files are picked up as they appear in ``path``, the oldest first.
+
+    ``arrival`` derives ``seq``, for a dump without it, from a file's time, its name and the place of
+    the record in it, which is the order in which the stream takes them.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    df = reader.parquet(path)
+    if not arrival:
+        return df
+    when = F.date_format("_metadata.file_modification_time", "yyyyMMddHHmmssSSS")
+    return df.withColumn("seq", F.concat(when, F.lit("#"), _arrival("parquet")))
 
 
 def read_queries(spark: SparkSession, path) -> DataFrame:

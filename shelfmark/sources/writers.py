@@ -1,49 +1,18 @@
 """Sinks. Sorted outputs are range-partitioned: part files follow the sort order
 and nothing is funnelled through one task."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.conversation import conversation_export
 from shelfmark.operators.report import batch_report
-from shelfmark.operators.upsert import latest_by_key, merge_by_key
 from shelfmark.plans.search import SearchResult, search_documents
+from shelfmark.sources.tables import pinned, read_table, upsert_table, vacuum
 
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed versions below ``root``; an interrupted write leaves no marker."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/v=*/_SUCCESS"))
-    return sorted(int(s.getPath().getParent().getName()[2:]) for s in done)
-
-
-def read_table(spark: SparkSession, root: str, schema) -> DataFrame:
-    """The latest committed version of an upserted table; empty before the first."""
-    versions = _versions(spark, root)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/v={versions[-1]}")
-
-
-def upsert_table(new: DataFrame, root: str, schema, key: str, order: str | None = None) -> None:
-    """Merge ``new`` into the table at ``root`` by key and commit a new version.
-
-    The directory being read is never written; the version counts once its
-    commit marker exists. Running the same upsert again changes nothing, which
-    makes a replayed micro-batch harmless.
-    """
-    spark = new.sparkSession
-    if order is not None:
-        new = latest_by_key(new, key, order)
-    new = new.select(*schema.fieldNames())
-    versions = _versions(spark, root)
-    merged = merge_by_key(read_table(spark, root, schema), new, key)
-    version = versions[-1] + 1 if versions else 0
-    merged.write.mode("overwrite").parquet(f"{root}/v={version}")
+__all__ = [
+    "pinned", "read_table", "upsert_table", "vacuum", "write_conversations", "write_paths", "write_report",
+    "write_results", "write_values",
+]
 
 
 def write_values(values: DataFrame, path: str) -> None:

@@ -8,8 +8,10 @@ import pytest
 from shelfmark.operators import ingest as I
 from shelfmark.operators.upsert import latest_by_key, merge_by_key, merge_counts
 from shelfmark.plans.build import build_catalog
-from shelfmark.schemas import CATALOG, CATEGORIES, SRC
+from shelfmark.schemas import CATALOG, CATEGORIES, PATHS, SRC, VALUES
 from shelfmark.sources import readers, writers
+from shelfmark.sources import tables
+from shelfmark.streaming import ingest as S
 from shelfmark.streaming.ingest import stream_catalog, stream_lang_distribution
 
 
@@ -110,6 +112,79 @@ def test_uncommitted_version_is_ignored(spark, build, tmp_path):
     assert writers.read_table(spark, str(root), CATALOG).count() == 4
 
 
+def test_an_upsert_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
+    root = str(tmp_path / "table")
+    old = spark.range(2000).selectExpr("cast(id as string) AS name", "'old' AS path")
+    writers.upsert_table(old, root, PATHS, "name", buckets=64)
+    delta = spark.createDataFrame([(str(i * 31), "new") for i in range(9)] + [(None, "new")], PATHS)
+    writers.upsert_table(delta, root, PATHS, "name")
+    rewritten = list((tmp_path / "table" / "v=1" / "data").glob("_bucket=*"))
+    assert 1 <= len(rewritten) <= 10 and len(list((tmp_path / "table" / "v=0" / "data").glob("_bucket=*"))) == 64
+    got = as_dict(writers.read_table(spark, root, PATHS), "name", "path")
+    assert got == {str(i): "old" for i in range(2000)} | {str(i * 31): "new" for i in range(9)} | {None: "new"}
+
+
+def test_superseded_buckets_go_unless_pinned(spark, tmp_path):
+    root = str(tmp_path / "table")
+    rows = lambda v: spark.createDataFrame([("a", v), ("b", v)], PATHS)
+    stored = lambda: {p.parent.parent.name for p in (tmp_path / "table").glob("v=*/data/_bucket=*")}
+    writers.upsert_table(rows("0"), root, PATHS, "name")
+    with writers.pinned(spark, root) as version:
+        for v in "123":
+            writers.upsert_table(rows(v), root, PATHS, "name")
+        assert stored() == {"v=0", "v=2", "v=3"}
+        pinned = writers.read_table(spark, root, PATHS, version)
+        assert as_dict(pinned, "name", "path") == {"a": "0", "b": "0"}
+    writers.upsert_table(spark.createDataFrame([("a", "4")], PATHS), root, PATHS, "name")
+    writers.upsert_table(spark.createDataFrame([("a", "5")], PATHS), root, PATHS, "name")
+    assert as_dict(writers.read_table(spark, root, PATHS), "name", "path") == {"a": "5", "b": "3"}
+    assert stored() == {"v=3", "v=4", "v=5"}  # "b" is still read where it was written
+
+
+def test_a_grown_table_is_dealt_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 10)
+    root = str(tmp_path / "table")
+    writers.upsert_table(spark.range(20).selectExpr("cast(id as string) AS name", "'a' AS path"), root, PATHS, "name")
+    writers.upsert_table(spark.range(10, 900).selectExpr("cast(id as string) AS name", "'b' AS path"), root, PATHS, "name")
+    assert len(tables._manifest(spark, root, 1)[0]) == 182
+    got = as_dict(writers.read_table(spark, root, PATHS), "name", "path")
+    assert got == {str(i): "ab"[i >= 10] for i in range(900)}
+
+
+def test_a_batch_is_applied_once(spark, tmp_path):
+    root = str(tmp_path / "table")
+    rows = lambda v: spark.createDataFrame([("a", v)], PATHS)
+    for stream, batch_id, value, want in (("s", 0, "0", "0"), ("s", 1, "1", "1"), ("s", 0, "again", "1"), ("t", 0, "2", "2"), ("s", 1, "again", "2")):
+        writers.upsert_table(rows(value), root, PATHS, "name", batch=(stream, batch_id))
+        assert as_dict(writers.read_table(spark, root, PATHS), "name", "path") == {"a": want}
+    assert tables.applied(spark, root, ("s", 1)) and not tables.applied(spark, root, ("s", 2))
+    # a batch without rows is remembered too
+    writers.upsert_table(rows("x").limit(0), root, PATHS, "name", batch=("s", 5))
+    assert tables.applied(spark, root, ("s", 5))
+
+
+def test_stream_build_in_arrival_order(spark, source, build, tmp_path):
+    """Side outputs and counts of a dump without numbers, over restarts and a replayed batch."""
+    dump, root, state = (str(tmp_path / n) for n in ("dump", "tables", "state"))
+    for lo, hi in ((0, 3), (3, 6), (6, 9)):
+        part = source.filter(f"seq > {lo} AND seq <= {hi}").orderBy("seq").drop("seq")
+        part.coalesce(1).write.mode("append").parquet(dump)
+        query = S.stream_build(readers.stream_products(spark, dump, max_files=1, arrival=True), root, state)
+        query.awaitTermination()
+        assert query.exception() is None
+    # the commit of the last batch is lost: the batch is replayed, and every table has it already
+    (tmp_path / "state" / "commits" / "2").unlink()
+    (tmp_path / "state" / "commits" / ".2.crc").unlink(missing_ok=True)
+    S.stream_build(readers.stream_products(spark, dump, max_files=1, arrival=True), root, state).awaitTermination()
+    read = lambda name, schema: writers.read_table(spark, f"{root}/{name}", schema)
+    assert sorted(map(str, read("catalog", CATALOG).collect())) == sorted(map(str, build.catalog().collect()))
+    assert as_dict(read("category_paths", PATHS), "name", "path") == as_dict(build.category_paths, "name", "path")
+    for name, want in (("food_groups", build.food_groups), ("categories", build.categories)):
+        assert sorted(r.value for r in read(name, VALUES).collect()) == [r.value for r in want.collect()]
+    assert S.stream_counts(spark, root).first() == build.counts.first()
+    assert len(tables.versions(spark, f"{root}/counts")) <= 3
+
+
 def test_merge_counts(spark):
     old = spark.createDataFrame([("a", ["x"]), (None, [])], CATEGORIES)
     new = spark.createDataFrame([("a", ["y"]), ("b", []), (None, ["z"])], CATEGORIES)
