@@ -284,6 +284,16 @@ def write_conversations(spark, sf_dir):
     return spark.read.schema(schema).json(path)
 
 
+def conversation_documents(spark, sf_dir):
+    """Documents as written: their sizes and a digest of their messages in order."""
+    path = new_path(spark, "documents")
+    writers.write_conversation_documents(T.messages(spark, sf_dir), path)
+    lines = F.transform("conversation", lambda m: F.concat_ws(":", m["role"], m["content"]))
+    return writers.read_conversation_documents(spark, path).select(
+        "model", "conv_id", "total_messages", F.md5(F.array_join(lines, "\n")).alias("digest")
+    )
+
+
 # ------------------------------------------------------------ catalog build
 
 
@@ -404,6 +414,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "batch_report": lambda s, d: P.batch_report(_searched(s, d)),
         "conversation_export": lambda s, d: C.conversation_export(T.messages(s, d)),
         "write_conversations": write_conversations,
+        "conversation_documents": conversation_documents,
         "category_paths_by_arrival": lambda s, d: _unnumbered(s, d).category_paths,
         "catalog_by_arrival": lambda s, d: _show_lists(_unnumbered(s, d).catalog()),
         "unanswered_turns": lambda s, d: C.unanswered_turns(T.messages(s, d)).drop("role"),

@@ -598,6 +598,7 @@ def oracle_sql():
         "batch_report": with_(_REPORTED, f"SELECT {_REPORT_COLS} FROM report"),
         "conversation_export": with_([MESSAGES], "SELECT model, conv_id, turn, role, content, count(*) OVER (PARTITION BY model, conv_id) AS total_messages FROM messages"),
         "write_conversations": with_([MESSAGES], "SELECT model, conv_id, turn, role, content, count(*) OVER (PARTITION BY model, conv_id) AS total_messages FROM messages"),
+        "conversation_documents": with_([MESSAGES], "SELECT model, conv_id, count(*) AS total_messages, md5(string_agg(concat_ws(':', role, content), chr(10) ORDER BY turn)) AS digest FROM messages GROUP BY model, conv_id"),
         "unanswered_turns": with_([MESSAGES], "SELECT model, conv_id, turn, content FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM messages) WHERE role = 'user' AND nxt IS DISTINCT FROM 'assistant'"),
         "filter_lang": "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'fr'",
         "valid_products": with_(BUILD[:3], "SELECT seq, code, categories FROM valid"),

@@ -10,8 +10,9 @@ The score of a pair is the better of two longest-common-subsequence ratios:
 Only the pair scorer runs in Python, over whole Arrow batches: the bit-parallel
 LCS recurrence (Hyyro, 2004) advances all windows of all pairs of a batch at
 once in numpy. Everything around it (lower-casing, field lists, maxima, weights)
-is Spark expressions. Strings may have any length: masks use as many 64-bit
-words as the shorter string needs.
+is Spark expressions. Strings may have any length. Where the shorter one needs more than one
+64-bit word, all windows come from one sweep instead (semi-local LCS by combing, Tiskin), whose
+work grows with the product of both lengths.
 """
 
 import numpy as np
@@ -71,6 +72,37 @@ def _lcs_lengths(masks: np.ndarray, start: np.ndarray, length: np.ndarray) -> np
     return out
 
 
+def _code_points(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def window_lcs(short: str, long: str) -> tuple[np.ndarray, np.ndarray]:
+    """LCS of ``short`` with each window of its length in ``long``, and the lengths of the windows.
+
+    Windows begin at 1 - m to n - 1 and are cut off at either end of ``long``. Strands enter the
+    grid of both strings from the left and the top; two that meet at a cell swap at a match, or
+    if they have met before. A strand from top s to bottom e is a character that the windows
+    holding both s and e do without. The cells of an anti-diagonal do not depend on one another.
+    """
+    m, n = len(short), len(long)
+    rows, columns = _code_points(short)[::-1], _code_points(long)
+    left, top = np.arange(m, dtype=np.int32), np.arange(m, m + n, dtype=np.int32)
+    for d in range(m + n - 1):
+        low, high = max(0, d - n + 1), min(m - 1, d)  # rows of the diagonal
+        a, b = slice(m - 1 - high, m - low), slice(d - high, d - low + 1)
+        h, v = left[a], top[b]
+        swap = (rows[a] == columns[b]) | (h > v)
+        left[a], top[b] = np.where(swap, v, h), np.where(swap, h, v)
+    first = np.arange(1 - m, n)
+    length = np.minimum(first + m, n) - np.maximum(first, 0)
+    end = np.flatnonzero(top >= m)
+    begin = top[end] - m
+    # a strand counts for windows that begin after end - m and not after its begin, if there are any
+    end, begin = end[end < begin + m], begin[end < begin + m]
+    step = np.bincount(end, minlength=m + n) - np.bincount(begin + m, minlength=m + n)
+    return length - np.cumsum(step)[: m + n - 1], length
+
+
 class _Windows:
     """Collects LCS tasks for pairs whose masks have the same number of words."""
 
@@ -108,7 +140,10 @@ def pair_scores(pairs, token_sort: bool = True, partial: bool = True) -> np.ndar
     def add(i, a, b, sliding):
         short, long = (a, b) if len(a) <= len(b) else (b, a)
         words = (len(short) + 63) // 64
-        if words:
+        if words > 1 and sliding:
+            lcs, length = window_lcs(short, long)
+            best[i] = max(best[i], (200.0 * lcs / (len(short) + length)).max())
+        elif words:
             groups.setdefault(words, _Windows(words)).add(i, short, long, sliding)
 
     for i, (a, b) in enumerate(pairs):

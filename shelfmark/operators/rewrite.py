@@ -6,7 +6,9 @@ A rewriter is a function from a DataFrame of requests to a DataFrame of answers:
   (the last two are the level-1 answer when level 2 is asked);
 * answer: the columns of ``schemas.REWRITE``, one row per request.
 
-Three are provided: none at hand, a table of answers, and a service. A request that
+Three are provided: none at hand, a table of answers, and a service. Requests of one level, string
+and context are asked once, under the smallest of their query numbers, and with a store of answers
+(``answer_root``) only if no earlier batch got their answer. A request that
 a rewriter leaves out counts as answered with "no match found", and of several answers
 to one request the smallest counts, so no query is lost or multiplied.
 """
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from shelfmark import constants as K
 from shelfmark.functions.decision import parse_decision, rewrite_prompt
 from shelfmark.functions.text import is_set
-from shelfmark.schemas import REWRITE
+from shelfmark.schemas import ANSWERS, REWRITE
 from shelfmark.session import materialize
+from shelfmark.sources.tables import read_table, upsert_table
 
 Rewriter = Callable[[DataFrame], DataFrame]
 
@@ -103,12 +106,33 @@ def service_rewriter(ask: Callable) -> Rewriter:
     return rewrite
 
 
-def _asked(requests: DataFrame, rewriter: Rewriter, name: str) -> DataFrame:
+def _request_key():
+    """What an answer may depend on: equal requests have equal keys."""
+    context = ["level", "input_string", "top_name", "decision", "rephrased_query"]
+    return F.sha2(F.to_json(F.struct(*context), {"ignoreNullFields": "false"}), 256)
+
+
+def _asked(requests: DataFrame, rewriter: Rewriter, name: str, answer_root: str | None) -> DataFrame:
     """One answer for every request. Written, so that the rewriter is asked once."""
+    spark = requests.sparkSession
     fields = [f.name for f in REWRITE.fields if f.name not in ("query_no", "level")]
-    requests = materialize(requests, f"{name}_requests")
-    answers = rewriter(requests).groupBy("query_no").agg(F.min(F.struct(*fields)).alias("_a"))
-    joined = requests.select("query_no", "level").join(answers, "query_no", "left")
+    requests = materialize(requests.withColumn("request", _request_key()), f"{name}_requests")
+    known = None if answer_root is None else read_table(spark, answer_root, ANSWERS)
+    new = requests if known is None else requests.join(known, "request", "left_anti")
+    # equal requests count once, before the rewriter sees them
+    asked = new.groupBy("request").agg(F.min("query_no").alias("query_no"))
+    once = materialize(new.join(asked, ["request", "query_no"]), f"{name}_asked")
+    answers = rewriter(once.drop("request")).groupBy("query_no").agg(F.min(F.struct(*fields)).alias("_a"))
+    answers = once.select("request", "query_no").join(answers, "query_no").select("request", "_a.*")
+    answers = materialize(answers, f"{name}_answers")
+    if answer_root is not None:
+        # a failed call is asked again by the next batch
+        kept = answers.filter("error is null").select(*ANSWERS.fieldNames())
+        if not kept.isEmpty():
+            upsert_table(kept, answer_root, ANSWERS, "request")
+        answers = answers.unionByName(known.select(*answers.columns))
+    answers = answers.select("request", F.struct(*fields).alias("_a"))
+    joined = requests.select("query_no", "level", "request").join(answers, "request", "left")
     missing = F.when(F.col("_a").isNull(), K.OFFLINE_ERROR)
     return materialize(
         _answers(
@@ -157,11 +181,12 @@ def _prefixed(answers: DataFrame, prefix: str) -> DataFrame:
     return answers.select("query_no", *[F.col(f).alias(f"{prefix}_{f}") for f in fields])
 
 
-def rewrite_queries(routed: DataFrame, rewriter: Rewriter) -> DataFrame:
+def rewrite_queries(routed: DataFrame, rewriter: Rewriter, answer_root: str | None = None) -> DataFrame:
     """Ask level 1 for weak queries, level 2 where that did not settle them.
 
     Level 2 is asked only if the first pass had hits. ``next_query`` is the string
-    for the second pass, null where there is none.
+    for the second pass, null where there is none. ``answer_root`` is a table that keeps
+    answers from batch to batch.
     """
     context = F.when(F.col("n_hits") > 0, F.col("top_name"))
     none = F.lit(None).cast("string")
@@ -173,7 +198,7 @@ def rewrite_queries(routed: DataFrame, rewriter: Rewriter) -> DataFrame:
         none.alias("decision"),
         none.alias("rephrased_query"),
     )
-    asked = routed.join(_prefixed(_asked(level1, rewriter, "level1"), "level1"), "query_no", "left")
+    asked = routed.join(_prefixed(_asked(level1, rewriter, "level1", answer_root), "level1"), "query_no", "left")
 
     settled = rephrased("level1") | F.coalesce(
         F.col("level1_decision").isin(K.NOT_A_PRODUCT, K.VALID_PRODUCT), F.lit(False)
@@ -186,7 +211,7 @@ def rewrite_queries(routed: DataFrame, rewriter: Rewriter) -> DataFrame:
         F.col("level1_decision").alias("decision"),
         F.col("level1_rephrased_query").alias("rephrased_query"),
     )
-    answered = asked.join(_prefixed(_asked(level2, rewriter, "level2"), "level2"), "query_no", "left")
+    answered = asked.join(_prefixed(_asked(level2, rewriter, "level2", answer_root), "level2"), "query_no", "left")
     return answered.withColumn(
         "next_query",
         F.when(rephrased("level1"), F.col("level1_rephrased_query")).when(

@@ -41,16 +41,20 @@ def two_pass_search(
     catalog: DataFrame,
     rewriter: Rewriter = offline_rewriter,
     index: PostingsIndex | None = None,
+    answer_root: str | None = None,
 ) -> SearchResult:
     """Search all queries; search the rewritten ones again with their new text.
 
+    ``index`` is the catalog's stored index, ``answer_root`` the table of kept answers; without
+    them, an index is built and answers are forgotten after the batch.
+
     The last pass of a query is its result even if it found less. Each pass is
     written once because routing, rewriting and reporting all read it.
     """
     index = store_index(text_index(catalog)) if index is None else index
     first = materialize(search_pass(queries, catalog, index), "first_pass")
     # An answer from a service must not be asked for again by a later step.
-    answered = materialize(rewrite_queries(route_queries(queries, first), rewriter), "rewrites")
+    answered = materialize(rewrite_queries(route_queries(queries, first), rewriter, answer_root), "rewrites")
 
     again = answered.filter(F.col("next_query").isNotNull())
     second = search_pass(

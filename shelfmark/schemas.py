@@ -72,3 +72,8 @@ REWRITE = _struct(
     ("rephrased_query", _S),
     ("error", _S),
 )
+
+# Kept answers, by the hash of their request.
+ANSWERS = _struct(
+    ("request", _S), ("model", _S), ("decision", _S), ("rephrased_query", _S), ("error", _S)
+)

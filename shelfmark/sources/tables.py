@@ -115,17 +115,18 @@ def upsert_table(
         return
     new = latest_by_key(new, key, order) if order is not None else new
     new = materialize(new.select(*schema.fieldNames()), "delta")
-    total = sum(rows for _, rows in manifest.values())
-    if buckets is None:
-        buckets, total = len(manifest), total + new.count()
-        if not buckets or total > 4 * BUCKET_ROWS * buckets:
-            buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * -(-total // BUCKET_ROWS)))
-    slot = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    if manifest and buckets != len(manifest):  # dealt anew, as a whole
+    dealt = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    buckets = buckets or len(manifest) or LEAST_BUCKETS
+    sizes = {r[0]: r[1] for r in new.groupBy(dealt(buckets)).count().collect()}  # MOST_BUCKETS at most
+    total = sum(sizes.values()) + sum(rows for _, rows in manifest.values())
+    if total > 4 * BUCKET_ROWS * buckets:
+        buckets = min(MOST_BUCKETS, 2 * -(-total // BUCKET_ROWS))
+    slot = dealt(buckets)
+    if buckets != len(manifest):  # new, or dealt anew as a whole
         touched, old = set(range(buckets)), _read(spark, root, schema, manifest)
         manifest = {}
     else:
-        touched = {r[0] for r in new.select(slot).distinct().collect()}  # MOST_BUCKETS at most
+        touched = set(sizes)
         old = _read(spark, root, schema, {b: manifest[b] for b in touched & set(manifest)})
     version = 0 if last is None else last + 1
     data = f"{root}/v={version}/data"

@@ -1,8 +1,9 @@
 """Sinks. Sorted outputs are range-partitioned: part files follow the sort order
 and nothing is funnelled through one task."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from shelfmark.operators.conversation import conversation_export
 from shelfmark.operators.report import batch_report
@@ -10,7 +11,8 @@ from shelfmark.plans.search import SearchResult, search_documents
 from shelfmark.sources.tables import pinned, read_table, upsert_table, vacuum
 
 __all__ = [
-    "pinned", "read_table", "upsert_table", "vacuum", "write_conversations", "write_paths", "write_report",
+    "pinned", "read_conversation_documents", "read_table", "upsert_table", "vacuum",
+    "write_conversation_documents", "write_conversations", "write_paths", "write_report",
     "write_results", "write_values",
 ]
 
@@ -53,3 +55,41 @@ def write_conversations(messages: DataFrame, path: str, timestamp=None) -> None:
         .orderBy("model", "conv_id", "turn")
         .write.json(path)
     )
+
+
+def write_conversation_documents(messages: DataFrame, path: str, timestamp=None) -> None:
+    """One JSON document per conversation, in a folder of its own below ``path``.
+
+    A document is ``{model, conv_id, conversation: [{role, content}, ...], total_messages,
+    exported_at}`` with a message a line. Its lines are rows that are written in order as
+    they come, so a conversation of any length never is one value. Without messages
+    nothing is written.
+    """
+    if messages.isEmpty():
+        return
+    stamp = F.current_timestamp() if timestamp is None else timestamp
+    conversation = ["model", "conv_id"]
+    ends = messages.select(*conversation).distinct().withColumns(
+        {"turn": F.lit(None).cast("long"), "role": F.lit(None).cast("string"), "content": F.lit(None).cast("string")}
+    )
+    rows = messages.select(*conversation, "turn", "role", "content", F.lit(False).alias("_end")).unionByName(
+        ends.withColumn("_end", F.lit(True))
+    )
+    name = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in conversation])
+    # a null and the text "none" must not share a folder
+    rows = rows.withColumn("document", F.concat(name, F.lit("-"), F.hex(F.xxhash64(*conversation))))
+    number = F.row_number().over(W.partitionBy("document").orderBy("_end", "turn", "role", "content"))
+    fields = {"ignoreNullFields": "false"}
+    head = F.to_json(F.struct(*conversation), fields)
+    head = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"conversation":['))
+    message = F.to_json(F.struct("role", "content"), fields)
+    tail = F.to_json(F.struct((F.col("_n") - 1).alias("total_messages"), stamp.alias("exported_at")))
+    tail = F.concat(F.lit("],"), F.substr(tail, F.lit(2), F.length(tail) - 1))
+    line = F.when(F.col("_end"), tail).when(F.col("_n") == 1, F.concat(head, message)).otherwise(F.concat(F.lit(","), message))
+    rows.withColumn("_n", number).select("document", line.alias("value")).write.partitionBy("document").text(path)
+
+
+def read_conversation_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents under ``path`` as rows."""
+    kind = "model string, conv_id long, conversation array<struct<role: string, content: string>>, total_messages long, exported_at timestamp"
+    return spark.read.schema(kind).option("multiLine", True).option("recursiveFileLookup", True).json(path)

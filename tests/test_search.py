@@ -277,6 +277,37 @@ def test_service_rewriter_plugs_in(spark, queries, catalog):
     assert all(best[i]._id == "0001" for i in (2, 5, 8))
 
 
+def test_equal_requests_are_asked_once_and_answers_are_kept(spark, tmp_path):
+    log, store = tmp_path / "asked", str(tmp_path / "answers")
+    log.mkdir()
+
+    def ask(batches):
+        for b in batches:
+            for no, prompt in zip(b["query_no"], b["prompt"], strict=True):
+                with open(log / f"{no}-{abs(hash(prompt))}", "a") as f:
+                    f.write("call\n")
+            failed = b["prompt"].str.contains("broken")
+            b["content"] = '{"decision": "no_match_found", "rephrased_query": null}'
+            b.loc[failed, "content"] = "{oops}"
+            yield b[["query_no", "level", "content"]]
+
+    routed = spark.createDataFrame(
+        [(i, "same text", 1, 10.0, "Name", W.ASK) for i in range(6)]
+        + [(6, "same text", 1, 10.0, "Other", W.ASK), (7, "other", 0, None, None, W.ASK_WITHOUT_HITS)]
+        + [(8, "broken", 0, None, None, W.ASK_WITHOUT_HITS), (9, "fine", 3, 700.0, "Fine", W.DONE)],
+        "query_no long, input_string string, n_hits long, best_score double, top_name string, route string",
+    )
+    first = W.rewrite_queries(routed, W.service_rewriter(ask), store).orderBy("query_no").collect()
+    # level 1: two contexts of one text, "other", "broken"; level 2: the two contexts
+    assert len(list(log.iterdir())) == 6
+    assert [r.level1_decision for r in first] == ["no_match_found"] * 9 + [None]
+    assert [r.level2_decision for r in first] == ["no_match_found"] * 7 + [None] * 3
+    second = W.rewrite_queries(routed.filter("query_no > 2"), W.service_rewriter(ask), store).orderBy("query_no").collect()
+    assert [tuple(r) for r in second] == [tuple(r) for r in first[3:]]
+    lines = sorted(f.read_text().count("\n") for f in log.iterdir())
+    assert lines == [1] * 5 + [2]  # only the failed call was made again
+
+
 MESSAGES = [
     ("m1", 1, 0, "system", "s"), ("m1", 1, 1, "user", "u"), ("m1", 1, 2, "assistant", "a"),
     ("m1", 1, 3, "user", "lost"), ("m1", 1, 4, "user", "again"), ("m1", 1, 5, "assistant", "b"),
@@ -303,6 +334,36 @@ def test_conversations(spark, tmp_path):
     assert not empty.exists()
 
 
+def test_conversation_documents(spark, tmp_path):
+    rows = [*MESSAGES, (None, 1, 0, "user", 'say "x"\n'), ("none", 1, 0, "user", None)]
+    path = str(tmp_path / "documents")
+    writers.write_conversation_documents(spark.createDataFrame(rows, MESSAGE).repartition(5), path)
+    files = list(Path(path).glob("document=*/part-*"))
+    docs = [json.loads(f.read_text()) for f in files]
+    assert len(docs) == 4 and all(set(d) == {"model", "conv_id", "conversation", "total_messages", "exported_at"} for d in docs)
+    assert {(d["model"], d["conv_id"]): [(m["role"], m["content"]) for m in d["conversation"]] for d in docs} == {
+        ("m1", 1): [r[3:] for r in MESSAGES[:6]], ("m2", 1): [("user", "only")],
+        (None, 1): [("user", 'say "x"\n')], ("none", 1): [("user", None)],
+    }
+    assert sorted(d["total_messages"] for d in docs) == [1, 1, 1, 6]
+    assert writers.read_conversation_documents(spark, path).count() == 4
+    empty = tmp_path / "none"
+    writers.write_conversation_documents(spark.createDataFrame([], MESSAGE), str(empty))
+    assert not empty.exists()
+
+
+def test_a_long_conversation_is_streamed(spark, tmp_path):
+    n = 300_000
+    messages = spark.range(n, numPartitions=8).selectExpr(
+        "'m' AS model", "1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "string(id) AS content"
+    )
+    path = str(tmp_path / "documents")
+    writers.write_conversation_documents(messages, path)
+    (file,) = Path(path).glob("document=*/part-*")
+    doc = json.loads(file.read_text())
+    assert doc["total_messages"] == n and [m["content"] for m in doc["conversation"]] == list(map(str, range(n)))
+
+
 def test_read_queries(spark, tmp_path):
     path = tmp_path / "batch.txt"
     path.write_bytes("  a\r\n\n b \r   \nc\n\nc".encode())

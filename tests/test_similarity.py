@@ -1,6 +1,7 @@
 """The vectorised pair scorer against a plain dynamic-programming definition."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,27 @@ def test_lengths_around_word_size():
         assert list(S.pair_scores(pairs, token_sort=False)) == [partial(*p) for p in pairs]
 
 
+def test_window_lcs_is_the_lcs_of_every_window():
+    rnd = random.Random(8)
+    for _ in range(300):
+        m = rnd.randrange(1, 9)
+        a = "".join(rnd.choice("abcż") for _ in range(m))
+        b = "".join(rnd.choice("abcdż") for _ in range(rnd.randrange(m, 15)))
+        got, length = S.window_lcs(a, b)
+        windows = [b[max(f, 0) : f + m] for f in range(1 - m, len(b))]
+        assert got.tolist() == [lcs(a, w) for w in windows] and length.tolist() == list(map(len, windows))
+
+
+def test_long_strings_take_one_sweep():
+    rnd = random.Random(9)
+    a, b = ("".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (150, 180))
+    for x, y in ((a, b), (b, a), (a, b[:150]), (a, "z" * 90)):
+        assert abs(S.pair_scores([(x, y)], token_sort=False)[0] - partial(x, y)) < 1e-9
+    start = time.perf_counter()
+    S.pair_scores([(a * 13, b * 11)], token_sort=False)
+    assert time.perf_counter() - start < 5  # 1,950 characters; seconds only on a machine that is very busy
+
+
 def test_chunks_do_not_change_results(monkeypatch):
     pairs = random_pairs(40, 90, seed=3)
     whole = list(S.pair_scores(pairs))
