@@ -3,12 +3,13 @@
 An index is a folder of versions. The first holds a whole catalog, each later one the
 documents of an upsert, so an update costs what the delta costs:
 
-* ``docs``: doc, dl, terms, and the document's place (shard, num). A shard is a range of
-  document keys of bounded size; ``num`` follows the order of the keys in it.
-* ``postings``: a row per (shard, term) with the numbers, frequencies and lengths of its
-  documents, in blocks of ``BLOCK`` consecutive numbers with the largest frequency and the
+* ``docs``: doc, dl, terms, and the document's place (shard, num). A shard is what one task read
+  of the catalog; ``num`` follows the order of the keys in it. Documents do not move.
+* ``postings``: rows of (shard, term) with the numbers of its documents and its frequency in
+  each, in blocks of ``BLOCK`` consecutive numbers with the largest frequency and the
   smallest length of each. These bound a block's weight whatever the mean length has become.
-  Rows are stored by bucket of the term: a batch reads the buckets of its terms.
+  A task packs the documents that it holds, so only packed rows are shuffled. Rows
+  are stored by bucket of the term: a batch reads the buckets of its terms.
 * ``dead`` (but for the first): places of documents that this version replaces, with their terms, so that document
   frequencies are sums over versions and nothing older is tokenised or rewritten.
 
@@ -25,11 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
-from shelfmark.session import materialize
 
-#: Documents, and words of documents, that one shard holds at most on average; a small
-#: catalog has as many shards as there are shuffle partitions, if they hold ``LEAST_DOCS``.
-SHARD_DOCS, SHARD_WORDS, LEAST_DOCS = 1 << 17, 1 << 23, 1 << 10
+#: Small input partitions are put together to shards of so many documents, or to as many
+#: shards as there are shuffle partitions, if these hold ``LEAST_DOCS``.
+SHARD_DOCS, LEAST_DOCS = 1 << 17, 1 << 10
 BLOCK = 512
 #: Words whose postings share a bucket, and the most buckets.
 BUCKET_WORDS, MAX_BUCKETS = 1 << 22, 1024
@@ -38,7 +38,7 @@ MERGE_AFTER = 16
 _DOCS = "doc string, dl long, terms array<string>, shard long, num int"
 _DEAD = "shard long, num int, terms array<string>"
 _META = "n_docs long, n_words long, first_shard long, n_shards long, n_buckets int, base boolean"
-_LISTS = ["nums", "tfs", "dls", "blocks", "starts", "top_tf", "least_dl"]
+_LISTS = ["nums", "tfs", "blocks", "starts", "top_tf", "least_dl"]
 _POSTINGS = "shard long, token string, n long, " + ", ".join(f"{c} array<int>" for c in _LISTS)
 
 
@@ -55,41 +55,40 @@ def doc_id(doc="doc"):
 
 
 def _pack(batches):
-    """Postings (num, tf, dl) of each row as lists, with the bounds of their blocks."""
+    """Postings of the documents of each batch, a row per shard and term; see ``_LISTS``."""
     for batch in batches:
-        if not batch.num_rows:
+        terms = batch.column("terms")
+        size = np.diff(terms.offsets.to_numpy())
+        if not size.sum():
             continue
-        posts = batch.column("posts")
-        size = np.diff(posts.offsets.to_numpy())
-        row = np.repeat(np.arange(len(size)), size)
-        num, tf, dl = (posts.flatten().field(i).to_numpy() for i in range(3))
-        block = num // BLOCK
-        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])))
-        ends = np.append(0, np.cumsum(size))
-        block_ends = np.searchsorted(first, ends)
+        shard, num, dl = (batch.column(c).to_numpy() for c in ("shard", "num", "dl"))
+        coded = terms.flatten().dictionary_encode()
+        n_terms = len(coded.dictionary)
+        code, doc = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)
+        # one key for each (shard, term, document), in the order in which rows are packed
+        runs, run = np.unique(shard, return_inverse=True)
+        key = (run[doc] * n_terms + code) * len(size) + np.argsort(np.argsort(num, kind="stable"))[doc]
+        key, tf = np.unique(key, return_counts=True)
+        at = np.argsort(num, kind="stable")[key % len(size)]
+        row = key // len(size)
+        number, length, tf = num[at].astype(np.int32), dl[at].astype(np.int32), tf.astype(np.int32)
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        block = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (number[1:] // BLOCK != number[:-1] // BLOCK)))
+        ends, block_ends = np.append(first, len(row)), np.append(np.searchsorted(block, first), len(block))
         of = {
-            "nums": num, "tfs": tf, "dls": dl, "blocks": block[first], "starts": first - ends[row[first]],
-            "top_tf": np.maximum.reduceat(tf, first), "least_dl": np.minimum.reduceat(dl, first),
+            "nums": number, "tfs": tf, "blocks": number[block] // BLOCK,
+            "starts": block - np.repeat(first, np.diff(block_ends)),
+            "top_tf": np.maximum.reduceat(tf, block), "least_dl": np.minimum.reduceat(length, block),
         }
         lists = [
             pa.ListArray.from_arrays(
-                pa.array((ends if c in _LISTS[:3] else block_ends).astype(np.int32)), pa.array(of[c].astype(np.int32))
+                pa.array((ends if c in _LISTS[:2] else block_ends).astype(np.int32)), pa.array(of[c].astype(np.int32))
             )
             for c in _LISTS
         ]
-        fixed = [batch.column("shard"), batch.column("token"), pa.array(size.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays([*fixed, *lists], names=["shard", "token", "n", *_LISTS])
-
-
-def _postings(docs: DataFrame) -> DataFrame:
-    counts = (
-        docs.select("shard", "num", F.col("dl").cast("int").alias("dl"), F.explode("terms").alias("token"))
-        .groupBy("shard", "token", "num", "dl")
-        .agg(F.count("*").cast("int").alias("tf"))
-    )
-    # a list has at most a shard's documents
-    posts = F.array_sort(F.collect_list(F.struct("num", "tf", "dl"))).alias("posts")
-    return counts.groupBy("shard", "token").agg(posts).mapInArrow(_pack, _POSTINGS)
+        fixed = [pa.array(runs[row[first] // n_terms]), coded.dictionary.take(pa.array(row[first] % n_terms))]
+        columns = [*fixed, pa.array(np.diff(ends).astype(np.int64)), *lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["shard", "token", "n", *_LISTS])
 
 
 def bucket(n_buckets: int):
@@ -141,37 +140,37 @@ class PostingsIndex:
     def update(self, documents: DataFrame) -> None:
         """Adds ``text_index`` documents (a key once), replacing those of equal keys."""
         versions = self.versions()
-        new = materialize(documents.select("doc", "dl", "terms"), "new_docs")
-        self._write(new, versions, base=not versions)
+        self._write(documents, versions, base=not versions)
         if len(versions) >= MERGE_AFTER:
             versions = self.versions()
-            self._write(self.live_docs(versions).select("doc", "dl", "terms"), versions, base=True)
+            self._write(self.live_docs(versions), versions, base=True)
 
     def _write(self, new: DataFrame, versions, base: bool) -> None:
         number = int(versions[-1].path.rpartition("=")[2]) + 1 if versions else 0
         path = f"{self.root}/v={number}"
-        n_docs, n_words = (x or 0 for x in new.agg(F.count("*"), F.sum("dl")).first())
-        spread = min(n_docs // LEAST_DOCS, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        n_shards = max(1, spread, -(-n_docs // SHARD_DOCS), -(-n_words // SHARD_WORDS))
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n_docs = new.select("doc").count()
+        n_shards = max(1, min(n_docs // LEAST_DOCS, tasks), -(-n_docs // SHARD_DOCS))
         first = 0 if base else max(v.meta["first_shard"] + v.meta["n_shards"] for v in versions)
-        # partition and row of a range-sorted table are the document's place; written, so that they stay
+        # a document's place is the task and the row that wrote it; read back from the written table
         place = F.monotonically_increasing_id()
-        placed = new.repartitionByRange(n_shards, "doc").sortWithinPartitions("doc").withColumns(
+        placed = new.select("doc", "dl", "terms").coalesce(n_shards).sortWithinPartitions("doc").withColumns(
             {"shard": F.shiftright(place, 33) + first, "num": place.bitwiseAND(F.lit((1 << 33) - 1)).cast("int")}
         )
         placed.write.mode("overwrite").parquet(f"{path}/docs")
         docs = self.spark.read.schema(_DOCS).parquet(f"{path}/docs")
+        n_words, n_shards = docs.agg(F.sum("dl"), F.max("shard") - first + 1).first()
+        n_words, n_shards = n_words or 0, n_shards or 1
         n_buckets = int(min(MAX_BUCKETS, max(1, -(-n_words // BUCKET_WORDS))))
-        files = n_buckets * max(1, -(-n_shards // 64))
         (
-            _postings(docs)
+            docs.select("shard", "num", "dl", "terms").mapInArrow(_pack, _POSTINGS)
             .withColumn("bucket", bucket(n_buckets))
-            .repartition(files, "bucket", F.floor(F.col("shard") / 64))
+            .repartition(n_buckets * max(1, -(-n_shards // 64)), "bucket", F.floor(F.col("shard") / 64))
             .sortWithinPartitions("bucket", "token", "shard")
             .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         )
         if not base:  # the delta's keys are looked up among the stored ones
-            dead = self.live_docs(versions).join(new.select("doc"), "doc", "left_semi").select("shard", "num", "terms")
+            dead = self.live_docs(versions).join(docs.select("doc"), "doc", "left_semi").select("shard", "num", "terms")
             dead.write.mode("overwrite").parquet(f"{path}/dead")
             dead = self.spark.read.schema(_DEAD).parquet(f"{path}/dead")
             gone = dead.agg(F.count("*"), F.sum(F.size("terms"))).first()

@@ -13,6 +13,7 @@ Queries with the same terms are searched once.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -59,11 +60,13 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class _Shard:
     """Postings of one shard for the terms of a batch."""
 
-    def __init__(self, table: pa.Table, mean: float, dead: np.ndarray):
-        self.row = {t: i for i, t in enumerate(table.column("token").to_pylist())}
-        self.mean, self.dead = mean, dead
+    def __init__(self, table: pa.Table, mean: float, dls: np.ndarray, dead: np.ndarray):
+        self.rows = {}
+        for i, t in enumerate(table.column("token").to_pylist()):
+            self.rows.setdefault(t, []).append(i)  # rows of a term hold different documents
+        self.mean, self.dls, self.dead = mean, dls, dead
         self.nums, self.ends = _flat(table.column("nums"))
-        self.tfs, self.dls = (_flat(table.column(c))[0] for c in ("tfs", "dls"))
+        self.tfs = _flat(table.column("tfs"))[0]
         self.blocks, self.block_ends = _flat(table.column("blocks"))
         self.starts = _flat(table.column("starts"))[0]
         top, least = (_flat(table.column(c))[0] for c in ("top_tf", "least_dl"))
@@ -77,7 +80,7 @@ class _Shard:
 
     def best(self, tokens, idfs, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and scores of the ``k`` best documents, ties by number."""
-        terms = [(self.row[t], idf) for t, idf in zip(tokens, idfs, strict=True) if t in self.row]
+        terms = [(r, idf) for t, idf in zip(tokens, idfs, strict=True) for r in self.rows.get(t, ())]
         bound = np.zeros(self.n_blocks)
         for row, idf in terms:
             span = slice(self.block_ends[row], self.block_ends[row + 1])
@@ -115,7 +118,7 @@ class _Shard:
             i = self.ends[row] + _spans(starts[mine], starts[mine + 1] - starts[mine])
             num = self.nums[i]
             # a term holds a document once, so that plain indexing adds it up
-            total[place[num // BLOCK] * BLOCK + num % BLOCK] += idf * self._weight(self.tfs[i], self.dls[i])
+            total[place[num // BLOCK] * BLOCK + num % BLOCK] += idf * self._weight(self.tfs[i], self.dls[num])
         found = np.flatnonzero(total)
         total = np.round(total[found], K.SCORE_DIGITS)
         found = chosen[found // BLOCK] * BLOCK + found % BLOCK
@@ -125,17 +128,32 @@ class _Shard:
         return found, total
 
 
+def _lengths(batches):
+    """Documents' numbers and lengths, a row per batch and shard."""
+    for batch in batches:
+        shard, num, dl = (batch.column(c).to_numpy() for c in ("shard", "num", "dl"))
+        order = np.argsort(shard, kind="stable")
+        shards, first = np.unique(shard[order], return_index=True)
+        ends = pa.array(np.append(first, len(shard)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v[order].astype(np.int32))) for v in (num, dl)]
+        yield pa.RecordBatch.from_arrays([pa.array(shards), *lists], names=["shard", "nums", "dls"])
+
+
 def _search(mean: float, k: int):
     def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
-        queries, dead = [], np.zeros(0, np.int64)
-        for row in asked.to_pylist():
-            if row["qid"] is None:
-                dead = np.array(row["dead"])
-            else:
-                queries.append(row)
+        is_query = pc.is_valid(asked.column("qid"))
+        queries = asked.filter(is_query).select(["qid", "terms"]).to_pylist()
+        others = asked.filter(pc.invert(is_query))
+        # numbers without lengths are those of replaced documents
+        is_dead = pc.is_null(others.column("dls"))
+        dead = _flat(others.filter(is_dead).column("nums"))[0]
+        known = others.filter(pc.invert(is_dead))
+        num, dl = (_flat(known.column(c))[0] for c in ("nums", "dls"))
+        dls = np.zeros(int(num.max()) + 1 if len(num) else 0, np.int32)
+        dls[num] = dl
         qids, nums, scores = [], [], []
         if postings.num_rows:
-            shard = _Shard(postings, mean, dead)
+            shard = _Shard(postings, mean, dls, dead)
             for row in queries:
                 terms = sorted((t["token"], t["idf"]) for t in row["terms"])
                 num, score = shard.best(*zip(*terms, strict=True), k)
@@ -165,14 +183,17 @@ def candidates(queries: DataFrame, now: Snapshot, k: int = K.TOP_K) -> DataFrame
     weighted = terms.join(df.select("token", idf.alias("idf")), "token")
     asked = weighted.join(heads.select("token", "shard"), "token").groupBy("shard", "qid")
     asked = asked.agg(F.collect_list(F.struct("token", "idf")).alias("terms"))  # a query's terms
-    dead = now.dead().groupBy("shard").agg(F.collect_list("num").alias("dead"))  # a shard's documents at most
     n_blocks = -(-queries.count() // QUERY_BLOCK) or 1
     every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int"))
-    none = F.lit(None)
-    asked = asked.withColumn("dead", none.cast("array<int>")).unionByName(
-        dead.withColumns({"part": every, "qid": none.cast("long"), "terms": none.cast("array<struct<token:string,idf:double>>")})
-    )
+    # a shard's documents at most
+    dead = now.dead().groupBy("shard").agg(F.collect_list("num").alias("nums")).withColumn("dls", F.lit(None).cast("array<int>"))
+    lengths = now.docs().select("shard", "num", F.col("dl").cast("int").alias("dl"))
+    lengths = lengths.mapInArrow(_lengths, "shard long, nums array<int>, dls array<int>")
+    none = {"qid": F.lit(None).cast("long"), "terms": F.lit(None).cast("array<struct<token:string,idf:double>>")}
+    more = lengths.unionByName(dead).withColumns(none).withColumn("part", every)
+    lists = {c: F.lit(None).cast("array<int>") for c in ("nums", "dls")}
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int")).withColumns(lists)
+    asked = asked.unionByName(more)
     postings = postings.withColumn("part", every)
     # a fixed number: the rows are few but costly, and several shards in a task wait for one another
     tasks = 3 * n_blocks * max(sum(v.meta["n_shards"] for v in now.versions), 1)
