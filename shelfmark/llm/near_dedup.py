@@ -4,7 +4,9 @@ A document is its set of distinct word shingles. Documents whose sets have a Jac
 similarity of at least ``threshold`` are linked; the result is the connected
 components of the links.
 
-1.  Documents with equal sets are one node, so copies are never compared.
+1.  Documents with equal sets are one node, so copies are never compared. A node is named by the
+    hash of one of its texts (the hash is seeded anew should two sets ever get one name). Sets
+    of rows with one id are linked from the start.
 2.  Each node gets ``MINS`` minwise values. A tree of the join sends a node down
     ``BRANCH`` paths at every level; a path is chosen by the node's minwise
     value at a coordinate that the path so far determines. Two linked nodes share
@@ -49,10 +51,11 @@ from shelfmark.session import materialize, new_path
 MINS = 128
 COORDINATES = 64
 BRANCH = 2
-#: A path with at most so many pairs across components is compared exhaustively.
-PAIRS = 40_000
+#: A path with at most so many pairs across components (64 nodes) is compared exhaustively.
+PAIRS = 4096
+#: So many entries of paths or fewer are worked on in one task per round, as in ``graph``.
+ONE_TASK_ENTRIES = 100_000
 PROBES = 8
-_NO_ID = 1 << 62
 RECALL = 0.999
 
 
@@ -294,31 +297,26 @@ def near_duplicates(
 
     ``percent`` is the least similarity in hundredths. ``component_id`` is the smallest
     id in reach. Rows without an id link like others, but a component only gets an
-    id from its rows that have one. Ids are below 2 ** 62.
+    id from its rows that have one.
     """
     spark = docs.sparkSession
     threshold = percent / 100
+    key = ["set_a", "set_b", "n_shingles"]
     with small_batches(spark):
         plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-        # rows without an id go by a larger number that their text determines
-        no_id = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
-        plain = plain.withColumn("own", F.coalesce("id", no_id))
-        rows = materialize(plain.mapInArrow(_sketch(shingle), _SKETCH), "sketches")
-        key = ["set_a", "set_b", "n_shingles"]
-        filled = rows.filter("n_shingles > 0")
-        # a node is an equal set, named by its smallest id
-        reps = filled.groupBy(*key).agg(F.coalesce(F.min("id"), F.min("own")).alias("node"))
-        nodes = materialize(
-            filled.join(reps, key)
-            .filter("own = node")
-            .groupBy("node")
-            .agg(F.min(F.struct(*key, "mins", "sketch_a", "sketch_b")).alias("s"))
-            .select("node", "s.mins", "s.sketch_a", "s.sketch_b"),
-            "nodes",
-        )
+        for seed in range(64):
+            named = plain.withColumn("own", F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))))
+            rows = materialize(named.mapInArrow(_sketch(shingle), _SKETCH), "sketches")
+            filled = rows.filter("n_shingles > 0")
+            if _differing(filled, "own").isEmpty():
+                break
+        reps = filled.groupBy(*key).agg(F.min("own").alias("node"), F.min("id").alias("least"))
+        # rows of one name have one set, and so the same values
+        nodes = filled.join(reps.select(*key, "node"), key).filter("own = node").groupBy("node")
+        nodes = materialize(nodes.agg(*[F.first(c).alias(c) for c in ("mins", "sketch_a", "sketch_b")]), "nodes")
         table = f"near_dedup_{uuid.uuid4().hex}"
-        packed = plain.select("own", "text").mapInArrow(_pack, "own long, packed binary")
-        packed = packed.join(reps.select(F.col("node").alias("own")).distinct(), "own").groupBy("own").agg(F.min("packed").alias("packed"))
+        packed = named.select("own", "text").mapInArrow(_pack, "own long, packed binary")
+        packed = packed.join(reps.select(F.col("node").alias("own")), "own").groupBy("own").agg(F.first("packed").alias("packed"))
         n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         (
             packed.withColumnRenamed("own", "node")
@@ -327,20 +325,38 @@ def near_duplicates(
             .saveAsTable(table)
         )
         try:
-            components = _components(nodes, _Checker(spark.table(table), shingle, percent), threshold, recall)
+            checker = _Checker(spark.table(table), shingle, percent)
+            components = _components(nodes, checker, threshold, recall, _links_of_ids(filled, reps, key))
         finally:
             spark.sql(f"DROP TABLE {table}")
     ids = reps.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = ids.withColumn("component", F.when(F.col("component") < _NO_ID, F.col("component")))
+    smallest = ids.groupBy("component").agg(F.min("least").alias("smallest"))
+    ids = materialize(ids.join(smallest, "component").select(*key, "smallest"), "ids")
     out = rows.select("id", *key).join(ids, key, "left")
     return out.select(
         F.col("id").alias(id_col),
         "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
+        F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
-def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: float) -> DataFrame:
+def _differing(rows: DataFrame, name: str) -> DataFrame:
+    """The values of ``name`` that rows of different sets share."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("set_a", "set_b") for n, f in (("min", F.min), ("max", F.max))]
+    found = rows.groupBy(name).agg(*ends)
+    return found.filter("min_set_a <> max_set_a or min_set_b <> max_set_b").select(name)
+
+
+def _links_of_ids(filled: DataFrame, reps: DataFrame, key: list[str]) -> DataFrame:
+    """Links (u, v) between the nodes of rows with one id."""
+    several = materialize(_differing(filled.filter("id is not null"), "id"), "several")
+    texts = filled.select("id", *key).join(several, "id").join(reps.select(*key, "node"), key).select("id", "node")
+    hubs = texts.groupBy("id").agg(F.min("node").alias("v"))
+    return texts.join(hubs, "id").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: float, given: DataFrame) -> DataFrame:
+    """(node, component) of linked nodes; ``given`` are links (u, v) that need no check."""
     none = F.lit(0).cast("long")
     seeds = nodes.select("node", "mins", "sketch_a", "sketch_b", none.alias("path"), none.alias("used"))
     level = materialize(seeds.mapInArrow(_branch(trees_for(threshold, recall)), _ENTRY), "paths")
@@ -352,10 +368,12 @@ def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: f
         .filter((F.col("x.node") != F.col("y.node")) & _alike(threshold))
         .select(F.least("y.node", "x.node").alias("u"), F.greatest("y.node", "x.node").alias("v"))
     )
-    known = connected_components(checker.links(pairs))
+    known = connected_components(checker.links(pairs).unionByName(given))
     level = led.drop("y")
 
     while True:
+        if level.count() <= ONE_TASK_ENTRIES:
+            level = level.coalesce(1)
         labelled = level.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = materialize(labelled, "labelled")
         # by component first, so that a path's count is a sum over few rows

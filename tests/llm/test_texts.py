@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfmark.llm import bpe, fingerprint, queries
+from shelfmark.llm import near_dedup as N
 from shelfmark.llm.near_dedup import near_duplicates, trees_for
 from shelfmark.llm.substring_dedup import dedup_substrings
 
@@ -108,6 +109,32 @@ def test_near_duplicates(small, n):
     assert sorted(map(tuple, got), key=str) == components(rows_of(small), n, 80)
 
 
+def test_near_duplicates_of_rows_with_one_id(spark):
+    """One id with two texts links the copies of both; other rows of an id stay what they are."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " more"), (3, text("b") + " more"), (9, text("c"))]
+    rows += [(None, text("d")), (None, text("d") + " x"), (8, text("d")), (7, ""), (7, text("e")), (5, text("e") + " y")]
+    rows += [(4, text("f")), (4, text("f")), (6, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = components([(i, t or "") for i, t in rows], 2, 80)
+    assert sorted(map(tuple, got), key=str) == want
+    assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+
+
+def test_names_of_sets_are_made_unique(spark, monkeypatch):
+    """If two sets share a name, all are named anew."""
+    seeds, real = [], N._differing
+
+    def differing(rows, name):
+        seeds.append(name)
+        return real(rows, name) if name != "own" or seeds.count("own") > 2 else rows.select(name).limit(1)
+
+    monkeypatch.setattr(N, "_differing", differing)
+    rows = [(1, "a b c d"), (2, "A b c d"), (3, "x y z")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3} and seeds.count("own") == 3
+
+
 def test_near_duplicates_of_a_large_family(spark):
     """Copies that resemble the original but hardly one another, past the exhaustive size."""
     rnd = np.random.default_rng(3)
