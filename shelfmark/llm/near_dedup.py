@@ -51,8 +51,8 @@ from shelfmark.session import materialize, new_path
 MINS = 128
 COORDINATES = 64
 BRANCH = 2
-#: A path with at most so many pairs across components (64 nodes) is compared exhaustively.
-PAIRS = 4096
+#: A path with at most so many pairs across components is compared exhaustively.
+PAIRS = 40_000
 #: So many entries of paths or fewer are worked on in one task per round, as in ``graph``.
 ONE_TASK_ENTRIES = 100_000
 PROBES = 8
