@@ -35,7 +35,9 @@ from shelfmark.streaming import ingest as ST
 try:  # the corpus operators are a subpackage that can be left out
     import corpus_pipeline
     from shelfmark.llm import queries as corpus_queries
-except ImportError:
+except ImportError as e:
+    if e.name != "corpus_pipeline" and not (e.name or "").startswith("shelfmark.llm"):
+        raise
     CORPUS_QUERIES, CORPUS_SQL = {}, {}
 else:
     CORPUS_QUERIES = {**corpus_queries.queries(), "pipeline": corpus_pipeline.run}
