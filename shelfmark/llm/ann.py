@@ -335,9 +335,11 @@ def nearest(
     pivots: int = PIVOTS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query``, its ``k`` nearest others."""
-    rows = materialize(usable(vectors, id_col, vector).withColumn("query", is_query), "vectors")
-    # one node for equal vectors, named by their smallest id
-    named = rows.groupBy("vec").agg(F.min("id").alias("node"), F.max(F.struct("query")).getField("query").alias("query"))
+    rows = usable(vectors, id_col, vector).withColumn("query", is_query)
+    # a row's number stays as it is written; ids may repeat
+    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    # one node for equal vectors, named by the smallest number of their rows
+    named = rows.groupBy("vec").agg(F.min("uid").alias("node"), F.max(F.struct("query")).getField("query").alias("query"))
     distinct = materialize(named, "distinct")
     stats = distinct.agg(
         F.count("*").alias("n"),
@@ -412,15 +414,15 @@ def _exact(beams: DataFrame, distinct: DataFrame, rows: DataFrame, k: int) -> Da
     pairs = pairs.join(distinct.select(F.col("node").alias("query"), F.col("vec").alias("a")), "query")
     scored = pairs.mapInArrow(_dots, "query long, node long, score double")
     # the k + 1 smallest ids of each node can be wanted, no more: one may be the query itself
-    by_node = Window.partitionBy("node").orderBy("id")
-    ids = rows.join(distinct.select("vec", "node"), "vec").select("id", "node", "query")
-    members = ids.withColumn("r", F.row_number().over(by_node)).filter(F.col("r") <= k + 1).select("node", "id")
-    by_query = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    by_node = Window.partitionBy("node").orderBy("id", "uid")
+    ids = rows.join(distinct.select("vec", "node"), "vec").select("id", "uid", "node", "query")
+    members = ids.withColumn("r", F.row_number().over(by_node)).filter(F.col("r") <= k + 1).select("node", "id", "uid")
+    by_query = Window.partitionBy("query").orderBy(F.desc("score"), "id", "uid")
     top = scored.join(members, "node").withColumn("r", F.row_number().over(by_query)).filter(F.col("r") <= k + 1)
-    top = top.select(F.col("query").alias("node"), "id", "score")
+    top = top.select(F.col("query").alias("node"), F.col("id").alias("vec_id"), "uid", "score")
     # every query row of a node gets the node's results but itself
-    queries = ids.filter("query").select(F.col("id").alias("query_id"), "node")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = queries.join(top, "node").filter("query_id != id").withColumnRenamed("id", "vec_id")
+    queries = ids.filter("query").select(F.col("id").alias("query_id"), F.col("uid").alias("own"), "node")
+    rank = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "uid")
+    found = queries.join(top, "node").filter("own != uid")
     found = found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

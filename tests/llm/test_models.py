@@ -208,6 +208,20 @@ def test_nearest_neighbours(spark):
     assert [i for _, i in got[100]] == [i for _, i in want[100]]  # ties among copies
 
 
+def test_nearest_of_rows_with_one_id(spark):
+    """Rows of one id are rows of their own, as queries and as candidates."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [0.5, 0.5]), (5, [2.0, 0.1]), (0, [1.0, 0.0]), (20, [0.5, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.nearest(table, F.col("id") % 20 == 0, 20).collect())
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            others = [(float(np.dot(v, w)), c) for j, (c, w) in enumerate(rows) if j != i]
+            others.sort(key=lambda x: (-x[0], x[1]))
+            want += [(q, r, c, s) for r, (s, c) in enumerate(others, 1)]
+    assert got == sorted(want)
+
+
 def recall(spark, x, asked=40, k=20):
     """Recall where neither one block nor the pivots see all of the vectors."""
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
