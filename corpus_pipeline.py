@@ -28,17 +28,18 @@ def remove_toxic(spark, docs, sf_dir):
 
 
 def remove_near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near copies stays, the one with the smallest id.
+    """One document of each group of near copies stays, the one with the smallest id (null ids last).
 
-    Of rows with equal ids one stays; rows without an id are kept unless they repeat one another.
+    Rows of one id with different texts are documents of their own, and so are rows without an
+    id; rows with equal ids and texts count once. Documents without words stay.
     """
-    found = near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    numbered = docs.select(*COLUMNS).join(kept, "doc_id")
-    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    numbered = numbered.withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
-    nameless = docs.select(*COLUMNS).filter("doc_id is null").dropDuplicates(["text"])
-    return numbered.unionByName(nameless)
+    named = docs.select(*COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = near_duplicates(named, id_col="_key", shingle=SHINGLE, percent=PERCENT).select("_key", "component_id").distinct()
+    first = F.min_by("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_key")
+    kept = named.select("doc_id", "_key").join(groups, "_key").groupBy("component_id").agg(first)
+    one = Window.partitionBy("_key").orderBy("lang", "source", "n_chars")
+    rows = named.join(kept.select("_key"), "_key").withColumn("_row", F.row_number().over(one))
+    return rows.filter("_row = 1").select(*COLUMNS)
 
 
 def remove_repeated_passages(spark, docs, sf_dir):
