@@ -69,6 +69,21 @@ def test_pipeline(spark, sf_dir):
     assert a.exceptAll(b.withColumn("text", F.col("text"))).filter("text is not null").count() == 0
 
 
+def test_near_dedup_stage_keeps_what_is_no_near_copy(spark, sf_dir):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (None, text("b") + " x"), (None, text("c")), (None, text("c") + " x")]
+    rows += [(3, text("d")), (3, text("d")), (4, ""), (5, None), (6, text("e"))]
+    full = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.remove_near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    sure = [(1, text("a")), (1, text("b")), (3, text("d")), (4, ""), (5, None), (6, text("e"))]
+    nameless = [x for x in got if x not in sure]
+    assert len(got) == 7 and all(x in got for x in sure)
+    assert nameless in ([(None, text("c"))], [(None, text("c") + " x")])
+
+
 def test_the_mixture_reaches_the_last_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS)
     docs = docs.withColumn("text", F.substring("text", 1, 40)).crossJoin(spark.range(20))
