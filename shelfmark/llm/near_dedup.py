@@ -21,8 +21,10 @@ components of the links.
     component are compared with all its nodes if these are few pairs (``PAIRS``); else
     all nodes are compared with one leader of the path, and the path branches again.
     Components are brought up to date after every level.
-5.  Comparisons use a 128-bit sketch (four standard deviations of slack) and are
-    confirmed on the full sets of 64-bit shingle hashes. All confirmed links form the components.
+5.  Comparisons use sketches with four standard deviations of slack: 128 bits against
+    leaders, two bits of each minwise value inside a path (for t = 0.8, pairs of less than about
+    0.68 hardly pass). They are confirmed on the full sets of 64-bit shingle hashes. All confirmed
+    links form the components.
 
 No path, node or candidate is dropped for its size: a path that used all coordinates
 is compared exhaustively by a join that Spark can split.
@@ -48,11 +50,16 @@ from shelfmark.llm.graph import connected_components
 from shelfmark.llm.words import lower_ascii, mix, owner, run_hashes, text_slices, word_hashes, word_spans
 from shelfmark.session import materialize, new_path
 
-MINS = 128
+MINS = 256
 COORDINATES = 64
+#: Minwise values with one bit in the narrow sketch.
+NARROW = 128
+#: Columns of the wide sketch, 64 bits each: two bits of every minwise value.
+WIDE = [f"wide_{i}" for i in range(MINS // 32)]
 BRANCH = 2
-#: A path with at most so many pairs across components is compared exhaustively.
-PAIRS = 40_000
+#: A path with at most so many pairs across components is compared exhaustively: at most 1,000
+#: sketches for a row, some ten milliseconds for a path.
+PAIRS = 1_000_000
 #: So many entries of paths or fewer are worked on in one task per round, as in ``graph``.
 ONE_TASK_ENTRIES = 100_000
 PROBES = 8
@@ -102,11 +109,12 @@ def minwise(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = "id long, own long, n_shingles long, set_a long, set_b long, mins binary, sketch_a long, sketch_b long"
+_SKETCH = "id long, own long, n_shingles long, set_a long, set_b long, mins binary, sketch_a long, sketch_b long, "
+_SKETCH += ", ".join(f"{c} long" for c in WIDE)
 
 
 def _sketch(n):
-    """Set size and digest, minwise values and one-bit sketch of each text."""
+    """Set size and digest, minwise values and both sketches of each text."""
 
     def run(batches):
         for batch in batches:
@@ -117,7 +125,11 @@ def _sketch(n):
                 np.cumsum(mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)), out=total[1, 1:])
                 digest = total[:, begin[1:]] - total[:, begin[:-1]]
                 mins = minwise(hashes, begin)
-                bits = np.packbits(mix(mins.astype(np.uint64)) & np.uint64(1) == 1, axis=1).view(np.int64)
+                mixed = mix(mins.astype(np.uint64)).astype(np.uint8)
+                bits = np.packbits(mixed[:, :NARROW] & 1, axis=1).view(np.int64)
+                # the two bits of a value side by side
+                two = np.packbits(np.stack([mixed >> 1 & 1, mixed >> 2 & 1], axis=2).reshape(len(mixed), -1), axis=1)
+                wide = two.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(lo, hi - lo),
@@ -128,6 +140,7 @@ def _sketch(n):
                         pa.array([r.tobytes() for r in mins[:, :COORDINATES]], pa.binary()),
                         pa.array(bits[:, 0]),
                         pa.array(bits[:, 1]),
+                        *[pa.array(wide[:, i]) for i in range(len(WIDE))],
                     ],
                     schema=_arrow_schema(),
                 )
@@ -190,11 +203,25 @@ def _branch(trees):
 _ENTRY = "path long, used long, node long, sketch_a long, sketch_b long"
 
 
+def _slack(n: int, p: float) -> int:
+    """Differences that ``n`` values of probability ``p`` each hardly exceed."""
+    return int(n * p + 4 * (n * p * (1 - p)) ** 0.5) + 1
+
+
 def _alike(threshold: float):
-    """Whether the sketches of two nodes (prefixes x, y) allow a similarity at the threshold."""
-    p = (1 - threshold) / 2
-    slack = int(MINS * p + 4 * (MINS * p * (1 - p)) ** 0.5) + 1
-    return _distance("x.", "y.") <= slack
+    """Whether the narrow sketches of two nodes (prefixes x, y) allow a similarity at the threshold."""
+    return _distance("x.", "y.") <= _slack(NARROW, (1 - threshold) / 2)
+
+
+def _closely_alike(threshold: float):
+    """The same of the wide sketches."""
+    low = F.lit(0x5555555555555555)
+    differ = F.lit(0)
+    for c in WIDE:
+        x = F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))
+        differ += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
+    # two bits of different values agree in one case of four
+    return differ <= _slack(MINS, (1 - threshold) * 0.75)
 
 
 def _confirm(n, percent):
@@ -279,8 +306,8 @@ def _across(live: DataFrame, threshold: float) -> DataFrame:
     ends = [F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")]
     few = live.filter("few")
     minor = few.filter("component != main").alias("x")
-    every = few.select("path", "node", "component", "sketch_a", "sketch_b").alias("y")
-    pairs = minor.join(every, "path").filter(one & _alike(threshold)).select(*ends)
+    every = few.select("path", "node", "component", "sketch_a", "sketch_b", *WIDE).alias("y")
+    pairs = minor.join(every, "path").filter(one & _alike(threshold) & _closely_alike(threshold)).select(*ends)
     many = _led(live.filter("not few").select("path", "node", "component", "sketch_a", "sketch_b")).alias("x")
     return pairs.unionByName(many.filter(one & _alike(threshold)).select(*ends))
 
@@ -313,7 +340,7 @@ def near_duplicates(
         reps = filled.groupBy(*key).agg(F.min("own").alias("node"), F.min("id").alias("least"))
         # rows of one name have one set, and so the same values
         nodes = filled.join(reps.select(*key, "node"), key).filter("own = node").groupBy("node")
-        nodes = materialize(nodes.agg(*[F.first(c).alias(c) for c in ("mins", "sketch_a", "sketch_b")]), "nodes")
+        nodes = materialize(nodes.agg(*[F.first(c).alias(c) for c in ("mins", "sketch_a", "sketch_b", *WIDE)]), "nodes")
         table = f"near_dedup_{uuid.uuid4().hex}"
         packed = named.select("own", "text").mapInArrow(_pack, "own long, packed binary")
         packed = packed.join(reps.select(F.col("node").alias("own")), "own").groupBy("own").agg(F.first("packed").alias("packed"))
@@ -382,7 +409,8 @@ def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: f
             F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")
         ).filter("parts > 1")
         sizes = sizes.withColumn("few", (F.col("n") - F.col("most")) * F.col("n") <= PAIRS)
-        live = materialize(labelled.join(sizes.select("path", "main", "few"), "path"), "live")
+        live = labelled.join(sizes.select("path", "main", "few"), "path")
+        live = materialize(live.join(nodes.select("node", *WIDE), "node"), "live")
         # a path without unused coordinates cannot branch: compared as a whole
         live = live.withColumn("few", F.col("few") | (F.bit_count("used") >= COORDINATES))
         links = checker.links(_across(live, threshold))
