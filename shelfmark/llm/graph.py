@@ -30,15 +30,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.distinct(), "edges")
     before = _state(edges)
     while True:
-        if before[0] <= ONE_TASK_EDGES:
+        one_task = before[0] <= ONE_TASK_EDGES
+        if one_task:
             edges = edges.coalesce(1)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # not a union, which has two partitions and would be shuffled again
+        ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(ways).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         larger = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         larger = larger.distinct()
         least = larger.groupBy("u").agg(F.min("v").alias("m"))
         smaller = larger.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(smaller.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        edges = smaller.unionByName(least.withColumnRenamed("m", "v"))
+        edges = materialize((edges.coalesce(1) if one_task else edges).distinct(), "edges")
         now = _state(edges)
         if now == before:
             break

@@ -62,6 +62,8 @@ BRANCH = 2
 PAIRS = 1_000_000
 #: So many entries of paths or fewer are worked on in one task per round, as in ``graph``.
 ONE_TASK_ENTRIES = 100_000
+#: Pairs that a task confirms at least, so that few pairs do not start a worker in every partition.
+TASK_PAIRS = 2_000
 PROBES = 8
 RECALL = 0.999
 
@@ -290,6 +292,7 @@ class _Checker:
         if self.seen is not None:
             pairs = pairs.join(self.seen, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        tasks = pairs.count() // TASK_PAIRS + 1
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         # the large side is bucketed by node: only the ends move
@@ -297,6 +300,7 @@ class _Checker:
         both = pairs.join(texts.select(F.col("node").alias("u"), F.col("packed").alias("x")), "u").join(
             texts.select(F.col("node").alias("v"), F.col("packed").alias("y")), "v"
         )
+        both = both.coalesce(tasks)
         return materialize(both.mapInArrow(_confirm(self.n, self.percent), "u long, v long"), "links")
 
 
@@ -399,10 +403,13 @@ def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: f
     level = led.drop("y")
 
     while True:
-        if level.count() <= ONE_TASK_ENTRIES:
+        one_task = level.count() <= ONE_TASK_ENTRIES
+        if one_task:
             level = level.coalesce(1)
         labelled = level.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = materialize(labelled, "labelled")
+        if one_task:  # a read table does not say that it is one partition
+            labelled = labelled.coalesce(1)
         # by component first, so that a path's count is a sum over few rows
         sizes = labelled.groupBy("path", "component").agg(F.count("*").alias("n"))
         sizes = sizes.groupBy("path").agg(
