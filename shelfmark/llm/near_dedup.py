@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.batches import small_batches
-from shelfmark.llm.graph import connected_components
+from shelfmark.llm.graph import ONE_TASK_EDGES, connected_components
 from shelfmark.llm.words import lower_ascii, mix, owner, run_hashes, text_slices, word_hashes, word_spans
 from shelfmark.session import materialize, new_path
 
@@ -62,8 +62,13 @@ BRANCH = 2
 PAIRS = 1_000_000
 #: So many entries of paths or fewer are worked on in one task per round, as in ``graph``.
 ONE_TASK_ENTRIES = 100_000
-#: Pairs that a task confirms at least, so that few pairs do not start a worker in every partition.
-TASK_PAIRS = 2_000
+#: A level of at most so many pairs to compare is compared in one task.
+ONE_TASK_PAIRS = 200_000
+#: Pairs and bytes of packed texts that a group of pairs to confirm has on average, at most.
+TASK_PAIRS = 20_000
+TASK_BYTES = 4 << 20
+#: Bytes of shingle sets that a confirming task keeps for its next pairs.
+KEPT_BYTES = 32 << 20
 PROBES = 8
 RECALL = 0.999
 
@@ -227,30 +232,34 @@ def _closely_alike(threshold: float):
 
 
 def _confirm(n, percent):
-    def sets(packed, cache, unpack):
-        found = cache.get(packed)
-        if found is None:
-            data = np.frombuffer(unpack.decompress(packed), np.uint8)
-            found, _ = shingle_sets(data, np.array([0, len(data)]), n)
-            if len(cache) >= 64:
-                cache.clear()
-            cache[packed] = found
-        return found
-
-    def run(batches):
-        unpack, cache = zstandard.ZstdDecompressor(), {}
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = sets(x, cache, unpack), sets(y, cache, unpack)
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"]
-            )
+    """The links among the pairs (u, v) of a group, from the packed texts of its nodes."""
+
+    def run(pairs, texts):
+        packed = dict(zip(texts.column("node").to_pylist(), texts.column("packed").to_pylist(), strict=True))
+        unpack, cache, kept = zstandard.ZstdDecompressor(), {}, 0
+
+        def shingles(node):
+            nonlocal kept
+            found = cache.get(node)
+            if found is None:
+                data = np.frombuffer(unpack.decompress(packed[node]), np.uint8)
+                found, _ = shingle_sets(data, np.array([0, len(data)]), n)
+                if kept + found.nbytes > KEPT_BYTES:
+                    cache.clear()
+                    kept = 0
+                kept += found.nbytes
+                cache[node] = found
+            return found
+
+        pairs = pairs.sort_by([("u", "ascending"), ("v", "ascending")])
+        keep = []
+        for u, v in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), strict=True):
+            a, b = shingles(u), shingles(v)
+            both = np.concatenate([a, b])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            keep.append(100 * common >= percent * (len(a) + len(b) - common))
+        return pairs.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -281,27 +290,36 @@ def _led(paths: DataFrame) -> DataFrame:
 
 
 class _Checker:
-    """Confirms candidate pairs; no pair is looked at twice."""
+    """Confirms candidate pairs; large lists leave out those looked at before."""
 
     def __init__(self, texts: DataFrame, n: int, percent: int):
         self.texts, self.n, self.percent, self.seen = texts, n, percent, None
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) of nodes that are similar enough by their full sets."""
+    def links(self, pairs: DataFrame, few: bool = False) -> DataFrame:
+        """The pairs (u, v) of nodes that are similar enough by their full sets.
+
+        A ``few`` pairs are sooner confirmed again than looked up.
+        """
         pairs = pairs.distinct()
-        if self.seen is not None:
+        if self.seen is not None and not few:
             pairs = pairs.join(self.seen, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        tasks = pairs.count() // TASK_PAIRS + 1
+        n = pairs.count()
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        if not n:
+            return pairs
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         # the large side is bucketed by node: only the ends move
         texts = materialize(self.texts.join(ends, "node"), "texts")
-        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("packed").alias("x")), "u").join(
-            texts.select(F.col("node").alias("v"), F.col("packed").alias("y")), "v"
-        )
-        both = both.coalesce(tasks)
-        return materialize(both.mapInArrow(_confirm(self.n, self.percent), "u long, v long"), "links")
+        size = texts.agg(F.sum(F.length("packed"))).first()[0]
+        # pairs of two blocks of nodes are one group, which gets each text once
+        blocks = max(ceil((n / TASK_PAIRS) ** 0.5), ceil(size / TASK_BYTES))
+        at = [F.pmod(F.xxhash64(c, F.lit(11)), F.lit(blocks)) for c in ("u", "v")]
+        grouped = pairs.withColumn("group", at[0] * blocks + at[1])
+        needed = grouped.select(F.col("group").alias("to"), F.explode(F.array("u", "v")).alias("node")).distinct()
+        own = needed.join(texts, "node").groupBy("to")
+        found = grouped.groupBy("group").cogroup(own).applyInArrow(_confirm(self.n, self.percent), "u long, v long")
+        return materialize(found, "links")
 
 
 def _across(live: DataFrame, threshold: float) -> DataFrame:
@@ -386,6 +404,15 @@ def _links_of_ids(filled: DataFrame, reps: DataFrame, key: list[str]) -> DataFra
     return texts.join(hubs, "id").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
+def _linked(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of ``known`` ones and of ``links``, both written tables."""
+    if known is not None:
+        links = known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)
+    if links.count() > ONE_TASK_EDGES:
+        return materialize(connected_components(links), "known")
+    return materialize(connected_components(links.coalesce(1)), "known").coalesce(1)
+
+
 def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: float, given: DataFrame) -> DataFrame:
     """(node, component) of linked nodes; ``given`` are links (u, v) that need no check."""
     none = F.lit(0).cast("long")
@@ -399,13 +426,14 @@ def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: f
         .filter((F.col("x.node") != F.col("y.node")) & _alike(threshold))
         .select(F.least("y.node", "x.node").alias("u"), F.greatest("y.node", "x.node").alias("v"))
     )
-    known = connected_components(checker.links(pairs).unionByName(given))
+    known = _linked(None, checker.links(pairs).unionByName(materialize(given, "given")))
     level = led.drop("y")
 
     while True:
         one_task = level.count() <= ONE_TASK_ENTRIES
         if one_task:
             level = level.coalesce(1)
+            nodes = nodes.coalesce(1)
         labelled = level.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         labelled = materialize(labelled, "labelled")
         if one_task:  # a read table does not say that it is one partition
@@ -416,16 +444,25 @@ def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: f
             F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")
         ).filter("parts > 1")
         sizes = sizes.withColumn("few", (F.col("n") - F.col("most")) * F.col("n") <= PAIRS)
-        live = labelled.join(sizes.select("path", "main", "few"), "path")
+        sizes = sizes.withColumn("minor", F.col("n") - F.col("most"))
+        live = labelled.join(sizes.select("path", "main", "few", "minor"), "path")
+        # later levels hold nodes of live paths only: no other takes part again
+        nodes = materialize(nodes.join(live.select("node").distinct(), "node", "left_semi"), "nodes")
+        if one_task:
+            nodes = nodes.coalesce(1)
         live = materialize(live.join(nodes.select("node", *WIDE), "node"), "live")
         # a path without unused coordinates cannot branch: compared as a whole
         live = live.withColumn("few", F.col("few") | (F.bit_count("used") >= COORDINATES))
-        links = checker.links(_across(live, threshold))
+        to_compare = live.filter("few").agg(F.sum("minor")).first()[0] or 0
+        few = one_task and to_compare <= ONE_TASK_PAIRS
+        links = checker.links(_across(live.coalesce(1) if few else live, threshold), few)
         if not links.isEmpty():
-            known = connected_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+            known = _linked(known, links)
         rest = live.filter(~F.col("few")).select("path", "used", "node", "sketch_a", "sketch_b")
         if rest.isEmpty():
             return known
+        if one_task:
+            rest = rest.coalesce(1)
         rest = rest.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = rest.groupBy("path").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
         rest = rest.join(mixed.select("path"), "path").select("path", "used", "node", "sketch_a", "sketch_b")
