@@ -4,7 +4,8 @@ An index is a folder of versions. The first holds a whole catalog, each later on
 documents of an upsert, so an update costs what the delta costs:
 
 * ``docs``: doc, dl, terms, and the document's place (shard, num). A shard is what one task read
-  of the catalog; ``num`` follows the order of the keys in it. Documents do not move.
+  of the catalog; ``num`` follows the order of the terms in it, so that documents that begin alike
+  share blocks and a block's bound is close to what its documents score. Documents do not move.
 * ``postings``: rows of (shard, term) with the numbers of its documents and its frequency in
   each, in blocks of ``BLOCK`` consecutive numbers with the largest frequency and the
   smallest length of each. These bound a block's weight whatever the mean length has become.
@@ -29,8 +30,8 @@ from shelfmark.functions import text as X
 
 #: Small input partitions are put together to shards of so many documents, or to as many
 #: shards as there are shuffle partitions, if these hold ``LEAST_DOCS``.
-SHARD_DOCS, LEAST_DOCS = 1 << 17, 1 << 10
-BLOCK = 512
+SHARD_DOCS, LEAST_DOCS = 1 << 17, 1 << 13
+BLOCK = 64
 #: Words whose postings share a bucket, and the most buckets.
 BUCKET_WORDS, MAX_BUCKETS = 1 << 22, 1024
 MERGE_AFTER = 16
@@ -154,7 +155,7 @@ class PostingsIndex:
         first = 0 if base else max(v.meta["first_shard"] + v.meta["n_shards"] for v in versions)
         # a document's place is the task and the row that wrote it; read back from the written table
         place = F.monotonically_increasing_id()
-        placed = new.select("doc", "dl", "terms").coalesce(n_shards).sortWithinPartitions("doc").withColumns(
+        placed = new.select("doc", "dl", "terms").coalesce(n_shards).sortWithinPartitions("terms", "doc").withColumns(
             {"shard": F.shiftright(place, 33) + first, "num": place.bitwiseAND(F.lit((1 << 33) - 1)).cast("int")}
         )
         placed.write.mode("overwrite").parquet(f"{path}/docs")
