@@ -5,6 +5,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from shelfmark import constants as K
@@ -352,6 +353,29 @@ def test_conversation_documents(spark, tmp_path):
     assert not empty.exists()
 
 
+def test_many_conversation_documents(spark, tmp_path):
+    """Files are written by the tasks themselves and listed by few tasks, in Spark's layout."""
+    n, path, tracker = 600, str(tmp_path / "documents"), spark.sparkContext.statusTracker()
+    messages = spark.range(2 * n, numPartitions=6).selectExpr(
+        "if(id % 4 < 2, 'a/b=\"c\" é', null) AS model", "id div 2 AS conv_id", "id % 2 AS turn", "'user' AS role", "string(id) AS content"
+    )
+    writers.write_conversation_documents(messages, path)
+    folders = list(Path(path).glob("document=*"))
+    assert len(folders) == n and sum(f.name.startswith("document=a%2Fb%3D%22c%22 é-") for f in folders) == n // 2
+    assert all([f.name for f in d.iterdir()] == ["part-00000.txt"] for d in folders)  # no checksums, no leftovers
+    assert (Path(path) / "_SUCCESS").exists()
+    spark.sparkContext.setJobGroup("listing", "")
+    try:
+        rows = {(r.model, r.conv_id): [m.content for m in r.conversation] for r in writers.read_conversation_documents(spark, path).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rows == {("a/b=\"c\" é" if i % 2 == 0 else None, i): [str(2 * i), str(2 * i + 1)] for i in range(n)}
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= writers.LISTING_TASKS
+    with pytest.raises(AnalysisException):
+        writers.write_conversation_documents(messages, path)
+
+
 def test_a_long_conversation_is_streamed(spark, tmp_path):
     n = 300_000
     messages = spark.range(n, numPartitions=8).selectExpr(
