@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, mixing, toxicity
+from shelfmark.llm.batches import small_batches
 from shelfmark.llm.near_dedup import near_duplicates
 from shelfmark.llm.queries import vocabulary_path
 from shelfmark.llm.substring_dedup import dedup_substrings
@@ -78,5 +79,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with small_batches(spark, "4m"):
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ with their leading blank, numbers, other marks, white space). The bytes of a pie
 are a doubly linked list of symbols; a priority queue holds the merge rank of each
 neighbouring pair. The lowest rank, leftmost first, is merged, its two new pairs
 are queued, and entries whose pair no longer exists are skipped when they surface. Pieces
-repeat a lot, so each worker remembers a bounded number of them.
+repeat a lot, so each worker remembers a bounded number of short ones, those in use longest.
 
 Decoding concatenates the vocabulary strings of the ids. Bytes that are not UTF-8
 (ids cut in the middle of a character) become U+FFFD.
@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Pieces a worker remembers at most (about 100 MB); then it starts afresh.
-MAX_PIECES = 400_000
+#: Pieces a worker remembers at most (some 25 MB): this many new ones, and as many older ones
+#: that the new ones push out. Longer pieces than ``KEPT_CHARS`` characters are rare and not kept.
+MAX_PIECES = 50_000
+KEPT_CHARS = 64
 #: Texts handed to Arrow at a time, in characters.
 BATCH_CHARS = 4_000_000
 
@@ -80,7 +82,7 @@ class Vocabulary(dict):
         vocab = spec["model"]["vocab"]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         byte_of = {c: b for b, c in enumerate(byte_letters())}
-        self.max_pieces = max_pieces
+        self.max_pieces, self.older = max_pieces, {}
         self.strings = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for token, i in vocab.items():
             self.strings[i] = bytes(byte_of[c] for c in token)
@@ -95,10 +97,14 @@ class Vocabulary(dict):
         self.high = re.compile("[\U00010000-\U0010ffff]")
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.max_pieces:
-            self.clear()
-        ids = np.array(self.merge([self.byte_ids[b] for b in piece.encode()]), np.int32).tobytes()
-        self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(self.merge([self.byte_ids[b] for b in piece.encode()]), np.int32).tobytes()
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= self.max_pieces:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
         return ids
 
     def merge(self, symbols: list[int]) -> list[int]:

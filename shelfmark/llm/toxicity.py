@@ -44,6 +44,8 @@ TRAIN_CHARS = 12_000
 THRESHOLD = 0.3
 TOXIC_WEIGHT = 3.0
 EPOCHS = 14
+#: Texts are cut to subwords in slices of about this many bytes; a byte has some hundred bytes of them.
+SLICE_BYTES = 1 << 18
 
 
 @lru_cache
@@ -130,13 +132,20 @@ class Model:
         return 1 / (1 + np.exp(-(worst + self.bias)))
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The concatenated ``parts``, which are let go of."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Embeddings and softmax from texts and their 0/1 labels."""
     labels = np.asarray(labels)
     if not (labels == 1).any() or not (labels == 0).any():
         return Model(np.zeros(BUCKETS, np.float32), -np.inf)
-    parts, text = [], []
-    for lo, hi, data, offsets in text_slices(pa.array(texts, pa.large_string())):
+    parts, text = ([], [], []), []
+    for lo, hi, data, offsets in text_slices(pa.array(texts, pa.large_string()), SLICE_BYTES):
         s = subwords(data, offsets)
         if not len(s.text):
             continue
@@ -151,13 +160,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         order = np.argsort(of, kind="stable")
         order = order[kept[of[order]]]
         sizes = np.bincount(of, minlength=len(of_text))[kept]
-        parts.append((s.bucket[order].astype(np.int32), weight[order].astype(np.float32), sizes))
+        for part, values in zip(parts, (s.bucket[order].astype(np.int32), weight[order].astype(np.float32), sizes), strict=True):
+            part.append(values)
         text.append(of_text[kept] + lo)
-    if not parts:
+    if not text:
         return Model(np.zeros(BUCKETS, np.float32), -np.inf)
-    bucket, weight, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    bucket, weight, sizes = map(_joined, parts)
     text, bound = np.concatenate(text), np.concatenate([[0], np.cumsum(sizes)])
-    del parts
     n_windows = len(text)
     first = np.searchsorted(text, np.arange(len(texts)))  # text -> its first window
     last = np.searchsorted(text, np.arange(len(texts)), "right")
@@ -257,7 +266,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     def run(batches):
         for batch in batches:
             i = batch.schema.get_field_index(text)
-            for lo, hi, data, offsets in text_slices(batch.column(i)):
+            for lo, hi, data, offsets in text_slices(batch.column(i), SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 names = [n for n in part.schema.names if n != name]
                 yield pa.RecordBatch.from_arrays(

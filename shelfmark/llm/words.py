@@ -51,8 +51,8 @@ def run_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     return mix((total[stop] - total[start]) * _power(_INVERSE, n + 1)[start])
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets of the texts) of consecutive rows."""
+def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets of the texts) of consecutive rows, about ``size`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -64,7 +64,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), len(column))
         lo, hi = offsets[first], offsets[last]
         yield first, last, data[lo:hi], offsets[first : last + 1] - lo

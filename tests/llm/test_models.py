@@ -2,6 +2,7 @@
 
 import collections
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -45,6 +46,26 @@ def test_toxicity(moods):
     assert by_id[501] == by_id[502] == by_id[503] == 0 and by_id[504] < toxicity.THRESHOLD
 
 
+def test_toxicity_scores_in_small_pieces(spark, moods):
+    """Workers of one machine share its memory: a worker's arrays stay small, whatever the batch."""
+    model = toxicity.Model(np.random.default_rng(1).standard_normal(toxicity.BUCKETS).astype(np.float32), 0.0)
+    words = moods[0].filter("doc_id < 20").agg(F.concat_ws(" ", F.collect_list("text"))).first()[0]
+    docs = spark.createDataFrame([(i, f"{i} {words}") for i in range(300)], "doc_id long, text string").coalesce(1)
+
+    assert docs.agg(F.sum(F.octet_length("text"))).first()[0] > 2 * toxicity.SLICE_BYTES
+    pieces = list(toxicity.text_slices(docs.toArrow().column("text"), toxicity.SLICE_BYTES))
+    assert len(pieces) > 2 and max(len(p[2]) for p in pieces) <= toxicity.SLICE_BYTES
+    tracemalloc.start()
+    for _, _, data, offsets in pieces:
+        model.score(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    got = [r["score"] for r in toxicity.score(docs, model).orderBy("doc_id").collect()]
+    texts = [r["text"].encode() for r in docs.orderBy("doc_id").collect()]
+    assert got == [float(model.score(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]) for t in texts]
+
+
 def test_toxicity_without_labels(moods):
     docs, labels = moods
     for known in (labels.limit(0), labels.filter("toxic = 1")):

@@ -196,6 +196,18 @@ def test_bpe_edges(spark, nothing):
     assert [tiny.encode("a b c d a").tolist() for _ in range(2)] == [bpe.vocabulary(path).encode("a b c d a").tolist()] * 2
 
 
+def test_bpe_memory_is_bounded():
+    vocab = bpe.Vocabulary(queries.vocabulary_path(), max_pieces=100)
+    want = bpe.vocabulary(queries.vocabulary_path())
+    for i in range(1000):
+        text = f"often w{i}x{i * i} {'z' * i}"
+        assert vocab.encode(text).tolist() == want.encode(text).tolist()
+    kept = {**vocab, **vocab.older}
+    assert len(vocab) <= 100 and len(kept) <= 200 and max(map(len, kept)) <= bpe.KEPT_CHARS
+    assert "often" in kept  # pieces in use stay
+    assert 2 * bpe.MAX_PIECES <= 100_000
+
+
 # --------------------------------------------------------------- fingerprints
 
 
