@@ -6,11 +6,12 @@ equally long, so that the largest inner product is the smallest distance, and ar
 single precision, so that short vectors beside long ones keep their digits; results are
 scored on the original vectors in double precision.
 
-Graph. Nodes start with their nearest neighbours in ``DEALS`` random blocks of ``BLOCK`` nodes.
+Graph. Nodes start with their nearest neighbours in ``DEALS`` blocks of at most about ``BLOCK`` nodes: those with
+the same nearest of a few sampled nodes, so that lists start about as good whatever the number of nodes.
 An iteration joins each node's neighbours and reverse neighbours with one another: any
-two of them that improve each other's list are exchanged (neighbours of neighbours), until
+two of them, one new to the node at least, that improve each other's list are exchanged (neighbours of neighbours), until
 an iteration changes less than ``CHANGED`` of all list entries. Lists
-keep ``DEGREE`` nodes, and at most ``REVERSE`` random reverse neighbours take part.
+keep ``DEGREE`` nodes, and at most ``REVERSE`` reverse neighbours take part, new ones first, then random ones.
 
 Search. A query starts from itself and the nearest of ``PIVOTS`` sampled and ``PIVOTS`` longest
 nodes, then repeatedly expands its best unexpanded nodes: the frontier meets the graph,
@@ -43,6 +44,8 @@ DEALS = 2
 #: Share of list entries below which a change ends the iterations.
 CHANGED = 0.005
 OFFERS = 16
+#: Nodes whose neighbourhoods are joined in one group; their offers to one node travel as one row.
+MEET = 64
 PIVOTS = 2048
 BEAM = 256
 EXPAND = 128
@@ -157,10 +160,10 @@ def _best(table: pa.Table) -> pa.Table:
 def _meet(table: pa.Table) -> pa.Table:
     """The local join: members (u) of each node's (v) neighbourhood offered to one another."""
     v, u = table.column("v").to_numpy(), table.column("u").to_numpy()
-    worst = table.column("worst").to_numpy()
+    worst, new = table.column("worst").to_numpy(), table.column("new").to_numpy(zero_copy_only=False)
     x = _matrix(table.column("code"), np.float32)
-    order = np.lexsort((u, v))
-    v, u, worst, x = v[order], u[order], worst[order], x[order]
+    order = np.lexsort((~new, u, v))  # a member on both sides is new if it is on one
+    v, u, worst, x, new = v[order], u[order], worst[order], x[order], new[order]
     bounds = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
     to, offer, sim = [], [], []
     for lo, hi in zip(bounds, np.append(bounds[1:], len(v)), strict=True):
@@ -169,6 +172,7 @@ def _meet(table: pa.Table) -> pa.Table:
             continue
         s = _near(x[m], x[m])
         np.fill_diagonal(s, -np.inf)
+        s[~(new[m][:, None] | new[m])] = -np.inf  # they have met
         if len(m) > OFFERS:
             best = np.argpartition(-s, OFFERS - 1, axis=1)[:, :OFFERS]
             s = np.take_along_axis(s, best, 1)
@@ -184,34 +188,62 @@ def _meet(table: pa.Table) -> pa.Table:
     return _lists(np.concatenate(to), np.concatenate(offer), np.concatenate(sim), 1 << 30)
 
 
+def _cells(pivots: list[bytes]):
+    """The number of the pivot that is nearest to each node."""
+    p = np.frombuffer(b"".join(pivots), np.float32).reshape(len(pivots), -1)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP):
+                part = batch.slice(at, GROUP)
+                cell = _near(_matrix(part.column("code"), np.float32), p).argmax(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32))], names=["node", "code", "cell"])
+
+    return run
+
+
+def _dealt(nodes: DataFrame, n: int, block: int, deal: int) -> DataFrame:
+    """``nodes`` with a ``cell`` of near ones and a ``part`` of it; a part has ``block`` nodes on average at most."""
+    if n <= block:
+        return nodes.withColumns({"cell": F.lit(0), "part": F.lit(0).cast("long")})
+    wanted = min(PIVOTS, -(-4 * n // block))  # so that most cells are one part
+    pivots = nodes.orderBy(F.xxhash64("node", F.lit(deal)), "node").limit(wanted).collect()
+    dealt = nodes.select("node", "code").mapInArrow(_cells([p["code"] for p in pivots]), "node long, code binary, cell int")
+    # a row per pivot
+    parts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = dealt.join(F.broadcast(parts), "cell")
+    return dealt.withColumn("part", F.pmod(F.xxhash64("node", F.lit(deal)), "parts")).drop("parts")
+
+
 def build_graph(nodes: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     """Lists (node, ids, sims) of each node's nearest neighbours; ``nodes`` has node and code."""
     lists = None
     for deal in range(DEALS):
-        part = nodes.groupBy(_block("node", -(-n // block), deal + 1)).applyInArrow(_start, _LISTS)
+        part = _dealt(nodes, n, block, deal + 1).groupBy("cell", "part").applyInArrow(_start, _LISTS)
         lists = part if lists is None else lists.unionByName(part)
     group = _block("node", -(-n // GROUP), 7)
-    lists = materialize(lists.groupBy(group).applyInArrow(_best, _LISTS), "lists")
+    lists = lists.groupBy(group).applyInArrow(_best, _LISTS).withColumn("old", F.array().cast("array<long>"))
+    lists = materialize(lists, "lists")
     # one block has compared all pairs; else lists only get better, so that this ends
     iteration, changed = 0, float(n > block)
     while changed >= CHANGED:
         iteration += 1
-        forward = lists.select(F.col("node").alias("v"), F.explode("ids").alias("u"))
+        forward = lists.select(F.col("node").alias("v"), F.explode("ids").alias("u"), "old")
+        forward = forward.select("v", "u", (~F.array_contains("old", F.col("u"))).alias("new"))
         # other reverse neighbours in each iteration
-        order = Window.partitionBy("u").orderBy(F.xxhash64("v", "u", F.lit(iteration)))
+        order = Window.partitionBy("u").orderBy(F.desc("new"), F.xxhash64("v", "u", F.lit(iteration)))
         back = forward.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE)
-        edges = forward.unionByName(back.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        edges = forward.unionByName(back.select(F.col("u").alias("v"), F.col("v").alias("u"), "new"))
         full = F.size("sims") >= DEGREE
         worst = lists.select("node", F.when(full, F.array_min("sims")).otherwise(float("-inf")).cast("float").alias("worst"))
         members = edges.join(nodes.join(worst, "node").withColumnRenamed("node", "u"), "u")
-        offers = members.groupBy(_block("v", -(-n // GROUP), 7)).applyInArrow(_meet, _LISTS)
+        offers = members.groupBy(_block("v", -(-n // MEET), 7)).applyInArrow(_meet, _LISTS)
         before = lists.select("node", F.col("ids").alias("old"))
-        lists = materialize(lists.unionByName(offers).groupBy(group).applyInArrow(_best, _LISTS), "lists")
-        sizes = lists.join(before, "node", "left").select(
-            F.size("ids").alias("all"), F.size(F.array_except("ids", F.coalesce("old", F.array().cast("array<long>")))).alias("new")
-        )
+        best = lists.drop("old").unionByName(offers).groupBy(group).applyInArrow(_best, _LISTS).join(before, "node", "left")
+        lists = materialize(best.withColumn("old", F.coalesce("old", F.array().cast("array<long>"))), "lists")
+        sizes = lists.select(F.size("ids").alias("all"), F.size(F.array_except("ids", "old")).alias("new"))
         changed = sizes.agg(F.sum("new") / F.sum("all")).first()[0] or 0.0
-    return lists
+    return lists.drop("old")
 
 
 def _rows(table: pa.Table) -> pa.Table:

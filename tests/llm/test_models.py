@@ -5,6 +5,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +281,28 @@ def test_few_vectors(spark):
         got = ann.nearest(table, F.col("id") % 20 == 0, 20).orderBy("rank").collect()
         want = [(0, 1, 9, 5.0), (0, 2, 7, 4.0)] if len(rows) > 1 else []
         assert [tuple(r) for r in got] == want
+
+
+def test_local_join_leaves_out_pairs_that_have_met():
+    x = np.eye(4, dtype=np.float32)
+    table = pa.table({"v": [9] * 4, "u": [1, 2, 3, 4], "new": [False, False, False, True], "worst": np.full(4, -np.inf, np.float32), "code": [r.tobytes() for r in x]})
+    got = {r["node"]: r["ids"] for r in ann._meet(table).to_pylist()}
+    assert {u: sorted(ids) for u, ids in got.items()} == {1: [4], 2: [4], 3: [4], 4: [1, 2, 3]}
+    old = table.set_column(2, "new", pa.array([False] * 4))
+    assert ann._meet(old).num_rows == 0
+
+
+def test_lists_start_from_near_nodes(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.standard_normal((40, 8))
+    x = (np.repeat(centers, 30, axis=0) + 0.01 * rng.standard_normal((1200, 8))).astype(np.float32)
+    nodes = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], "node long, code binary")
+    dealt = ann._dealt(nodes, len(x), 120, 1).select("node", "cell", "part").collect()
+    assert sorted(r["node"] for r in dealt) == list(range(1200))
+    sizes = collections.Counter((r["cell"], r["part"]) for r in dealt)
+    assert max(sizes.values()) <= 2 * 120
+    cells = collections.defaultdict(set)
+    for r in dealt:
+        cells[r["node"] // 30].add(r["cell"])
+    # a group has one or several nearest pivots, few of them with pivots of its own
+    assert sum(len(c) for c in cells.values()) <= 3 * len(cells)
