@@ -5,7 +5,8 @@ with their leading blank, numbers, other marks, white space). The bytes of a pie
 are a doubly linked list of symbols; a priority queue holds the merge rank of each
 neighbouring pair. The lowest rank, leftmost first, is merged, its two new pairs
 are queued, and entries whose pair no longer exists are skipped when they surface. Pieces
-repeat a lot, so each worker remembers a bounded number of short ones, those in use longest.
+repeat a lot, so each worker remembers a bounded number of short ones; pieces met once do not push
+out those met again.
 
 Decoding concatenates the vocabulary strings of the ids. Bytes that are not UTF-8
 (ids cut in the middle of a character) become U+FFFD.
@@ -14,20 +15,23 @@ Definitions: null text is the empty text, which has no ids and decodes to itself
 that the vocabulary lacks are an error. Rows are independent; extra columns stay.
 """
 
-import heapq
 import json
 import re
 import sys
 import unicodedata
+from array import array
+from collections import defaultdict
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Pieces a worker remembers at most (some 25 MB): this many new ones, and as many older ones
-#: that the new ones push out. Longer pieces than ``KEPT_CHARS`` characters are rare and not kept.
+#: Pieces a worker remembers at most (some 25 MB): this many met again, and as many met once or
+#: long ago. Longer pieces than ``KEPT_CHARS`` characters are rare and not kept.
 MAX_PIECES = 50_000
 KEPT_CHARS = 64
 #: Texts handed to Arrow at a time, in characters.
@@ -89,55 +93,70 @@ class Vocabulary(dict):
         for token, i in added.items():
             self.strings[i] = token.encode()
         self.byte_ids = [vocab[c] for c in byte_letters()]
-        self.ranks = {}
-        for rank, (left, right) in enumerate(spec["model"]["merges"]):
-            self.ranks[vocab[left] << 32 | vocab[right]] = (rank, vocab[left + right])
+        merges = [(vocab[left], vocab[right], vocab[left + right]) for left, right in spec["model"]["merges"]]
+        self.merged = [i for _, _, i in merges]
+        pairs = defaultdict(dict)
+        for rank, (left, right, _) in enumerate(merges):
+            pairs[left][right] = rank << 32
+        nothing = {}
+        #: By symbol: the rank, shifted, of its pair with a next symbol. The same of two bytes.
+        self.ranks = [pairs.get(i, nothing).get for i in range(len(self.strings))]
+        found = ((a, b, self.ranks[i](j)) for a, i in enumerate(self.byte_ids) for b, j in enumerate(self.byte_ids))
+        self.byte_ranks = {(a, b): rank for a, b, rank in found if rank is not None}
         self.added = {t: np.int32(i).tobytes() for t, i in added.items()}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
         self.high = re.compile("[\U00010000-\U0010ffff]")
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
+        older, room = self.older, self.max_pieces
+        ids = older.pop(piece, None)
         if ids is None:
-            ids = np.array(self.merge([self.byte_ids[b] for b in piece.encode()]), np.int32).tobytes()
-        if len(piece) <= KEPT_CHARS:
-            if len(self) >= self.max_pieces:
-                self.older = dict(self)
-                self.clear()
+            ids = array("i", self.merge(piece.encode())).tobytes()
+            if len(piece) <= KEPT_CHARS:
+                older[piece] = ids
+        else:
+            if len(self) >= room:
+                for p in list(islice(self, max(room // 8, 1))):
+                    older[p] = self.pop(p)
             self[piece] = ids
+        if len(older) > room:
+            for p in list(islice(older, max(room // 8, len(older) - room))):
+                del older[p]
         return ids
 
-    def merge(self, symbols: list[int]) -> list[int]:
-        """Token ids of a piece given as the ids of its bytes."""
-        n, ranks = len(symbols), self.ranks
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            found = ranks.get(symbols[i] << 32 | symbols[i + 1])
-            if found:
-                queue.append(found[0] << 32 | i)
-        heapq.heapify(queue)
+    def merge(self, piece: bytes) -> list[int]:
+        """Token ids of a piece."""
+        n, ranks, merged = len(piece), self.ranks, self.merged
+        symbols = [self.byte_ids[b] for b in piece]
+        # the queue's entry of each symbol's pair with the next one
+        found = enumerate(map(self.byte_ranks.get, zip(piece, piece[1:], strict=False)))
+        entries = [rank if rank is None else rank | i for i, rank in found]
+        queue = [e for e in entries if e is not None]
+        heapify(queue)
+        entries.append(None)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
         while queue:
-            top = heapq.heappop(queue)
+            top = heappop(queue)
             i = top & 0xFFFFFFFF
-            j = after[i]
-            if symbols[i] < 0 or j >= n:
-                continue
-            found = ranks.get(symbols[i] << 32 | symbols[j])
-            if not found or found[0] != top >> 32:  # stale: one of the two has changed
+            if entries[i] != top:  # stale: one of the two has changed
                 continue
-            symbols[i], symbols[j] = found[1], -1
+            j = after[i]
+            new = symbols[i] = merged[top >> 32]
+            symbols[j], entries[j] = -1, None
             k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                found = ranks.get(symbols[i] << 32 | symbols[k])
-                if found:
-                    heapq.heappush(queue, found[0] << 32 | i)
+            before[k] = i
+            entry = ranks[new](symbols[k]) if k < n else None
+            if entry is not None:
+                entry |= i
+                heappush(queue, entry)
+            entries[i] = entry
             h = before[i]
             if h >= 0:
-                found = ranks.get(symbols[h] << 32 | symbols[i])
-                if found:
-                    heapq.heappush(queue, found[0] << 32 | h)
+                entry = ranks[symbols[h]](new)
+                if entry is not None:
+                    entry |= h
+                    heappush(queue, entry)
+                entries[h] = entry
         return [s for s in symbols if s >= 0]
 
     def encode(self, text: str) -> np.ndarray:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+from itertools import islice, product
 
 import numpy as np
 import pyarrow as pa
@@ -208,6 +209,21 @@ def test_bpe_memory_is_bounded():
     assert 2 * bpe.MAX_PIECES <= 100_000
 
 
+def test_bpe_keeps_pieces_met_again():
+    """Pieces met once do not push out those met again, so these are merged once."""
+    vocab = bpe.Vocabulary(queries.vocabulary_path(), max_pieces=100)
+    merged = []
+    merge = vocab.merge
+    vocab.merge = lambda piece: merged.append(piece) or merge(piece)
+    names = (" " + "".join(n) for n in product("abcdefghijklmnopqrstu", repeat=3))
+    often = "".join(islice(names, 40))
+    for _ in range(30):
+        vocab.encode(often + often)
+        vocab.encode("".join(islice(names, 250)))
+        assert max(len(vocab), len(vocab.older)) <= 100
+    assert len(merged) == 40 + 30 * 250
+
+
 # --------------------------------------------------------------- fingerprints
 
 
