@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from shelfmark.llm.batches import releasing
+
 #: Pieces a worker remembers at most (some 25 MB): this many met again, and as many met once or
 #: long ago. Longer pieces than ``KEPT_CHARS`` characters are rare and not kept.
 MAX_PIECES = 50_000
@@ -214,7 +216,7 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids
                 yield _with(batch.slice(lo, hi - lo), ids, column)
 
     kind = T.ArrayType(T.IntegerType(), True)
-    return docs.mapInArrow(run, _added(docs.schema, ids, kind))
+    return docs.mapInArrow(releasing(run), _added(docs.schema, ids, kind))
 
 
 def decode(docs: DataFrame, vocab_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -231,4 +233,4 @@ def decode(docs: DataFrame, vocab_path: str, ids: str = "ids", decoded: str = "d
                 rows = [vocab.decode(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield _with(batch.slice(lo, hi - lo), decoded, pa.array(rows, pa.string()))
 
-    return docs.mapInArrow(run, _added(docs.schema, decoded, T.StringType()))
+    return docs.mapInArrow(releasing(run), _added(docs.schema, decoded, T.StringType()))

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.batches import small_batches
+from shelfmark.llm.batches import give_back, releasing, small_batches
 from shelfmark.llm.graph import ONE_TASK_EDGES, connected_components
 from shelfmark.llm.words import lower_ascii, mix, owner, run_hashes, text_slices, word_hashes, word_spans
 from shelfmark.session import materialize, new_path
@@ -259,6 +259,9 @@ def _confirm(n, percent):
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             keep.append(100 * common >= percent * (len(a) + len(b) - common))
+        packed.clear()
+        cache.clear()
+        give_back()
         return pairs.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -351,11 +354,11 @@ def near_duplicates(
     spark = docs.sparkSession
     threshold = percent / 100
     key = ["set_a", "set_b", "n_shingles"]
-    with small_batches(spark):
+    with small_batches(spark, "4m"):
         plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
         for seed in range(64):
             named = plain.withColumn("own", F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))))
-            rows = materialize(named.mapInArrow(_sketch(shingle), _SKETCH), "sketches")
+            rows = materialize(named.mapInArrow(releasing(_sketch(shingle)), _SKETCH), "sketches")
             filled = rows.filter("n_shingles > 0")
             if _differing(filled, "own").isEmpty():
                 break
@@ -364,7 +367,7 @@ def near_duplicates(
         nodes = filled.join(reps.select(*key, "node"), key).filter("own = node").groupBy("node")
         nodes = materialize(nodes.agg(*[F.first(c).alias(c) for c in ("mins", "sketch_a", "sketch_b", *WIDE)]), "nodes")
         table = f"near_dedup_{uuid.uuid4().hex}"
-        packed = named.select("own", "text").mapInArrow(_pack, "own long, packed binary")
+        packed = named.select("own", "text").mapInArrow(releasing(_pack), "own long, packed binary")
         packed = packed.join(reps.select(F.col("node").alias("own")), "own").groupBy("own").agg(F.first("packed").alias("packed"))
         n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         (
@@ -417,7 +420,7 @@ def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: f
     """(node, component) of linked nodes; ``given`` are links (u, v) that need no check."""
     none = F.lit(0).cast("long")
     seeds = nodes.select("node", "mins", "sketch_a", "sketch_b", none.alias("path"), none.alias("used"))
-    level = materialize(seeds.mapInArrow(_branch(trees_for(threshold, recall)), _ENTRY), "paths")
+    level = materialize(seeds.mapInArrow(releasing(_branch(trees_for(threshold, recall))), _ENTRY), "paths")
 
     # every node against the leader of its first paths
     led = materialize(_led(level), "paths")
@@ -466,4 +469,4 @@ def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: f
         rest = rest.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = rest.groupBy("path").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
         rest = rest.join(mixed.select("path"), "path").select("path", "used", "node", "sketch_a", "sketch_b")
-        level = materialize(rest.join(nodes.select("node", "mins"), "node").mapInArrow(_branch(1), _ENTRY), "paths")
+        level = materialize(rest.join(nodes.select("node", "mins"), "node").mapInArrow(releasing(_branch(1)), _ENTRY), "paths")

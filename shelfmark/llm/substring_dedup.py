@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.llm.batches import releasing
 from shelfmark.llm.words import owner, run_hashes, text_slices, word_hashes, word_spans
 from shelfmark.session import materialize
 
@@ -166,7 +167,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     found = materialize(
         docs.select("key", "text").mapInArrow(
-            _anchors(window), "anchor long, span long, key long, lo int, hi int"
+            releasing(_anchors(window)), "anchor long, span long, key long, lo int, hi int"
         ),
         "anchors",
     )
@@ -184,10 +185,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     single = judged.filter("n_spans > 1").select("one.key", F.struct("anchor", "one.lo", "one.hi").alias("s"), "n")
     by_text = single.groupBy("key").agg(F.collect_list("s").alias("spans"))
-    packed = docs.select("key", "text").mapInArrow(_pack, "key long, packed binary")
+    packed = docs.select("key", "text").mapInArrow(releasing(_pack), "key long, packed binary")
     texts = packed.groupBy("key").agg(F.first("packed").alias("packed")).join(by_text, "key")
     windows = materialize(
-        texts.mapInArrow(_window_rows(window), "anchor long, hash long, key long, lo int"), "windows"
+        texts.mapInArrow(releasing(_window_rows(window)), "anchor long, hash long, key long, lo int"), "windows"
     )
     again = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1")
     parts = windows.join(again.select("anchor", "hash"), ["anchor", "hash"]).select(
@@ -242,9 +243,9 @@ def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW)
         .agg(F.collect_set(F.struct("lo", "hi")).alias("covered"))
     )
     packed = keyed.mapInArrow(
-        _pack, T.StructType([keyed.schema["row"], T.StructField("packed", T.BinaryType()), keyed.schema["key"]])
+        releasing(_pack), T.StructType([keyed.schema["row"], T.StructField("packed", T.BinaryType()), keyed.schema["key"]])
     )
     joined = packed.join(covered, "key", "left").select("row", "packed", "covered")
     schema = T.StructType([joined.schema["row"]]).add("n_words", "long").add("n_removed", "long")
     schema = schema.add("kept_sha256", "string").add("kept_text", "string")
-    return joined.mapInArrow(_cut, schema).select(*[F.col("row").getField(c).alias(c) for c in others], *added)
+    return joined.mapInArrow(releasing(_cut), schema).select(*[F.col("row").getField(c).alias(c) for c in others], *added)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.llm.batches import releasing
 from shelfmark.llm.words import mix, run_hashes, text_slices
 
 BUCKETS = 1 << 18
@@ -254,7 +255,7 @@ def _fit(batches):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the bounded sample, trained in one task; only the model comes back."""
     rows = training_sample(docs, labels).filter(F.length("text") <= TRAIN_CHARS).repartition(1)
-    found = rows.mapInArrow(_fit, "table binary, bias double").first()
+    found = rows.mapInArrow(releasing(_fit), "table binary, bias double").first()
     if found is None:  # no row, no task
         return train([], [])
     return Model(np.frombuffer(found["table"], np.float32), found["bias"])
@@ -274,4 +275,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
                 )
 
     fields = [f for f in docs.schema if f.name != name]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(releasing(run), T.StructType([*fields, T.StructField(name, T.DoubleType())]))

@@ -3,7 +3,10 @@
 import collections
 import hashlib
 import re
+import subprocess
+import sys
 from itertools import islice, product
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -280,3 +283,31 @@ def test_bpe_texts_survive_slices():
     (lo, hi, data, offsets), *rest = w.text_slices(column)
     starts, stops, firsts = w.word_spans(data, offsets)
     assert (lo, hi, rest, (stops - starts).tolist(), firsts.tolist()) == (0, 4, [], [2, 1, 1], [0, 1, 1, 1, 3])
+
+
+# --------------------------------------------------------------------- memory
+
+RESIDENT = """
+import pyarrow as pa
+from shelfmark.llm import batches, near_dedup
+
+def texts():
+    for i in range(2):
+        rows = [" ".join(str(i * 7919 + j * k) for j in range(500)) for k in range(4000)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(rows)], names=["own", "text"])
+
+def resident(run):
+    for out in run(texts()):
+        pass
+    del out
+    return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+print(resident(near_dedup._pack), resident(batches.releasing(near_dedup._pack)))
+"""
+
+
+def test_workers_give_memory_back():
+    """After a task, a worker keeps much less than its allocators would."""
+    out = subprocess.run([sys.executable, "-c", RESIDENT], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    kept, released = map(int, out.stdout.split())
+    assert released < kept - 10_000_000
