@@ -15,12 +15,14 @@ Definitions: null text is the empty text, which has no ids and decodes to itself
 that the vocabulary lacks are an error. Rows are independent; extra columns stay.
 """
 
+import gc
 import json
 import re
 import sys
 import unicodedata
 from array import array
 from collections import defaultdict
+from contextlib import contextmanager
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -201,6 +203,18 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], names=[*names, name])
 
 
+@contextmanager
+def _without_gc():
+    """Merging makes many lists but no cycles: the collector would look at all of them for nothing."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with array column ``ids`` (replaced if there is one of that name)."""
 
@@ -209,7 +223,8 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids
         for batch in batches:
             texts = batch.column(text).fill_null("").to_pylist()
             for lo, hi in _parts([len(t) for t in texts]):
-                rows = [vocab.encode(t) for t in texts[lo:hi]]
+                with _without_gc():
+                    rows = [vocab.encode(t) for t in texts[lo:hi]]
                 offsets = np.zeros(len(rows) + 1, np.int32)
                 np.cumsum([len(r) for r in rows], out=offsets[1:])
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
