@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.batches import give_back, releasing, small_batches
 from shelfmark.llm.graph import ONE_TASK_EDGES, connected_components
 from shelfmark.llm.words import lower_ascii, mix, owner, run_hashes, text_slices, word_hashes, word_spans
-from shelfmark.session import materialize, new_path
+from shelfmark.session import materialize, new_path, removing_shuffles
 
 MINS = 256
 COORDINATES = 64
@@ -370,12 +370,13 @@ def near_duplicates(
         packed = named.select("own", "text").mapInArrow(releasing(_pack), "own long, packed binary")
         packed = packed.join(reps.select(F.col("node").alias("own")), "own").groupBy("own").agg(F.first("packed").alias("packed"))
         n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        (
-            packed.withColumnRenamed("own", "node")
-            .write.bucketBy(n_buckets, "node")
-            .option("path", new_path(spark, "packed"))
-            .saveAsTable(table)
-        )
+        with removing_shuffles(spark):
+            (
+                packed.withColumnRenamed("own", "node")
+                .write.bucketBy(n_buckets, "node")
+                .option("path", new_path(spark, "packed"))
+                .saveAsTable(table)
+            )
         try:
             checker = _Checker(spark.table(table), shingle, percent)
             components = _components(nodes, checker, threshold, recall, _links_of_ids(filled, reps, key))

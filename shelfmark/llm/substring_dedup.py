@@ -237,10 +237,9 @@ def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW)
         F.col(text).alias("text"),
         F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.length(text)).alias("key"),
     )
-    covered = (
-        repeated_spans(keyed, window)
-        .groupBy("key")
-        .agg(F.collect_set(F.struct("lo", "hi")).alias("covered"))
+    # written first, so that the shuffles of the search are gone when the texts move
+    covered = materialize(
+        repeated_spans(keyed, window).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("covered")), "covered"
     )
     packed = keyed.mapInArrow(
         releasing(_pack), T.StructType([keyed.schema["row"], T.StructField("packed", T.BinaryType()), keyed.schema["key"]])

@@ -2,10 +2,12 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -29,6 +31,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/shelfmark/{uuid.uuid4().hex}/{name}"
 
 
+@contextmanager
+def removing_shuffles(spark: SparkSession):
+    """Spark removes the shuffle files of a table written inside as soon as it is written.
+
+    They are needed no more then, but would stay until the driver happens to collect its
+    garbage. Only for writes: each is planned anew, so nothing reads those files again.
+    """
+    before = spark.conf.get(_REMOVE_SHUFFLES, None)
+    spark.conf.set(_REMOVE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_REMOVE_SHUFFLES)
+        else:
+            spark.conf.set(_REMOVE_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once and go on from the written table.
 
@@ -37,5 +57,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with removing_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ import hashlib
 import re
 import subprocess
 import sys
+import time
 from itertools import islice, product
 from pathlib import Path
 
@@ -18,6 +19,7 @@ from shelfmark.llm import bpe, fingerprint, queries
 from shelfmark.llm import near_dedup as N
 from shelfmark.llm.near_dedup import near_duplicates, trees_for
 from shelfmark.llm.substring_dedup import dedup_substrings
+from shelfmark.session import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -306,6 +308,27 @@ print(resident(near_dedup._pack), resident(batches.releasing(near_dedup._pack)))
 """
 
 
+def test_shuffles_of_written_tables_are_removed(spark):
+    """A written table needs its shuffle files no more; they do not wait for the driver's garbage collection."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    before, was = shuffles(), spark.conf.get(setting)
+    found = materialize(spark.range(1000).repartition(3, "id").groupBy("id").count().orderBy("id"), "numbers")
+    assert found.count() == 1000
+    assert spark.conf.get(setting) == was
+    for _ in range(100):
+        spark.range(1).collect()
+        if not {f for f in shuffles() - before if f.endswith(".data")}:
+            break
+        time.sleep(0.1)
+    # the count above has a shuffle of its own, of one row per task
+    assert sum(Path(f).stat().st_size for f in shuffles() - before if Path(f).exists()) < 2000
+
+
 def test_workers_give_memory_back():
     """After a task, a worker keeps much less than its allocators would."""
     out = subprocess.run([sys.executable, "-c", RESIDENT], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
