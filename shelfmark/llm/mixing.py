@@ -138,19 +138,21 @@ def number_rows(rows: DataFrame, group: str, key: Column, pieces: int, more=None
     ``more`` may add columns to the pieces (``group``, ``_piece``, ``_before``, ``_count``), which the rows get.
     """
     piece = F.shiftrightunsigned(key, 40) % pieces
-    rows = rows.withColumn("_key", key).withColumn("_piece", piece)
+    # a struct is never null, so the join below has the keys of the window and rows move once
+    own = F.struct(group)
+    rows = rows.withColumn("_key", key).withColumn("_piece", piece).withColumn("_group", own)
     counts = rows.groupBy(group, "_piece").agg(F.count("*").alias("_count"))
     before = Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     # as many rows as there are pieces: a small part of the table
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0)))
     offsets = more(offsets) if more else offsets
     added = [f"o.{c}" for c in offsets.columns if c not in (group, "_piece", "_before", "_count")]
-    within = Window.partitionBy(group, "_piece").orderBy("_key")
+    offsets = offsets.withColumn("_group", own)
+    within = Window.partitionBy("_group", "_piece").orderBy("_key")
     rows = rows.withColumn("_row", F.row_number().over(within) - 1)
-    joined = rows.alias("r").join(
-        offsets.alias("o"), F.col(f"r.{group}").eqNullSafe(F.col(f"o.{group}")) & (F.col("r._piece") == F.col("o._piece"))
-    )
-    return joined.select("r.*", *added, (F.col("o._before") + F.col("r._row")).alias("_n")).drop("_row", "_piece", "_key")
+    same = (F.col("r._group") == F.col("o._group")) & (F.col("r._piece") == F.col("o._piece"))
+    joined = rows.alias("r").join(offsets.alias("o"), same)
+    return joined.select("r.*", *added, (F.col("o._before") + F.col("r._row")).alias("_n")).drop("_row", "_piece", "_key", "_group")
 
 
 def schedule(docs: DataFrame, weights: dict | None = None, source: str = "source", block: int = BLOCK) -> DataFrame:

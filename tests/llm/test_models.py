@@ -196,6 +196,16 @@ def test_row_numbers_over_many_pieces(small):
         assert own == list(range(len(own)))
 
 
+def test_texts_move_once_to_be_numbered(small):
+    """The join with the pieces' offsets finds the rows where the window left them."""
+    rows = small.select("text", "source")
+    numbered = mixing.number_rows(rows, "source", F.xxhash64("text"), 7)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin") :]
+    left = join[: join.index("Window")]
+    assert "Exchange" not in left
+
+
 # ---------------------------------------------------------------- neighbours
 
 
