@@ -20,14 +20,17 @@ components of the links.
     so a path of one component is done. On the others, nodes outside the path's main
     component are compared with all its nodes if these are few pairs (``PAIRS``); else
     all nodes are compared with one leader of the path, and the path branches again.
-    Components are brought up to date after every level.
+    Components are brought up to date after every level. A path's candidates go on as pairs
+    if these are no more than their nodes. Else, as in a large group of texts that all resemble
+    one another, the nodes go on with their texts, are compared on full sets in place, and only
+    links that join components come back, so rows grow with nodes and not with pairs.
 5.  Comparisons use sketches with four standard deviations of slack: 128 bits against
     leaders, two bits of each minwise value inside a path (for t = 0.8, pairs of less than about
     0.68 hardly pass). They are confirmed on the full sets of 64-bit shingle hashes. All confirmed
     links form the components.
 
 No path, node or candidate is dropped for its size: a path that used all coordinates
-is compared exhaustively by a join that Spark can split.
+is compared exhaustively, block by block.
 
 Definitions: words are runs of characters other than space and U+0009-U+000D, A-Z
 lower-cased; a text with fewer words than a shingle is one shingle of all its words; a
@@ -60,6 +63,10 @@ BRANCH = 2
 #: A path with at most so many pairs across components is compared exhaustively: at most 1,000
 #: sketches for a row, some ten milliseconds for a path.
 PAIRS = 1_000_000
+#: Nodes of a path that are compared in one place with ``MINORS`` outside its main component, on average.
+MEMBERS, MINORS = 4096, 1024
+#: Pairs of sketches compared at a time.
+AT_ONCE = 1 << 18
 #: So many entries of paths or fewer are worked on in one task per round, as in ``graph``.
 ONE_TASK_ENTRIES = 100_000
 #: A level of at most so many pairs to compare is compared in one task.
@@ -67,6 +74,8 @@ ONE_TASK_PAIRS = 200_000
 #: Pairs and bytes of packed texts that a group of pairs to confirm has on average, at most.
 TASK_PAIRS = 20_000
 TASK_BYTES = 4 << 20
+#: Bytes of packed texts of a path's nodes that are compared with one another in one place, on average.
+MEMBER_BYTES = 1 << 20
 #: Bytes of shingle sets that a confirming task keeps for its next pairs.
 KEPT_BYTES = 32 << 20
 PROBES = 8
@@ -220,15 +229,128 @@ def _alike(threshold: float):
     return _distance("x.", "y.") <= _slack(NARROW, (1 - threshold) / 2)
 
 
-def _closely_alike(threshold: float):
-    """The same of the wide sketches."""
-    low = F.lit(0x5555555555555555)
-    differ = F.lit(0)
-    for c in WIDE:
-        x = F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))
-        differ += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low))
-    # two bits of different values agree in one case of four
-    return differ <= _slack(MINS, (1 - threshold) * 0.75)
+def _whole_groups(batches):
+    """Tables of whole groups, and where each begins and the last ends, from rows sorted by ``group``."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if batch.column("group")[0] == batch.column("group")[-1] == held.column("group")[0]:
+            continue
+        group = held.column("group").to_numpy()
+        begin = np.append(0, np.flatnonzero(group[1:] != group[:-1]) + 1)
+        yield held.slice(0, begin[-1]), begin
+        held = held.slice(begin[-1])
+    if held is not None:
+        group = held.column("group").to_numpy()
+        yield held, np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+
+
+_CLOSE = "group long, minor boolean, node long, component long, other long"
+
+
+def _close(threshold: float):
+    """What of each group to compare on full sets: pairs (node, other), or if these are more than their nodes, the nodes.
+
+    Compares the nodes that are ``minor`` with those that are not, between components only.
+    """
+    narrow, wide = _slack(NARROW, (1 - threshold) / 2), _slack(MINS, (1 - threshold) * 0.75)
+    low, one = np.uint64(0x5555555555555555), np.uint64(1)
+
+    def near(x, y, component, sketches, wides):
+        """Places of minor and other nodes whose sketches allow a similarity at the threshold."""
+        found = []
+        step = max(1, AT_ONCE // len(y))
+        for lo in range(0, len(x), step):
+            part = x[lo : lo + step]
+            differ = sum(np.bitwise_count(s[part][:, None] ^ s[y]).astype(np.int16) for s in sketches)
+            i, j = np.nonzero((differ <= narrow) & (component[part][:, None] != component[y]))
+            i, j = part[i], y[j]
+            # two bits of different values agree in one case of four
+            differ = np.zeros(len(i), np.int16)
+            for s in wides:
+                z = s[i] ^ s[j]
+                differ += np.bitwise_count((z | z >> one) & low)
+            found.append((i[differ <= wide], j[differ <= wide]))
+        return (np.concatenate(f) for f in zip(*found, strict=True))
+
+    def run(batches):
+        for table, begin in _whole_groups(batches):
+            minor = table.column("minor").to_numpy()
+            node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+            sketches = [table.column(c).to_numpy().view(np.uint64) for c in ("sketch_a", "sketch_b")]
+            wides = [table.column(c).to_numpy().view(np.uint64) for c in WIDE]
+            at, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lo, hi in zip(begin[:-1], begin[1:], strict=True):
+                x, y = (lo + np.flatnonzero(m) for m in (minor[lo:hi], ~minor[lo:hi]))
+                if not len(x) or not len(y):
+                    continue
+                i, j = near(x, y, component, sketches, wides)
+                ends = np.union1d(i, j)
+                if len(i) > len(ends):
+                    i, j = ends, np.full(len(ends), -1)
+                at.append(i)
+                other.append(j)
+            at, other = np.concatenate(at), np.concatenate(other)
+            rows = table.select(["group", "minor", "node", "component"]).take(pa.array(at))
+            others = pa.array(node[other], mask=other < 0) if len(node) else pa.array([], pa.int64())
+            yield from rows.append_column("other", others).to_batches()
+
+    return run
+
+
+def _joining(n, percent):
+    """Links (u, v) that join components, of the minor nodes of each group with all its nodes, on full sets."""
+
+    def links(minor, node, component, packed, unpack):
+        node, first = np.unique(node, return_index=True)
+        texts = [unpack.decompress(packed[i].as_py()) for i in first]
+        offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+        hashes, begin = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offsets, n)
+        _, code = np.unique(hashes, return_inverse=True)
+        label, size, has = component[first].copy(), np.diff(begin), np.zeros(len(hashes), np.int32)
+        for i in np.flatnonzero(np.isin(node, minor)):
+            own = code[begin[i] : begin[i + 1]]
+            has[own] = 1
+            common = np.add.reduceat(has[code], begin[:-1])
+            has[own] = 0
+            alike = 100 * common >= percent * (size + size[i] - common)
+            for j in np.flatnonzero(alike & (label != label[i])):
+                if label[j] != label[i]:
+                    yield node[i], node[j]
+                    label[label == label[j]] = label[i]
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for table, begin in _whole_groups(batches):
+            minor, node, component = (table.column(c).to_numpy() for c in ("minor", "node", "component"))
+            found = []
+            for lo, hi in zip(begin[:-1], begin[1:], strict=True):
+                own = slice(lo, hi)
+                packed = table.column("packed").slice(lo, hi - lo)
+                found.extend(links(node[own][minor[own]], node[own], component[own], packed, unpack))
+            u, v = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
+
+
+def _dealt(rows: DataFrame, by, members, minors) -> DataFrame:
+    """Rows of each ``by`` in blocks, each of some nodes and some minor ones: with ``group`` and ``minor``.
+
+    ``members`` and ``minors`` are the numbers of blocks; every pair of them meets in one group.
+    """
+    spread = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n.cast("long"))
+    place = lambda i, j, minor: F.struct(i.alias("i"), j.alias("j"), F.lit(minor).alias("minor"))
+    whole = F.transform(spread(minors), lambda i: place(i, own(members, 12), False))
+    few = F.transform(spread(members), lambda j: place(own(minors, 13), j, True))
+    # a row that is minor is a member too
+    places = F.when(F.col("is_minor") & F.col("is_member"), F.concat(whole, few)).when(F.col("is_minor"), few).otherwise(whole)
+    rows = rows.withColumn("_at", F.explode(places))
+    return rows.withColumns({"group": F.xxhash64(by, "_at.i", "_at.j"), "minor": F.col("_at.minor")}).drop("_at")
 
 
 def _confirm(n, percent):
@@ -324,17 +446,33 @@ class _Checker:
         found = grouped.groupBy("group").cogroup(own).applyInArrow(_confirm(self.n, self.percent), "u long, v long")
         return materialize(found, "links")
 
-
-def _across(live: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) to confirm on each path of ``live``, between components only."""
+    def joining(self, rows: DataFrame) -> DataFrame:
+        """Links (u, v) that join the components of the nodes of each group, minor ones with all, on full sets."""
+        if rows.isEmpty():
+            return rows.sparkSession.createDataFrame([], "u long, v long")
+        nodes = rows.groupBy("group", "node", "component").agg(F.max("minor").alias("is_minor"), F.min("minor").alias("only"))
+        nodes = nodes.withColumn("is_member", ~F.col("only"))
+        held = materialize(self.texts.join(nodes, "node"), "members")
+        sizes = held.groupBy("group").agg(F.ceil(F.sum(F.length("packed")) / MEMBER_BYTES).alias("blocks"))
+        held = held.withColumnRenamed("group", "whole").join(sizes.withColumnRenamed("group", "whole"), "whole")
+        dealt = _dealt(held, "whole", F.col("blocks"), F.col("blocks")).select("group", "minor", "node", "component", "packed")
+        dealt = dealt.repartition("group").sortWithinPartitions("group")
+        return materialize(dealt.mapInArrow(releasing(_joining(self.n, self.percent)), "u long, v long"), "links")
+
+
+def _across(live: DataFrame, threshold: float, one_task: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) to confirm on each path of ``live``, between components only, and groups of nodes with many pairs."""
     one = (F.col("x.node") != F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    ends = [F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")]
-    few = live.filter("few")
-    minor = few.filter("component != main").alias("x")
-    every = few.select("path", "node", "component", "sketch_a", "sketch_b", *WIDE).alias("y")
-    pairs = minor.join(every, "path").filter(one & _alike(threshold) & _closely_alike(threshold)).select(*ends)
+    few = live.filter("few").withColumns({"is_minor": F.col("component") != F.col("main"), "is_member": F.lit(True)})
+    few = _dealt(few, "path", F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("minor") / MINORS))
+    few = few.select("group", "minor", "node", "component", "sketch_a", "sketch_b", *WIDE)
+    few = few.coalesce(1) if one_task else few.repartition("group")
+    close = materialize(few.sortWithinPartitions("group").mapInArrow(releasing(_close(threshold)), _CLOSE), "close")
+    pairs = close.filter("other is not null").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
     many = _led(live.filter("not few").select("path", "node", "component", "sketch_a", "sketch_b")).alias("x")
-    return pairs.unionByName(many.filter(one & _alike(threshold)).select(*ends))
+    led = many.filter(one & _alike(threshold))
+    led = led.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    return pairs.unionByName(led), close.filter("other is null").drop("other")
 
 
 def near_duplicates(
@@ -449,7 +587,7 @@ def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: f
         ).filter("parts > 1")
         sizes = sizes.withColumn("few", (F.col("n") - F.col("most")) * F.col("n") <= PAIRS)
         sizes = sizes.withColumn("minor", F.col("n") - F.col("most"))
-        live = labelled.join(sizes.select("path", "main", "few", "minor"), "path")
+        live = labelled.join(sizes.select("path", "main", "few", "n", "minor"), "path")
         # later levels hold nodes of live paths only: no other takes part again
         nodes = materialize(nodes.join(live.select("node").distinct(), "node", "left_semi"), "nodes")
         if one_task:
@@ -459,7 +597,8 @@ def _components(nodes: DataFrame, checker: _Checker, threshold: float, recall: f
         live = live.withColumn("few", F.col("few") | (F.bit_count("used") >= COORDINATES))
         to_compare = live.filter("few").agg(F.sum("minor")).first()[0] or 0
         few = one_task and to_compare <= ONE_TASK_PAIRS
-        links = checker.links(_across(live.coalesce(1) if few else live, threshold), few)
+        pairs, dense = _across(live.coalesce(1) if few else live, threshold, few)
+        links = checker.links(pairs, few).unionByName(checker.joining(dense))
         if not links.isEmpty():
             known = _linked(known, links)
         rest = live.filter(~F.col("few")).select("path", "used", "node", "sketch_a", "sketch_b")

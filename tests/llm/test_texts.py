@@ -157,6 +157,52 @@ def test_near_duplicates_of_a_large_family(spark):
     assert all(r["component_id"] == r["doc_id"] for r in found if r["doc_id"] >= 700)
 
 
+def test_pairs_of_a_family_of_half_copies_are_not_listed(spark, monkeypatch):
+    """Texts that resemble one another, but hardly enough: rows grow with the texts, and no link is lost."""
+    rnd = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(201)]
+    rows = []
+    for i in range(80):
+        own = list(base)
+        for k in rnd.choice(201, 7, replace=False):
+            own[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, rows[i][1].replace("w20 ", "y ").replace("w90 ", "z ")) for i in (3, 40, 77)]
+    listed, links = [], N._Checker.links
+
+    def counted(self, pairs, *more):
+        listed.append(pairs.distinct().count())
+        return links(self, pairs, *more)
+
+    monkeypatch.setattr(N._Checker, "links", counted)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=str) == components(rows, 2, 80)
+    assert sum(listed) < 10 * len(rows)
+
+
+def test_blocks_of_a_path_meet(spark):
+    """Every minor node meets every member once, whatever the number of blocks."""
+    rows = spark.range(50).selectExpr("1L AS path", "id AS node", "id % 5 = 0 AS is_minor", "true AS is_member")
+    dealt = N._dealt(rows, "path", F.lit(4), F.lit(3)).select("group", "minor", "node").collect()
+    met = collections.Counter()
+    for x, y in product((r for r in dealt if r["minor"]), (r for r in dealt if not r["minor"])):
+        if x["group"] == y["group"]:
+            met[x["node"], y["node"]] += 1
+    assert met == {(x, y): 1 for x in range(0, 50, 5) for y in range(50)}
+
+
+def test_whole_groups_over_batches():
+    group = [1] * 5 + [2] + [3] * 7 + [4, 5] + [6] * 3
+    batches = [pa.RecordBatch.from_arrays([pa.array(group[i : i + 2], pa.int64())], ["group"]) for i in range(0, len(group), 2)]
+    got = []
+    for table, begin in N._whole_groups(iter(batches)):
+        own = table.column("group").to_pylist()
+        assert list(begin) == [*(i for i in range(len(own)) if not i or own[i] != own[i - 1]), len(own)]
+        assert not got or got[-1] != own[0]
+        got += own
+    assert got == group
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert near_duplicates(nothing).count() == 0
 
