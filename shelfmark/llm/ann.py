@@ -14,12 +14,13 @@ an iteration changes less than ``CHANGED`` of all list entries. Lists
 keep ``DEGREE`` nodes, and at most ``REVERSE`` reverse neighbours take part, new ones first, then random ones.
 
 Search. A query starts from itself and the nearest of ``PIVOTS`` sampled and ``PIVOTS`` longest
-nodes, then repeatedly expands its best unexpanded nodes: the frontier meets the graph,
-whose rows hold the neighbours' vectors, in a join by node. ``BEAM`` best nodes are kept. When
+nodes, then repeatedly expands its best unexpanded nodes: their neighbours are looked up where the
+graph is and scored where the neighbours' vectors are. ``BEAM`` best nodes are kept. When
 no query has an unexpanded node in its beam, the best ``RERANK`` are scored exactly.
 
-All work is spread over hash blocks of bounded mean size; nothing is collected but the
-pivots (twice ``PIVOTS`` rows) and a maximum.
+Layout. Nodes and queries live in hash groups of bounded mean size. A step works on whole groups in numpy and
+sends a packed row to each group that gets something: rows between steps grow with pairs of groups, not with
+neighbours. Nothing is collected but the pivots (twice ``PIVOTS`` rows), counts and a maximum.
 
 Definitions: vectors that are null, zero, of another length than most, or with a null or
 non-finite component take no part, as query or as candidate. Repeated ids are distinct rows
@@ -27,15 +28,12 @@ with one id; rows without an id take no part. Fewer candidates than ``k`` give a
 go to the smaller id.
 """
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.batches import small_batches
-from shelfmark.session import materialize, new_path
+from shelfmark.session import materialize
 
 DEGREE = 32
 REVERSE = 24
@@ -44,7 +42,7 @@ DEALS = 2
 #: Share of list entries below which a change ends the iterations.
 CHANGED = 0.005
 OFFERS = 16
-#: Nodes whose neighbourhoods are joined in one group; their offers to one node travel as one row.
+#: Neighbourhoods that are joined at once.
 MEET = 64
 PIVOTS = 2048
 BEAM = 256
@@ -52,8 +50,10 @@ EXPAND = 128
 RERANK = 80
 #: Nodes of a hash block of lists or queries.
 GROUP = 512
-
-_LISTS = "node long, ids array<long>, sims array<float>"
+#: Nodes travel in groups, as one row each: ``GROUP`` nodes or more while there are ``SPREAD`` groups at most, then ``PACK``.
+SPREAD, PACK = 32, 4096
+#: Queries that are searched for at once, which bounds what a node gets that all of them ask for.
+QUERIES = 32768
 
 
 def _matrix(column, kind) -> np.ndarray:
@@ -101,6 +101,92 @@ def _block(column, n: int, seed: int):
     return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(max(n, 1)))
 
 
+#: What groups of nodes send to one another: flat columns as byte strings, one row for each group that gets some.
+_PACKED = "to int, kind int, a binary, b binary, c binary, d binary, e binary, changed long, entries long"
+_ARROW = pa.schema(
+    [("to", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in "abcde"], ("changed", pa.int64()), ("entries", pa.int64())]
+)
+#: Kinds of rows: nodes (node, code), offers (to, id, sim), a group's state (node, code, ids, sims, new), its members
+#: (member, new), edges (to, from, new) and codes (node, code, worst). For the search: a group's graph (node, members), beams
+#: (query, code, ids, sims, stage), what is asked (query, node) and codes of queries (query, code, least).
+_NODES, _OFFERS, _STATE, _MEMBERS, _EDGES, _CODES, _GRAPH, _BEAMS, _ASKED, _QUERIES = range(10)
+#: Stages of a node of a beam.
+_WAITING, _NOW, _DONE = range(3)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _groups(n: int) -> int:
+    return max(1, min(-(-n // GROUP), max(SPREAD, -(-n // PACK))))
+
+
+def _home(node: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each node."""
+    return (_mix(node) % np.uint64(groups)).astype(np.int64)
+
+
+def _sent(kind: int, to: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """Flat columns as a row for each group that they go to."""
+    if not len(to):
+        return []
+    if (to[1:] < to[:-1]).any():
+        order = np.argsort(to.astype(np.uint16) if to.max() < 1 << 16 else to, kind="stable")
+        to, columns = to[order], [c[order] for c in columns]
+    begin = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    return [_row(to[lo], kind, *[c[lo:hi] for c in columns]) for lo, hi in zip(begin, [*begin[1:], len(to)], strict=True)]
+
+
+def _row(to: int, kind: int, *columns: np.ndarray, changed: int = 0, entries: int = 0) -> tuple:
+    blobs = [np.ascontiguousarray(c).tobytes() for c in columns]
+    return (int(to), kind, *blobs, *[None] * (5 - len(blobs)), changed, entries)
+
+
+def _packed(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in _ARROW]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+
+def _unpacked(table: pa.Table, kind: int, *kinds) -> list[np.ndarray]:
+    """The flat columns of the rows of one kind."""
+    at = np.flatnonzero(table.column("kind").to_numpy() == kind)
+    out = []
+    for name, of in zip("abcde", kinds, strict=False):
+        column = table.column(name)
+        out.append(np.frombuffer(b"".join([column[int(i)].as_buffer() for i in at]), of))
+    return out
+
+
+def _state(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Nodes of a group in order, their codes, neighbours (best first, -1 where there are no more), similarities and which are new."""
+    node, code, ids, sims, new = _unpacked(table, _STATE, np.int64, np.float32, np.int64, np.float32, bool)
+    return node, code.reshape(len(node), -1), ids.reshape(-1, DEGREE), sims.reshape(-1, DEGREE), new.reshape(-1, DEGREE)
+
+
+def _kept(row, ids, sims, keep: int):
+    """Places of the ``keep`` best different ids of each row, best first, and their ranks; an id's first entry counts."""
+    if not len(row):
+        return np.zeros(0, int), np.zeros(0, int)
+    order = np.lexsort((ids, row)) if int(row.max() + 1) * int(ids.max() + 1) >= 1 << 63 else np.argsort(row * (ids.max() + 1) + ids, kind="stable")
+    first = np.append(True, (row[order][1:] != row[order][:-1]) | (ids[order][1:] != ids[order][:-1]))
+    order = order[first]
+    bits = sims[order].view(np.int32).astype(np.int64)  # in the order of the numbers, when those below 0 are turned round
+    falling = (1 << 31) - 1 - np.where(bits < 0, bits ^ 0x7FFFFFFF, bits)
+    order = order[np.argsort((row[order] << 32) + falling, kind="stable")]
+    rank = _rank(row[order])
+    return order[rank < keep], rank[rank < keep]
+
+
+def _rank(row: np.ndarray) -> np.ndarray:
+    """Places of sorted rows within their row."""
+    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
+    return np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
+
+
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(id, vec double array) of the rows that take part."""
     vec = F.col("vec")
@@ -136,56 +222,175 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T - (a * a).sum(1)[:, None] / 2 - (b * b).sum(1) / 2
 
 
-def _start(table: pa.Table) -> pa.Table:
+def _start(groups: int):
     """Nearest neighbours inside one block."""
-    node, x = table.column("node").to_numpy(), _matrix(table.column("code"), np.float32)
-    n, keep = len(node), min(DEGREE, len(node) - 1)
-    out = []
-    for i in range(0, n if keep > 0 else 0, 512):
-        s = _near(x[i : i + 512], x)
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-        out.append((np.repeat(node[i : i + 512], keep), node[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-    if not out:
-        return pa.table({"node": node[:0], "ids": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float32()))})
-    return _lists(*map(np.concatenate, zip(*out, strict=True)), DEGREE)
 
+    def run(table: pa.Table) -> pa.Table:
+        node, x = table.column("node").to_numpy(), _matrix(table.column("code"), np.float32)
+        n, keep = len(node), min(DEGREE, len(node) - 1)
+        out = []
+        for i in range(0, n if keep > 0 else 0, 512):
+            s = _near(x[i : i + 512], x)
+            s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
+            best = np.argpartition(s, n - keep, axis=1)[:, n - keep :]
+            own = np.repeat(node[i : i + 512], keep)
+            out += _sent(_OFFERS, _home(own, groups), own, node[best].ravel(), np.take_along_axis(s, best, 1).ravel())
+        return _packed(out)
+
+    return run
+
+
+def _pack_nodes(groups: int):
+    def run(batches):
+        for batch in batches:
+            node, code = batch.column("node").to_numpy(), _matrix(batch.column("code"), np.float32)
+            yield from _packed(_sent(_NODES, _home(node, groups), node, code)).to_batches()
+
+    return run
+
+
+def _merge(groups: int):
+    """Lists of a group with what was offered to them, and the edges to their neighbours."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if (table.column("kind").to_numpy() == _STATE).any():
+            node, code, ids, sims, _ = _state(table)
+        else:
+            node, code = _unpacked(table, _NODES, np.int64, np.float32)
+            order = np.argsort(node)
+            node, code = node[order], code.reshape(len(node), -1)[order]
+            ids, sims = np.full((len(node), DEGREE), -1), np.full((len(node), DEGREE), -np.inf, np.float32)
+        to, offer, sim = _unpacked(table, _OFFERS, np.int64, np.int64, np.float32)
+        had = ids >= 0
+        row = np.append(np.nonzero(had)[0], np.searchsorted(node, to))
+        # a neighbour that is offered again stays an old one
+        near, sim = np.append(ids[had], offer), np.append(sims[had], sim)
+        at, rank = _kept(row, near, sim, DEGREE)
+        ids, sims, new = np.full(ids.shape, -1), np.full(ids.shape, -np.inf, np.float32), np.zeros(ids.shape, bool)
+        ids[row[at], rank], sims[row[at], rank], new[row[at], rank] = near[at], sim[at], at >= had.sum()
+        state = _row(table.column("to")[0].as_py(), _STATE, node, code, ids, sims, new, changed=int(new.sum()), entries=len(at))
+        return _packed([state, *_sent(_EDGES, _home(near[at], groups), near[at], node[row[at]], at >= had.sum())])
+
+    return run
+
+
+def _members(table: pa.Table, iteration: int):
+    """Neighbours and reverse neighbours of each node of a group (-1 where there are no more), which are new, and all edges to the group."""
+    node, _, ids, _, new = _state(table)
+    u, v, fresh = _unpacked(table, _EDGES, np.int64, np.int64, bool)
+    row = np.searchsorted(node, u)
+    # other reverse neighbours in each iteration
+    by = _mix(v ^ _mix(u + np.int64(iteration)).view(np.int64))
+    order = np.argsort((row << 33) | (~fresh).astype(np.int64) << 32 | (by >> np.uint64(32)).astype(np.int64), kind="stable")
+    rank = _rank(row[order])
+    order, rank = order[rank < REVERSE], rank[rank < REVERSE]
+    member = np.full((len(node), DEGREE + REVERSE), -1)
+    first = np.zeros(member.shape, bool)
+    member[:, :DEGREE], first[:, :DEGREE] = ids, new
+    member[row[order], DEGREE + rank], first[row[order], DEGREE + rank] = v[order], fresh[order]
+    key = np.sort(member * 2 + ~first, axis=1)  # a member on both sides is new if it is on one
+    member, first = key >> 1, key % 2 == 0
+    again = member[:, 1:] == member[:, :-1]
+    member[:, 1:][again], first[:, 1:][again] = -1, False
+    return member, first, row, v
+
+
+def _visit(groups: int, iteration: int):
+    """The members of a group's neighbourhoods, and the codes of its nodes for all groups where they are members."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, code, ids, sims, _ = _state(table)
+        member, new, row, v = _members(table, iteration)
+        had = ids >= 0
+        worst = np.where(had[:, -1], sims[:, -1], -np.inf).astype(np.float32)
+        # a group gets a code once
+        seen = np.zeros((groups, len(node)), bool)
+        seen[_home(ids[had], groups), np.nonzero(had)[0]] = True
+        seen[_home(v, groups), row] = True
+        to, own = np.nonzero(seen)
+        state = table.filter(pa.array(table.column("kind").to_numpy() == _STATE)).select(_ARROW.names).cast(_ARROW)
+        home = state.column("to")[0].as_py()
+        return pa.concat_tables([state, _packed([_row(home, _MEMBERS, member, new), *_sent(_CODES, to, node[own], code[own], worst[own])])])
+
+    return run
+
+
+def _most(s: np.ndarray, good: np.ndarray, axis: int) -> np.ndarray:
+    """``good`` but for what is not among the ``OFFERS`` best along the axis."""
+    if s.shape[axis] > OFFERS:
+        over = np.nonzero(good.sum(axis) > OFFERS)
+        if len(over[0]):
+            own, kept = np.moveaxis(good, axis, 2), np.where(np.moveaxis(good, axis, 2)[over], np.moveaxis(s, axis, 2)[over], -np.inf)
+            own[over] = kept >= np.maximum(np.partition(kept, -OFFERS, axis=1)[:, -OFFERS, None], np.finfo(np.float32).min)
+    return good
 
-def _best(table: pa.Table) -> pa.Table:
-    ids, row = _flat(table.column("ids"))
-    sims, _ = _flat(table.column("sims"))
-    return _lists(table.column("node").to_numpy()[row], ids, sims, DEGREE)
+
+def _offered(place: np.ndarray, new: np.ndarray, code: np.ndarray, worst: np.ndarray):
+    """The local join: members of each neighbourhood, one new to it at least, offered to one another where they improve a list.
+
+    ``place`` has members as rows of ``code``, as many as there are where a neighbourhood has no more.
+    Returns (to, offer, sim), different pairs, of each ``to`` what its list can take.
+    """
+    n = len(code)
+    half = np.append((code * code).sum(1) / 2, np.float32(np.inf))
+    code, worst = np.vstack([code, np.zeros((1, code.shape[1]), np.float32)]), np.append(worst, np.float32(np.inf))
+    order = np.argsort(np.where(place == n, 2, ~new).astype(np.uint8), axis=1, kind="stable")  # new members first
+    fresh, size = (new & (place < n)).sum(1), (place < n).sum(1)
+    place = np.take_along_axis(place, order, 1)
+    todo = np.flatnonzero((fresh > 0) & (size > 1))
+    todo = todo[np.argsort(fresh[todo], kind="stable")]
+    found = []
+    for at in range(0, len(todo), MEET):
+        rows = todo[at : at + MEET]
+        k = fresh[rows][:, None]
+        w, m = k.max(), place[rows, : size[rows].max()]
+        x, h, least = code[m], half[m], worst[m]
+        s = x[:, :w] @ x.transpose(0, 2, 1)
+        s -= h[:, :w, None]
+        s -= h[:, None]
+        s[np.arange(w) >= k] = -np.inf  # old ones have met
+        s[:, np.arange(w), np.arange(w)] = -np.inf
+        b, i, j = np.nonzero(_most(s, s > least[:, :w, None], 2))
+        found.append((m[b, i], m[b, j], s[b, i, j]))
+        b, i, j = np.nonzero(_most(s, (s > least[:, None]) & (np.arange(m.shape[1]) >= k)[:, None], 1))
+        found.append((m[b, j], m[b, i], s[b, i, j]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
+    to, offer, sim = map(np.concatenate, zip(*found, strict=True))
+    at, _ = _kept(to, offer, sim, DEGREE)
+    return to[at], offer[at], sim[at]
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """The local join: members (u) of each node's (v) neighbourhood offered to one another."""
+    """The local join of rows (v, u, new, worst, code): members (u) of each node's (v) neighbourhood."""
     v, u = table.column("v").to_numpy(), table.column("u").to_numpy()
-    worst, new = table.column("worst").to_numpy(), table.column("new").to_numpy(zero_copy_only=False)
-    x = _matrix(table.column("code"), np.float32)
-    order = np.lexsort((~new, u, v))  # a member on both sides is new if it is on one
-    v, u, worst, x, new = v[order], u[order], worst[order], x[order], new[order]
-    bounds = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-    to, offer, sim = [], [], []
-    for lo, hi in zip(bounds, np.append(bounds[1:], len(v)), strict=True):
-        m = np.flatnonzero(np.append(True, u[lo + 1 : hi] != u[lo : hi - 1])) + lo
-        if len(m) < 2:
-            continue
-        s = _near(x[m], x[m])
-        np.fill_diagonal(s, -np.inf)
-        s[~(new[m][:, None] | new[m])] = -np.inf  # they have met
-        if len(m) > OFFERS:
-            best = np.argpartition(-s, OFFERS - 1, axis=1)[:, :OFFERS]
-            s = np.take_along_axis(s, best, 1)
-        else:
-            best = np.broadcast_to(np.arange(len(m)), s.shape)
-        a, b = np.nonzero(s > worst[m][:, None])
-        to.append(u[m[a]])
-        offer.append(u[m[best[a, b]]])
-        sim.append(s[a, b])
-    if not to:
-        return _lists(u[:0], u[:0], worst[:0], 1)
-    # offers of one block to one node travel as one row
-    return _lists(np.concatenate(to), np.concatenate(offer), np.concatenate(sim), 1 << 30)
+    new = table.column("new").to_numpy(zero_copy_only=False)
+    order = np.lexsort((u, v))
+    rank, row = _rank(v[order]), np.unique(v[order], return_inverse=True)[1]
+    node, first, own = np.unique(u, return_index=True, return_inverse=True)
+    place, fresh = np.full((row.max() + 1, rank.max() + 1), len(node)), np.zeros((row.max() + 1, rank.max() + 1), bool)
+    place[row, rank], fresh[row, rank] = own[order], new[order]
+    code, worst = _matrix(table.column("code"), np.float32)[first], table.column("worst").to_numpy()[first]
+    to, offer, sim = _offered(place, fresh, code, worst)
+    return _lists(node[to], node[offer], sim, 1 << 30)
+
+
+def _join(groups: int):
+    """What the neighbourhoods of a group offer to nodes of all groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, new = _unpacked(table, _MEMBERS, np.int64, bool)
+        node, code, worst = _unpacked(table, _CODES, np.int64, np.float32, np.float32)
+        state = table.filter(pa.array(table.column("kind").to_numpy() == _STATE)).select(_ARROW.names).cast(_ARROW)
+        if not len(node):
+            return state
+        order = np.argsort(node)
+        node, code, worst = node[order], code.reshape(len(node), -1)[order], worst[order]
+        place = np.where(own < 0, len(node), np.searchsorted(node, own)).reshape(-1, DEGREE + REVERSE)
+        to, offer, sim = _offered(place, new.reshape(place.shape), code, worst)
+        return pa.concat_tables([state, _packed(_sent(_OFFERS, _home(node[to], groups), node[to], node[offer], sim))])
+
+    return run
 
 
 def _cells(pivots: list[bytes]):
@@ -215,146 +420,171 @@ def _dealt(nodes: DataFrame, n: int, block: int, deal: int) -> DataFrame:
     return dealt.withColumn("part", F.pmod(F.xxhash64("node", F.lit(deal)), "parts")).drop("parts")
 
 
+def _gathered(rows: DataFrame, run) -> DataFrame:
+    """``run`` for each group, on all rows that go there."""
+    return rows.groupBy("to").applyInArrow(run, _PACKED)
+
+
 def build_graph(nodes: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
-    """Lists (node, ids, sims) of each node's nearest neighbours; ``nodes`` has node and code."""
-    lists = None
+    """Packed lists of each node's nearest neighbours, and their edges; ``nodes`` has node and code."""
+    groups = _groups(n)
+    sent = nodes.select("node", "code").mapInArrow(_pack_nodes(groups), _PACKED)
     for deal in range(DEALS):
-        part = _dealt(nodes, n, block, deal + 1).groupBy("cell", "part").applyInArrow(_start, _LISTS)
-        lists = part if lists is None else lists.unionByName(part)
-    group = _block("node", -(-n // GROUP), 7)
-    lists = lists.groupBy(group).applyInArrow(_best, _LISTS).withColumn("old", F.array().cast("array<long>"))
-    lists = materialize(lists, "lists")
+        sent = sent.unionByName(_dealt(nodes, n, block, deal + 1).groupBy("cell", "part").applyInArrow(_start(groups), _PACKED))
+    lists = materialize(_gathered(sent, _merge(groups)), "lists")
     # one block has compared all pairs; else lists only get better, so that this ends
     iteration, changed = 0, float(n > block)
     while changed >= CHANGED:
         iteration += 1
-        forward = lists.select(F.col("node").alias("v"), F.explode("ids").alias("u"), "old")
-        forward = forward.select("v", "u", (~F.array_contains("old", F.col("u"))).alias("new"))
-        # other reverse neighbours in each iteration
-        order = Window.partitionBy("u").orderBy(F.desc("new"), F.xxhash64("v", "u", F.lit(iteration)))
-        back = forward.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE)
-        edges = forward.unionByName(back.select(F.col("u").alias("v"), F.col("v").alias("u"), "new"))
-        full = F.size("sims") >= DEGREE
-        worst = lists.select("node", F.when(full, F.array_min("sims")).otherwise(float("-inf")).cast("float").alias("worst"))
-        members = edges.join(nodes.join(worst, "node").withColumnRenamed("node", "u"), "u")
-        offers = members.groupBy(_block("v", -(-n // MEET), 7)).applyInArrow(_meet, _LISTS)
-        before = lists.select("node", F.col("ids").alias("old"))
-        best = lists.drop("old").unionByName(offers).groupBy(group).applyInArrow(_best, _LISTS).join(before, "node", "left")
-        lists = materialize(best.withColumn("old", F.coalesce("old", F.array().cast("array<long>"))), "lists")
-        sizes = lists.select(F.size("ids").alias("all"), F.size(F.array_except("ids", "old")).alias("new"))
-        changed = sizes.agg(F.sum("new") / F.sum("all")).first()[0] or 0.0
-    return lists.drop("old")
-
-
-def _rows(table: pa.Table) -> pa.Table:
-    """The neighbours of each node (v) in one row, with their codes."""
-    v = table.column("v").to_numpy()
-    order = np.argsort(v, kind="stable")
-    v, u = v[order], table.column("u").to_numpy()[order]
-    code = _matrix(table.column("code"), np.float32)[order]
-    begin = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-    end = np.append(begin[1:], len(v))
-    return pa.table(
-        {
-            "node": pa.array(v[begin]),
-            "ids": pa.array([u[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()),
-            "codes": pa.array([code[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()),
-        }
-    )
+        offers = _gathered(_gathered(lists, _visit(groups, iteration)), _join(groups))
+        lists = materialize(_gathered(offers, _merge(groups)), "lists")
+        changed = lists.filter(F.col("kind") == _STATE).agg(F.sum("changed") / F.sum("entries")).first()[0] or 0.0
+    return lists
 
 
-def save_graph(lists: DataFrame, nodes: DataFrame, n: int, table: str) -> None:
-    """The searchable graph (node, ids, codes), with reverse edges, bucketed by node."""
-    forward = lists.select(F.col("node").alias("v"), F.explode("ids").alias("u"))
-    order = Window.partitionBy("u").orderBy(F.xxhash64("v", "u"))
-    back = forward.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= REVERSE)
-    edges = forward.unionByName(back.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
-    edges = edges.join(nodes.withColumnRenamed("node", "u"), "u")
-    n_buckets = max(1, -(-n // GROUP))
-    # grouped as the table is bucketed, so that each bucket is one file
-    rows = edges.groupBy(F.pmod(F.hash("v"), F.lit(n_buckets))).applyInArrow(_rows, "node long, ids binary, codes binary")
-    path = new_path(nodes.sparkSession, "graph")
-    rows.write.bucketBy(n_buckets, "node").option("path", path).saveAsTable(table)
+def _graph(table: pa.Table) -> pa.Table:
+    """A group's nodes with their neighbours and reverse neighbours."""
+    node, code, ids, sims, new = _state(table)
+    member, _, _, _ = _members(table, 0)
+    home = table.column("to")[0].as_py()
+    return _packed([_row(home, _GRAPH, node, member), _row(home, _NODES, node, code)])
 
 
-_BEAM = "query long, code binary, ids array<long>, sims array<float>, fresh array<long>, done array<long>"
-
-
-def _beam_table(query, code, table, done) -> pa.Table:
-    """A beam row of each query; ``fresh`` are the nodes to expand next, ``done`` those of the beam that were expanded."""
-    lists = {q: i for i, q in enumerate(table.column("node").to_pylist())}
-    ids, sims = table.column("ids").to_pylist(), table.column("sims").to_pylist()
-    fresh = [[x for x in ids[lists[q]] if x not in d][:EXPAND] for q, d in zip(query, done, strict=True)]
-    return pa.table(
-        {
-            "query": pa.array(query, pa.int64()),
-            "code": pa.array(code, pa.binary()),
-            "ids": pa.array([ids[lists[q]] for q in query], pa.list_(pa.int64())),
-            "sims": pa.array([sims[lists[q]] for q in query], pa.list_(pa.float32())),
-            "fresh": pa.array(fresh, pa.list_(pa.int64())),
-            "done": pa.array([[x for x in ids[lists[q]] if x in d] for q, d in zip(query, done, strict=True)], pa.list_(pa.int64())),
-        }
-    )
+def save_graph(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The searchable graph, with reverse edges, and the codes of its nodes, both by group."""
+    both = materialize(_gathered(lists, _graph), "graph")
+    return both.filter(F.col("kind") == _GRAPH), both.filter(F.col("kind") == _NODES)
 
 
-def _enter(pivots: list[tuple[int, bytes]]):
+def _enter(pivots: list[tuple[int, bytes]], groups: int):
+    """Beams of the nearest pivots."""
     node = np.array([p[0] for p in pivots])
     x = np.frombuffer(b"".join(p[1] for p in pivots), np.float32).reshape(len(node), -1)
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)
-                query, code = part.column("query").to_numpy(), part.column("code").to_pylist()
-                q = _matrix(part.column("code"), np.float32)
+                query, q = part.column("query").to_numpy(), _matrix(part.column("code"), np.float32)
                 s, keep = q @ x.T, min(BEAM, len(node))
-                best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                ids, sims = node[best].ravel(), np.take_along_axis(s, best, 1).ravel()
+                best = np.argpartition(s, len(node) - keep, axis=1)[:, len(node) - keep :]
                 # a query is a node too, with its own neighbours in the graph
-                own = np.einsum("ij,ij->i", q, q)
-                of = np.append(np.repeat(query, keep), query)
-                best = _lists(of, np.append(ids, query), np.append(sims, own), BEAM)
-                yield from _beam_table(query.tolist(), code, best, [()] * len(query)).to_batches()
+                near = np.append(node[best], query[:, None], axis=1)
+                sims = np.append(np.take_along_axis(s, best, 1), np.einsum("ij,ij->i", q, q)[:, None], axis=1)
+                beams = _beams(np.repeat(np.arange(len(query)), keep + 1), near.ravel(), sims.ravel(), np.zeros(near.size, np.uint8), len(query))
+                yield from _packed(_sent(_BEAMS, _home(query, groups), query, q, *beams)).to_batches()
 
     return run
 
 
-def _expand(batches):
-    """Scores of the neighbours of frontier nodes that can still enter the query's beam."""
-    for batch in batches:
-        query, ids, sims = [], [], []
-        rows = zip(
-            batch.column("query").to_pylist(), batch.column("code"), batch.column("least").to_pylist(),
-            batch.column("ids"), batch.column("codes"), strict=True,
-        )
-        for q, code, least, near, codes in rows:
-            x = np.frombuffer(code.as_buffer(), np.float32)
-            s = np.frombuffer(codes.as_buffer(), np.float32).reshape(-1, len(x)) @ x
-            good = s > least
-            if good.any():
-                sims.append(s[good])
-                ids.append(np.frombuffer(near.as_buffer(), np.int64)[good])
-                query.append(np.full(len(sims[-1]), q))
-        if query:
-            table = _lists(*map(np.concatenate, (query, ids, sims)), BEAM)
-            yield from table.rename_columns(["query", "ids", "sims"]).to_batches()
+def _beams(row, ids, sims, stage, n: int) -> tuple[np.ndarray, ...]:
+    """Beams of ``n`` queries (best first, -1 where there are no more), from flat columns; the next nodes to expand are marked."""
+    at, rank = _kept(row, ids, sims, BEAM)
+    beam = np.full((n, BEAM), -1), np.full((n, BEAM), -np.inf, np.float32), np.full((n, BEAM), _DONE, np.uint8)
+    for column, values in zip(beam, (ids, sims, stage), strict=True):
+        column[row[at], rank] = values[at]
+    waiting = beam[2] == _WAITING
+    beam[2][waiting & (np.cumsum(waiting, axis=1) <= EXPAND)] = _NOW
+    return beam
 
 
-def _advance(table: pa.Table) -> pa.Table:
-    """Beams of a block of queries after their frontier was scored.
+def _unpacked_beams(table: pa.Table) -> tuple[np.ndarray, ...]:
+    query, code, ids, sims, stage = _unpacked(table, _BEAMS, np.int64, np.float32, np.int64, np.float32, np.uint8)
+    return query, code.reshape(len(query), -1), ids.reshape(-1, BEAM), sims.reshape(-1, BEAM), stage.reshape(-1, BEAM)
 
-    Rows with a code are the beams so far, the others are scored neighbours.
-    """
-    is_beam = np.array([c is not None for c in table.column("code").to_pylist()])
-    ids, row = _flat(table.column("ids"))
-    sims, _ = _flat(table.column("sims"))
-    query = table.column("query").to_numpy()
-    best = _lists(query[row], ids, sims, BEAM)
-    beams = table.filter(pa.array(is_beam))
-    done = [{*d, *f} for d, f in zip(beams.column("done").to_pylist(), beams.column("fresh").to_pylist(), strict=True)]
-    return _beam_table(beams.column("query").to_pylist(), beams.column("code").to_pylist(), best, done)
+
+def _asked(groups: int):
+    """The nodes that queries expand next, to the groups of the nodes."""
+
+    def run(batches):
+        for batch in batches:
+            query, _, ids, _, stage = _unpacked_beams(pa.Table.from_batches([batch]))
+            row, at = np.nonzero(stage == _NOW)
+            yield from _packed(_sent(_ASKED, _home(ids[row, at], groups), query[row], ids[row, at])).to_batches()
+
+    return run
+
+
+def _measures(groups: int):
+    """The codes of queries that go on, to all groups, each with what a node must exceed to enter its beam."""
+
+    def run(batches):
+        for batch in batches:
+            query, code, ids, sims, stage = _unpacked_beams(pa.Table.from_batches([batch]))
+            on = (stage == _NOW).any(1)
+            least = np.where(ids[:, -1] >= 0, sims[:, -1], -np.inf).astype(np.float32)
+            if on.any():
+                blobs = [np.ascontiguousarray(c[on]).tobytes() for c in (query, code, least)]
+                yield from _packed([(g, _QUERIES, *blobs, None, None, 0, 0) for g in range(groups)]).to_batches()
+
+    return run
+
+
+def _reach(groups: int):
+    """Neighbours of the nodes asked for, to the groups that have their codes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, member = _unpacked(table, _GRAPH, np.int64, np.int64)
+        query, asked = _unpacked(table, _ASKED, np.int64, np.int64)
+        near = member.reshape(len(node), -1)[np.searchsorted(node, asked)]
+        there = near >= 0
+        return _packed(_sent(_ASKED, _home(near[there], groups), np.repeat(query, there.sum(1)), near[there]))
+
+    return run
+
+
+def _scored(groups: int):
+    """Scores of the nodes reached that can still enter the query's beam, to the groups of the queries."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, code = _unpacked(table, _NODES, np.int64, np.float32)
+        if not len(node):  # few nodes may leave a group empty
+            return _packed([])
+        query, measure, least = _unpacked(table, _QUERIES, np.int64, np.float32, np.float32)
+        of, near = _unpacked(table, _ASKED, np.int64, np.int64)
+        order = np.argsort(query)
+        query, measure, least = query[order], measure.reshape(len(query), -1)[order], least[order]
+        code = code.reshape(len(node), -1)
+        pair = np.sort(np.searchsorted(query, of) * len(node) + np.searchsorted(node, near))
+        row, at = np.divmod(pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair, len(node))
+        sim = np.zeros(len(row), np.float32)
+        for i in range(0, len(row), PACK):
+            sim[i : i + PACK] = np.einsum("ij,ij->i", measure[row[i : i + PACK]], code[at[i : i + PACK]])
+        good = sim > least[row]
+        row, at, sim = row[good], at[good], sim[good]
+        return _packed(_sent(_OFFERS, _home(query[row], groups), query[row], node[at], sim))
+
+    return run
+
+
+def _advance(table: pa.Table) -> pa.Table:
+    """Beams of a group's queries after their frontier was scored."""
+    query, code, ids, sims, stage = _unpacked_beams(table)
+    order = np.argsort(query)
+    query, code, ids, sims, stage = query[order], code[order], ids[order], sims[order], stage[order]
+    to, offer, sim = _unpacked(table, _OFFERS, np.int64, np.int64, np.float32)
+    had = ids >= 0
+    row = np.append(np.nonzero(had)[0], np.searchsorted(query, to))
+    stage = np.append(np.where(stage[had] == _NOW, _DONE, stage[had]), np.full(len(to), _WAITING)).astype(np.uint8)
+    beams = _beams(row, np.append(ids[had], offer), np.append(sims[had], sim), stage, len(query))
+    return _packed([_row(table.column("to")[0].as_py(), _BEAMS, query, code, *beams, changed=int((beams[2] == _NOW).sum()))])
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    """The first beams of a group's queries in one row."""
+    query, code, ids, sims, stage = _unpacked_beams(table)
+    order = np.argsort(query)
+    home, now = table.column("to")[0].as_py(), int((stage == _NOW).sum())
+    return _packed([_row(home, _BEAMS, query[order], code[order], ids[order], sims[order], stage[order], changed=now)])
+
+
+def _best(batches):
+    """(query, ids) of beams, best first."""
+    for batch in batches:
+        query, _, ids, _, _ = _unpacked_beams(pa.Table.from_batches([batch]))
+        had = ids >= 0
+        offsets = pa.array(np.append(0, np.cumsum(had.sum(1))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.ListArray.from_arrays(offsets, pa.array(ids[had]))], names=["query", "ids"])
 
 
 def nearest(
@@ -388,32 +618,31 @@ def nearest(
     if not entries:
         empty = "query_id long, rank int, vec_id long, score double"
         return vectors.sparkSession.createDataFrame([], empty)
-    table = f"ann_{uuid.uuid4().hex}"
-    save_graph(build_graph(nodes, n, block), nodes, n, table)
-    try:
-        beams = _search(nodes.sparkSession.table(table), distinct, entries, n, longest)
-    finally:
-        nodes.sparkSession.sql(f"DROP TABLE {table}")
+    graph = save_graph(build_graph(nodes, n, block))
+    asked = distinct.filter("query").select("node", "vec")
+    # a query has no added component: it only measures products
+    asked = materialize(asked.mapInArrow(_query_code(longest), "query long, code binary"), "asked")
+    turns = -(-asked.count() // QUERIES)
+    beams = None
+    for turn in range(turns):
+        part = _search(*graph, asked.filter(_block("query", turns, 7) == turn), entries, _groups(n))
+        beams = part if beams is None else beams.unionByName(part)
+    if beams is None:
+        beams = asked.select("query", F.array().cast("array<long>").alias("ids"))
     return _exact(beams, distinct, rows, k)
 
 
-def _search(graph: DataFrame, distinct: DataFrame, pivots: list, n: int, longest: float) -> DataFrame:
-    """Beams of all queries when all their nodes are expanded."""
-    asked = distinct.filter("query").select("node", "vec")
-    # a query has no added component: it only measures products
-    asked = asked.mapInArrow(_query_code(longest), "query long, code binary")
-    beams = materialize(asked.mapInArrow(_enter([(p["node"], p["code"]) for p in pivots]), _BEAM), "beams")
+def _search(graph: DataFrame, codes: DataFrame, asked: DataFrame, pivots: list, groups: int) -> DataFrame:
+    """(query, ids): beams of queries when all their nodes are expanded."""
+    entered = asked.mapInArrow(_enter([(p["node"], p["code"]) for p in pivots], groups), _PACKED)
+    beams = materialize(_gathered(entered, _opened), "beams")
     # a node is expanded once by a query, so that this ends
-    while not beams.filter(F.size("fresh") > 0).isEmpty():
-        least = F.when(F.size("sims") >= BEAM, F.array_min("sims")).otherwise(float("-inf"))
-        frontier = beams.select("query", "code", least.alias("least"), F.explode("fresh").alias("node"))
-        scored = frontier.join(graph, "node").select("query", "code", "least", "ids", "codes")
-        scored = scored.mapInArrow(_expand, "query long, ids array<long>, sims array<float>")
-        scored = scored.selectExpr("query", "CAST(NULL AS BINARY) code", "ids", "sims", "CAST(NULL AS ARRAY<BIGINT>) fresh", "CAST(NULL AS ARRAY<BIGINT>) done")
-        both = beams.unionByName(scored)
-        with small_batches(graph.sparkSession):
-            beams = materialize(both.groupBy(_block("query", -(-n // GROUP), 7)).applyInArrow(_advance, _BEAM), "beams")
-    return beams
+    while beams.agg(F.sum("changed")).first()[0]:
+        reached = _gathered(beams.mapInArrow(_asked(groups), _PACKED).unionByName(graph), _reach(groups))
+        measures = beams.mapInArrow(_measures(groups), _PACKED)
+        scored = _gathered(reached.unionByName(measures).unionByName(codes), _scored(groups))
+        beams = materialize(_gathered(scored.unionByName(beams), _advance), "beams")
+    return beams.mapInArrow(_best, "query long, ids array<long>")
 
 
 def _query_code(longest: float):

@@ -316,3 +316,64 @@ def test_lists_start_from_near_nodes(spark):
         cells[r["node"] // 30].add(r["cell"])
     # a group has one or several nearest pivots, few of them with pivots of its own
     assert sum(len(c) for c in cells.values()) <= 3 * len(cells)
+
+
+def coded(spark, x):
+    return spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x.astype(np.float32))], "node long, code binary")
+
+
+def test_nodes_travel_in_groups(spark):
+    """Rows between steps are as many as pairs of groups at most, and the searchable graph holds no neighbour's vector."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 8))
+    lists = ann.build_graph(coded(spark, x), len(x), block=256)
+    groups = ann._groups(len(x))
+    assert groups == 8 and lists.count() <= groups + groups**2
+    graph, codes = (part.toArrow() for part in ann.save_graph(lists))
+    node, member = ann._unpacked(graph, ann._GRAPH, np.int64, np.int64)
+    assert sorted(node) == list(range(4000)) and sorted(ann._unpacked(codes, ann._NODES, np.int64)[0]) == list(range(4000))
+    assert graph.num_rows == codes.num_rows == groups and graph.nbytes < 4000 * 8 * (ann.DEGREE + ann.REVERSE + 2)
+    near = dict(zip(node.tolist(), member.reshape(4000, -1).tolist(), strict=True))
+    for i in range(0, 4000, 50):
+        want = np.argsort(((x - x[i]) ** 2).sum(1))[1:21]
+        assert len({*want.tolist()} & {*near[i]}) >= 18
+        real = [u for u in near[i] if u >= 0]
+        assert i not in real and len({*real}) == len(real) >= ann.DEGREE
+
+
+def test_local_join_of_neighbourhoods_by_brute_force():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 5)).astype(np.float32)
+    worst = np.where(rng.random(60) < 0.3, -np.inf, -4 * rng.random(60)).astype(np.float32)
+    place, new = np.full((70, 40), 60), np.zeros((70, 40), bool)
+    for v in range(70):
+        m = rng.choice(60, rng.integers(0, 41), replace=False)
+        place[v, : len(m)], new[v, : len(m)] = m, rng.random(len(m)) < v / 70
+    want = collections.defaultdict(dict)
+    for v in range(70):
+        own = [(int(a), bool(n)) for a, n in zip(place[v], new[v], strict=True) if a < 60]
+        for a, fresh in own:
+            offers = [(-float(((x[a] - x[b]) ** 2).sum()) / 2, b) for b, other in own if b != a and (fresh or other)]
+            good = sorted((o for o in offers if o[0] > worst[a]), reverse=True)
+            want[a].update({b: s for s, b in good[: ann.OFFERS]})
+    got = collections.defaultdict(dict)
+    for a, b, s in zip(*(c.tolist() for c in ann._offered(place, new, x, worst)), strict=True):
+        assert b not in got[a]
+        got[a][b] = s
+    for a in range(60):
+        best = sorted(want[a], key=want[a].get, reverse=True)[: ann.DEGREE]
+        assert sorted(got[a]) == sorted(best)
+        assert np.allclose([got[a][b] for b in best], [want[a][b] for b in best], atol=1e-4)
+
+
+def test_queries_in_turns(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((700, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    def found():
+        return sorted(map(tuple, ann.nearest(table, F.col("id") % 20 == 0, 5, block=128, pivots=32).collect()))
+
+    want = found()
+    monkeypatch.setattr(ann, "QUERIES", 8)
+    assert len(want) == 35 * 5 and found() == want
